@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -64,5 +65,10 @@ def release(df: DataFrame | None) -> None:
         remove(df.sparkSession, df._folio_path)
 
 
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """A schema with the fields of ``ddl`` behind its own."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -98,15 +98,17 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats
     rows = sized.join(placed, ["skey", "block"])
     inside = Window.partitionBy("skey", "block").orderBy("rank", "doc_id", "size", "row")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    names = ["row", "skey", "doc_id", "source", "size", "rank", "source_size", "target", "passes", "room", "drawn", "whole", "cut"]
+    names = ["row", "skey", "block", "doc_id", "source", "size", "rank", "source_size", "target", "passes", "room", "drawn", "whole", "cut"]
     cuts = rows.where("cut").withColumn("upto", upto).select(*names, "upto", (F.col("upto") <= F.col("room")).alias("fits"))
     rows = materialize(cuts.unionByName(rows.where("not cut").select(*names, F.lit(0).cast("long").alias("upto"), F.lit(False).alias("fits"))), "rows")
 
     missing = rows.where("cut").groupBy("skey").agg((F.first("room") - F.coalesce(F.max(F.when(F.col("fits"), F.col("upto"))), F.lit(0))).alias("missing"), F.element_at(F.first("drawn"), -1).alias("last_draw"))
     error = F.abs(F.col("missing") - F.col("size"))
+    # By block, not by source: a source of a third of all rows would meet in one task.
+    missing = placed.select("skey", "block").join(missing, "skey")
     best = (
         rows.where("not whole and not fits")
-        .join(missing, "skey")
+        .join(missing, ["skey", "block"])
         .where(error < F.col("missing"))
         .groupBy("skey")
         .agg(F.min_by(F.struct("row", "last_draw"), F.struct(error, "rank", "doc_id", "row")).alias("best"))

@@ -111,3 +111,17 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * (passes + CASE WHEN whole OR fits OR row IN (SELECT row FROM best) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r2
 """
+
+OP6 = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.uid AS q_uid, q.vec_id AS query_id, x.uid, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.uid <> x.uid WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q_uid ORDER BY score DESC, vec_id NULLS LAST, uid) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_extract, mixing, oracle, url_filter, warc
-from .common import shared_path, table
+from . import html_extract, language_id, mixing, oracle, topk, toxicity, url_filter, warc
+from .common import fold_of, shared_path, table
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -22,6 +23,24 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("via")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 3)
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), fold != 1)
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 5)
+    model = language_id.fit_languages(docs, fold != 0)
+    found = language_id.predict_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).drop("source", "draws")
 
@@ -33,6 +52,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_url_filters": op4_url_filters,
+    "op6_topk": op6_topk,
+    "op7_toxicity": op7_toxicity,
+    "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
 }
@@ -40,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": oracle.OP3,
     "op4_url_filters": oracle.OP4,
+    "op6_topk": oracle.OP6,
     "op9_mixing": oracle.OP9,
 }
