@@ -125,3 +125,30 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS node, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT node, doc_id,
+         CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+              ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+  FROM w
+), e AS (
+  SELECT node, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), p AS (
+  SELECT a.node AS x, b.node AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS shared
+  FROM e a JOIN e b ON a.shingle = b.shingle AND a.node < b.node GROUP BY ALL
+), links AS (
+  SELECT x, y FROM p WHERE 100 * shared >= 80 * (nx + ny - shared)
+  UNION SELECT y, x FROM p WHERE 100 * shared >= 80 * (nx + ny - shared)
+), reach AS (
+  SELECT node, node AS seen FROM s
+  UNION
+  SELECT reach.node, links.y FROM reach JOIN links ON reach.seen = links.x
+)
+SELECT s.doc_id, CAST(len(any_value(s.shingles)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM reach r JOIN s ON s.node = r.node JOIN s o ON o.node = r.seen GROUP BY s.node, s.doc_id
+"""

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, mixing, oracle, topk, toxicity, url_filter, warc
+from . import decontaminate, html_extract, jaccard, language_id, mixing, oracle, topk, toxicity, url_filter, warc
 from .common import fold_of, shared_path, table
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("node", "component")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -54,6 +58,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_warc": op3_warc,
     "op4_url_filters": op4_url_filters,
     "op5_decontamination": op5_decontamination,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": oracle.OP2,
     "op3_warc": oracle.OP3,
     "op4_url_filters": oracle.OP4,
     "op6_topk": oracle.OP6,
