@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard, language_id, mixing, oracle, topk, toxicity, url_filter, warc
+from . import decontaminate, html_extract, jaccard, language_id, lm_score, mixing, oracle, topk, toxicity, url_filter, warc
 from .common import fold_of, shared_path, table
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 10) == 0)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("node", "component")
 
@@ -58,6 +62,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_warc": op3_warc,
     "op4_url_filters": op4_url_filters,
