@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, release, split_words
@@ -33,7 +33,7 @@ FP_BITS, BASE, MIX = np.uint64(40), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xF
 MANY = 0xFFFF
 PACKED = "part long, batch long, kind int, a binary, b binary, c binary, d binary"
 NAMES = [x.split()[0] for x in PACKED.split(", ")]
-DOCUMENTS = "node long, doc_id long, n long, digest binary, alone long, take int, sig long, grams array<long>"
+DOCUMENTS = "node long, doc_id long, text_key long, n long, digest binary, alone long, take int, sig long, grams array<long>"
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -69,11 +69,11 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 def _pack(buckets: int, width: int):
     """Documents to packed rows: kind 0 for a bucket, kinds 1 (documents) and 2 (frequent shingles) for the batch itself."""
 
-    def flush(batch: int, ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(batch: int, ids: list, keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], np.int64)
         digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
         nulls = np.array([i is None for i in ids])
-        out = [(-1 - batch, batch, 1, np.array([i or 0 for i in ids], np.int64).tobytes(), nulls.tobytes(), sizes.tobytes(), digests)]
+        out = [(-1 - batch, batch, 1, np.array([[i or 0 for i in ids], keys], np.int64).tobytes(), nulls.tobytes(), sizes.tobytes(), digests)]
         if sizes.sum():
             grams, docs = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
             order = np.argsort(grams, kind="stable")
@@ -95,18 +95,19 @@ def _pack(buckets: int, width: int):
         return _rows(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch, ids, sets, grams = TaskContext.get().partitionId() << 20, [], [], 0
+        batch, ids, keys, sets, grams = TaskContext.get().partitionId() << 20, [], [], [], 0
         for rows in batches:
-            for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+            for doc_id, key, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
                 found = shingles(text.as_py(), width)
                 ids.append(doc_id)
+                keys.append(key)
                 sets.append(found)
                 grams += len(found)
                 if grams >= BATCH_GRAMS or len(ids) >= BATCH_DOCS:
-                    yield flush(batch, ids, sets)
-                    batch, ids, sets, grams = batch + 1, [], [], 0
+                    yield flush(batch, ids, keys, sets)
+                    batch, ids, keys, sets, grams = batch + 1, [], [], [], 0
         if ids:
-            yield flush(batch, ids, sets)
+            yield flush(batch, ids, keys, sets)
 
     return run
 
@@ -153,7 +154,7 @@ def _assemble(num: int, den: int):
     def run(rows: pa.Table) -> pa.Table:
         held = rows.to_pylist()
         meta = next(r for r in held if r["kind"] == 1)
-        ids, nulls, sizes = np.frombuffer(meta["a"], np.int64), np.frombuffer(meta["b"], np.bool_), np.frombuffer(meta["c"], np.int64)
+        (ids, keys), nulls, sizes = np.frombuffer(meta["a"], np.int64).reshape(2, -1), np.frombuffer(meta["b"], np.bool_), np.frombuffer(meta["c"], np.int64)
         cat = lambda kind, name, dtype: np.concatenate([np.empty(0, dtype), *[np.frombuffer(r[name], dtype) for r in held if r["kind"] == kind]])
         grams, docs, df = cat(0, "a", np.uint64), cat(0, "c", np.uint16), cat(0, "d", np.uint32)
         many = docs == MANY
@@ -176,7 +177,7 @@ def _assemble(num: int, den: int):
             sigs.append(_signature(g))
         nodes = (meta["batch"] << 16) + np.arange(len(ids))
         digests = [meta["d"][16 * i : 16 * i + 16] for i in range(len(ids))]
-        made = [pa.array(nodes), pa.array(ids, mask=nulls), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(alone), pa.array(take, pa.int32()), pa.array(sigs, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
+        made = [pa.array(nodes), pa.array(ids, mask=nulls), pa.array(keys), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(alone), pa.array(take, pa.int32()), pa.array(sigs, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
         return pa.Table.from_arrays(made, [x.split()[0] for x in DOCUMENTS.replace("array<long>", "a").split(", ")])
 
     return run
@@ -189,11 +190,11 @@ def _signature(grams: np.ndarray) -> int:
 
 
 def shared_shingles(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """A row for each document: node, doc_id, n (set size), digest of the set, how many of its shingles it has alone,
+    """A row for each document: node, doc_id, text_key (xxhash64 of the text), n (set size), digest of the set, how many of its shingles it has alone,
     how many of the others belong to its prefix (``take``), and these others, rarest first, if ``take`` isn't 0."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, math.ceil(chars / BUCKET_CHARS))
-    packed = docs.select("doc_id", "text").mapInArrow(_pack(buckets, width), PACKED)
+    packed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_pack(buckets, width), PACKED)
     counted = packed.groupBy("part").applyInArrow(_count, PACKED)
     return materialize(counted.groupBy("batch").applyInArrow(_assemble(num, den), DOCUMENTS), "shingles")
 
@@ -284,7 +285,7 @@ def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN, rounds: int =
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """node, doc_id, n_shingles and component_id for each row of ``docs`` (doc_id, text).
+    """node, doc_id, text_key, n_shingles, component_id and component (a node) for each row of ``docs`` (doc_id, text).
 
     Two documents link if den * intersection >= num * union of their shingle sets; component_id is the smallest
     doc_id that links reach. Documents with equal sets are joined first, by digest, and one stands for all. Null
@@ -300,8 +301,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     least = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_digest = joined.join(least, "component").select("digest", "component_id", "component")
     return (
-        some.select("node", "doc_id", "n", "digest")
+        some.select("node", "doc_id", "text_key", "n", "digest")
         .join(by_digest, "digest")
-        .select("node", "doc_id", F.col("n").alias("n_shingles"), "component_id", "component")
-        .unionByName(found.where("n = 0").select("node", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("component")))
+        .select("node", "doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "component")
+        .unionByName(found.where("n = 0").select("node", "doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("component")))
     )
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their component: that with the smallest doc_id.
+
+    Null ids come last. Of rows that repeat id and text one stays. A text without words is a component of its own.
+    Texts are shuffled once, by id and hash, to meet the keys of the rows that stay.
+    """
+    found = near_duplicates(docs, width, num, den)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "node")
+    kept = found.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_key"), first).alias("kept"))
+    key = lambda doc_id, text_key: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text_key.cast("string"))
+    stay = kept.select(key(F.col("kept.doc_id"), F.col("kept.text_key")).alias("_key")).distinct()
+    keyed = docs.withColumn("_key", key(F.col("doc_id"), F.xxhash64("text"))).join(stay, "_key", "left_semi")
+    once = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
+    return keyed.withColumn("_once", once).where("_once = 1").select(*docs.columns)

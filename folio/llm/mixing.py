@@ -130,12 +130,14 @@ def mix_documents(docs: DataFrame, shards: int = 8, seed: int = 7, **options) ->
     global order. Documents that the plan doesn't draw are absent; see ``plan_mix`` for the rest.
     """
     names = docs.columns
-    keys = ["doc_id", "source", "size"]
-    nth = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))  # noqa: E731  pairs repeated rows with plans
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    plan = plan_mix(docs, shards=shards, seed=seed, **options).withColumn("nth", nth(F.col("taken"))).select(*[F.col(k).alias(f"p_{k}") for k in [*keys, "nth"]], F.col("draws").alias("p_draws"))
-    rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(n) for n in names]).alias("whole")).withColumn("size", size).withColumn("nth", nth(F.xxhash64("text")))
-    met = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("nth") == F.col("p_nth")))
-    drawn = met.select("doc_id", "whole", F.explode("p_draws").alias("draw"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    nth = lambda order: F.row_number().over(Window.partitionBy("key").orderBy(order))  # noqa: E731  pairs repeated rows with plans
+    plan = plan_mix(docs, shards=shards, seed=seed, **options).select(key.alias("key"), "taken", "draws")
+    plan = plan.withColumn("p_nth", nth(F.col("taken"))).select("key", "p_nth", "draws")
+    rows = docs.select(F.struct(*[F.col(n) for n in names]).alias("whole"), "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("hash")).select("whole", "doc_id", "hash", key.alias("key"))
+    # The places are compared as a difference, so both sides stay partitioned by the key alone and texts move once.
+    met = rows.withColumn("nth", nth(F.col("hash"))).join(plan, "key").where(F.col("nth") - F.col("p_nth") == 0)
+    drawn = met.select("doc_id", "whole", F.explode("draws").alias("draw"))
     place = _order(seed, F.col("doc_id"), F.col("draw.pass"), F.col("draw.shard"))
     return drawn.select(*[F.col(f"whole.{n}").alias(n) for n in names], F.col("draw.pass").alias("mix_pass"), F.col("draw.shard").alias("mix_shard"), place.alias("mix_place"))

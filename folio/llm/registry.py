@@ -18,7 +18,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("node", "component")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("node", "component", "text_key")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
