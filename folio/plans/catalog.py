@@ -1,4 +1,6 @@
 """The registered queries of the library and the SQL that checks them."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import form_queries, record_queries, text_queries  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
