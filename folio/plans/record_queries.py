@@ -9,7 +9,6 @@ from ..functions import text as T
 from ..operators import geometry, records, relational
 from .registry import query
 
-ONE = F.lit(1)
 
 
 @query("latest_revision", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -60,7 +59,7 @@ def upsert_merge(read, spark):
 
 @query("field_import", "SELECT count(*) FILTER (WHERE c_custkey IS NOT NULL) AS applied, count(*) FILTER (WHERE c_custkey IS NULL) AS skipped FROM (SELECT o_custkey + 700 AS k FROM orders) o LEFT JOIN customer ON k = c_custkey")
 def field_import(read, spark):
-    fields = read("orders").select((F.col("o_custkey") + 700).alias("k")).groupBy("k").agg(F.count(ONE).alias("n"))
+    fields = read("orders").select((F.col("o_custkey") + 700).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     joined = fields.join(read("customer").select("c_custkey"), F.col("k") == F.col("c_custkey"), "left")
     known = F.col("c_custkey").isNotNull()
     return joined.agg(F.sum(F.when(known, F.col("n")).otherwise(0)).alias("applied"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("skipped"))
@@ -70,7 +69,7 @@ def field_import(read, spark):
 def unknown_keys(read, spark):
     keys = read("events").select(F.explode(F.json_object_keys("props")).alias("key"))
     known = spark.createDataFrame([("a",), ("b",)], "key string")
-    return keys.join(F.broadcast(known), "key", "left_anti").groupBy("key").agg(F.count(ONE).alias("found"))
+    return keys.join(F.broadcast(known), "key", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("found"))
 
 
 @query("thread_replies", "SELECT a.conv_id, a.turn, b.turn AS parent_turn, b.role AS parent_role FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1")
@@ -93,7 +92,7 @@ def comment_sort(read, spark):
 
 @query("comment_types", "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id")
 def comment_types(read, spark):
-    return read("conversations").groupBy("conv_id").agg(F.count(ONE).alias("turns"), F.countDistinct("role").alias("roles"))
+    return read("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("role").alias("roles"))
 
 
 @query("distinct_authors", "SELECT lower(c_name) AS folded, min(c_name) AS author FROM customer GROUP BY 1")
@@ -139,7 +138,7 @@ def split_by_outline(read, spark):
 
 @query("split_by_count", "SELECT o_orderkey // 500 AS part, min(o_orderkey) AS first_page, count(*) AS page_count FROM orders GROUP BY 1")
 def split_by_count(read, spark):
-    return read("orders").groupBy(F.expr("o_orderkey div 500").alias("part")).agg(F.min("o_orderkey").alias("first_page"), F.count(ONE).alias("page_count"))
+    return read("orders").groupBy(F.expr("o_orderkey div 500").alias("part")).agg(F.min("o_orderkey").alias("first_page"), F.count(F.lit(1)).alias("page_count"))
 
 
 @query("collate_concat", "SELECT source, key, row_number() OVER (ORDER BY source, key) - 1 AS place FROM (SELECT 0 AS source, CAST(n_nationkey AS BIGINT) AS key FROM nation UNION ALL SELECT 1, r_regionkey FROM region)")
@@ -291,7 +290,7 @@ def tree_flatten(read, spark):
 
 @query("json_extract", "SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS total FROM events GROUP BY 1")
 def json_extract(read, spark):
-    return read("events").groupBy("event_type").agg(F.count(ONE).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
+    return read("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
 
 
 @query("variant_extract", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 90")
@@ -307,7 +306,7 @@ def map_lookup(read, spark):
 
 @query("deep_equality", "SELECT count(*) AS pairs FROM events a JOIN events b ON a.user_id = b.user_id AND a.props = b.props AND a.event_id < b.event_id")
 def deep_equality(read, spark):
-    groups = read("events").groupBy("user_id", "props").agg(F.count(ONE).alias("n"))
+    groups = read("events").groupBy("user_id", "props").agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"))
 
 
@@ -324,17 +323,17 @@ def alias_flatten(read, spark):
 )
 def stream_settle(read, spark):
     grouped = read("events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w"))
-    return grouped.agg(F.min("ts").alias("first_ts"), F.count(ONE).alias("events")).select("user_id", "first_ts", "events")
+    return grouped.agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("events")).select("user_id", "first_ts", "events")
 
 
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(read, spark):
-    return read("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(ONE).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return read("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 @query("stream_sliding", "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY start")
 def stream_sliding(read, spark):
-    return read("events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count(ONE).alias("n")).select(F.col("w.start").alias("start"), "n")
+    return read("events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
 @query("stream_incremental_search", "SELECT event_id, ts FROM events WHERE contains(lower(event_type), 'err') AND value > 50")
@@ -348,7 +347,7 @@ def stream_incremental_search(read, spark):
 )
 def flatten_union(read, spark):
     """Lines that become part of their orders, and the reasons why others don't."""
-    rows = read("lineitem").groupBy("l_orderkey").agg(F.count(ONE).alias("n")).join(read("orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    rows = read("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).join(read("orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     outcome = F.when(F.col("o_orderkey").isNull(), "no order").when(F.col("o_orderstatus") == "P", "pending").otherwise("kept")
     counted = rows.groupBy(outcome.alias("outcome")).agg(F.sum("n").alias("n"))
     every = spark.createDataFrame([("kept",), ("pending",), ("no order",)], "outcome string")
@@ -381,7 +380,7 @@ def byte_range_check(read, spark):
 
 @query("portfolio_pivot", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
 def portfolio_pivot(read, spark):
-    pivoted = read("events").where(F.col("event_type").isin("click", "view")).groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count(ONE))
+    pivoted = read("events").where(F.col("event_type").isin("click", "view")).groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count(F.lit(1)))
     return pivoted.fillna(0, ["click", "view"])
 
 
@@ -399,7 +398,7 @@ def change_kinds(read, spark):
 
 @query("grouping_sets_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def grouping_sets_cube(read, spark):
-    return read("orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(ONE).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return read("orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("savings_rollup", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) AS before, round(sum(l_extendedprice * (1 - l_discount)), 2) AS after FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
