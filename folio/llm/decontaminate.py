@@ -39,6 +39,8 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
 
 def _runs(item: list[bytes], doc: list[bytes], i: np.ndarray, j: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """Maximal matches (item start, doc start, tokens) from starts of equal windows: runs on a diagonal, by real tokens."""
+    if not len(i):
+        return []
     order = np.lexsort((i, j - i))
     i, j = i[order], j[order]
     start = np.flatnonzero(np.append(True, (np.diff(j - i) != 0) | (np.diff(i) != 1)))
