@@ -12,6 +12,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +117,7 @@ class Reader:
         """Vocabulary numbers (-1: not in it), classes, and the tokens that aren't in it; the end is included."""
         words = split_words(text)
         words.append(END)
-        get = self.number.get
-        numbers = np.array([get(w, -1) for w in words], np.int64)
+        numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         classes = self.model.classes[numbers] if len(self.model.classes) else np.zeros(len(words), np.int32)
         far = np.flatnonzero(numbers < 0)
         if not len(far):
@@ -178,24 +178,31 @@ class Trainer:
     def step(self, targets: np.ndarray, fronts: np.ndarray) -> None:
         size, p = self.size, self.p
         context, scale = p[size : 2 * size + 1, 1:], p[-ORDER:, 1:]
-        vectors = [context[f] for f in fronts]
-        q = sum(v * s for v, s in zip(vectors, scale, strict=True))
+        q = np.zeros((len(targets), DIMS), np.float32)
+        for f, s in zip(fronts, scale, strict=True):
+            q += (context * s).take(f, 0)
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), size - 1)
-        sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        # Slopes of the log likelihood: towards the target, away from the noise.
-        up = 1 - sig((p[targets, 1:] * q).sum(1) + p[targets, 0] - self.log_noise[targets])
-        down = sig(q @ p[noise, 1:].T + p[noise, 0] - self.log_noise[noise])
+        own, others = p.take(targets, 0), p.take(noise, 0)
+        # Slopes of the log likelihood: towards the target, away from the noise; 1 / (1 + exp(-x)) in place.
+        up = 1 / (1 + np.exp(np.minimum(np.einsum("nd,nd->n", own[:, 1:], q) + own[:, 0] - self.log_noise[targets], 30)))
+        down = q @ np.ascontiguousarray(-others[:, 1:].T)
+        down += self.log_noise[noise] - others[:, 0]
+        np.minimum(down, 30, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.reciprocal(down, out=down)
         g = np.zeros_like(p)
+        towards = (up * q.T).astype(np.float64)
         for d in range(DIMS):
-            g[:size, d + 1] = np.bincount(targets, up * q[:, d], minlength=size)
+            g[:size, d + 1] = np.bincount(targets, towards[d], minlength=size)
         g[:size, 0] = np.bincount(targets, up, minlength=size)
         np.subtract.at(g, noise, np.concatenate([down.sum(0)[:, None], down.T @ q], 1))
-        g_q = up[:, None] * p[targets, 1:] - down @ p[noise, 1:]
+        g_q = (up[:, None] * own[:, 1:] - down @ others[:, 1:]).T.astype(np.float64)
         for i, f in enumerate(fronts):
-            back = g_q * scale[i]
-            for d in range(DIMS):
-                g[size : 2 * size + 1, d + 1] += np.bincount(f, back[:, d], minlength=size + 1)
-            g[2 * size + 1 + i, 1:] = (g_q * vectors[i]).sum(0)
+            # What reaches a context through this position, by class: scaled it is the class's, weighed by it the scale's.
+            by_class = np.stack([np.bincount(f, x, minlength=size + 1) for x in g_q], 1)
+            g[size : 2 * size + 1, 1:] += by_class * scale[i]
+            g[2 * size + 1 + i, 1:] = (by_class * context).sum(0)
         g /= len(targets)
         self.square += g * g
         p += RATE * g / np.sqrt(self.square)
@@ -257,8 +264,10 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         p, self.size = model.parameters, model.size
-        self.bias, self.target = p[: self.size, 0], np.ascontiguousarray(p[: self.size, 1:].T)
-        self.fronts = [p[self.size : 2 * self.size + 1, 1:] * s for s in p[-ORDER:, 1:]]
+        # The bias is a dimension of its own, in which the nearest context has a one, so one product gives all.
+        self.target = np.ascontiguousarray(p[: self.size].T)
+        self.fronts = [np.concatenate([np.full((self.size + 1, 1), i == 0, np.float32), p[self.size : 2 * self.size + 1, 1:] * s], 1) for i, s in enumerate(p[-ORDER:, 1:])]
+        self.ones = np.ones(self.size, np.float32)
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         targets, fronts = _contexts(docs, self.size)
@@ -267,10 +276,9 @@ class Scorer:
             t = targets[at : at + BATCH]
             q = sum(table[f[at : at + BATCH]] for table, f in zip(self.fronts, fronts, strict=True))
             s = q @ self.target
-            s += self.bias
             chosen = s[np.arange(len(t)), t]
             np.exp(s, out=s)
-            out[at : at + BATCH] = (chosen - np.log(s.sum(1))) / math.log(10)
+            out[at : at + BATCH] = (chosen - np.log(s @ self.ones)) / math.log(10)
         return out
 
 
@@ -292,25 +300,26 @@ def _score(shared):
         row = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
+            """The documents' own rows, then a row for each token outside the vocabulary of each."""
             nonlocal row
             scores = scorer.score([h[3] for h in held])
-            columns: list[list] = [[] for _ in names]
-            at = 0
+            made, tokens, times, sizes, at = [], [], [], [], 0
             for doc_id, held_out, numbers, classes, far in held:
                 own = scores[at : at + len(classes)]
                 at += len(classes)
                 logs = log_counts[numbers]
                 inside = np.where(alone[classes], 0.0, logs - share[classes])
-                made = (b" %d" % row, row, 0, doc_id, held_out, len(classes), len(classes) - len(far), float(logs.sum()) - floor * len(classes), float(own.sum() + inside.sum()))
-                for c, x in zip(columns, made, strict=True):
-                    c.append(x)
-                for token, times in Counter(far).items():
-                    for c, x in zip(columns, (token, row, times, None, None, None, None, None, None), strict=True):
-                        c.append(x)
-                row += 1
+                made.append((b" %d" % (row + len(made)), row + len(made), 0, doc_id, held_out, len(classes), len(classes) - len(far), float(logs.sum()) - floor * len(classes), float(own.sum() + inside.sum())))
+                counted = Counter(far)
+                tokens += counted
+                times += counted.values()
+                sizes.append(len(counted))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names)
+            rows = np.repeat(np.arange(row, row + len(made)), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(rows), pa.array(times, pa.int64()), *(pa.nulls(len(tokens), k) for k in kinds[3:])], names)
+            row += len(made)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         size = 0
         for batch in batches:
@@ -318,10 +327,10 @@ def _score(shared):
                 held.append((doc_id, held_out, *reader.read(text.as_py())))
                 size += len(held[-1][3])
                 if size >= CHUNK:
-                    yield flush()
+                    yield from flush()
                     size = 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
