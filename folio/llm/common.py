@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: The folders made for applications whose session names none.
+_OWN: dict[str, str] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,11 +33,11 @@ def fold_of(doc_id: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; a folder of our own only where the session names none."""
+    """The cluster's folder for checkpoints; a temporary one only where the session names none, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-")
+        _OWN[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -70,5 +73,11 @@ def extended(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of shuffle files whose DataFrames are gone: the driver removes them when it collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

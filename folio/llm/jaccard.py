@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, split_words
+from .common import free_shuffles, materialize, release, split_words
 from .graph import components
 
 WIDTH = 5
@@ -33,7 +33,7 @@ FP_BITS, BASE, MIX = np.uint64(40), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xF
 MANY = 0xFFFF
 PACKED = "part long, batch long, kind int, a binary, b binary, c binary, d binary"
 NAMES = [x.split()[0] for x in PACKED.split(", ")]
-DOCUMENTS = "node long, doc_id long, text_key long, n long, digest binary, alone long, take int, sig long, grams array<long>"
+DOCUMENTS = "node long, doc_id long, text_key long, n long, digest binary, alone long, take int, low long, high long, grams array<long>"
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -177,16 +177,20 @@ def _assemble(num: int, den: int):
             sigs.append(_signature(g))
         nodes = (meta["batch"] << 16) + np.arange(len(ids))
         digests = [meta["d"][16 * i : 16 * i + 16] for i in range(len(ids))]
-        made = [pa.array(nodes), pa.array(ids, mask=nulls), pa.array(keys), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(alone), pa.array(take, pa.int32()), pa.array(sigs, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
+        made = [pa.array(nodes), pa.array(ids, mask=nulls), pa.array(keys), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(alone), pa.array(take, pa.int32()), *(pa.array([x[i] for x in sigs], pa.int64()) for i in (0, 1)), pa.array(lists, pa.list_(pa.int64()))]
         return pa.Table.from_arrays(made, [x.split()[0] for x in DOCUMENTS.replace("array<long>", "a").split(", ")])
 
     return run
 
 
-def _signature(grams: np.ndarray) -> int:
-    """Seven bits for each of eight parts of the shared shingles: how many fall into it, 127 for that many or more."""
-    counts = np.minimum(np.bincount(grams & 7, minlength=8), 127)
-    return int(sum(int(c) << (7 * i) for i, c in enumerate(counts)))
+def _signature(grams: np.ndarray) -> tuple[int, int]:
+    """For each of 128 parts of all shingles whether an odd number of these falls into it, as the bits of two words.
+
+    Every member of two sets' symmetric difference turns one bit, so the bits that differ are at most as many as it has.
+    """
+    odd = np.bincount(grams & 127, minlength=128) & 1
+    low, high = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    return low, high
 
 
 def shared_shingles(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -205,14 +209,17 @@ def _enough(overlap: Column, a: Column, b: Column, num: int, den: int) -> Column
 
 
 def _could_match(a: str, b: str, num: int, den: int) -> Column:
-    """Length, positional and suffix filters for two postings of one shingle, as prefixes of column names."""
+    """Length, positional and suffix filters for two postings of one shingle, as prefixes of column names.
+
+    The suffix filter bounds the symmetric difference of what both sets share with any others from below.
+    """
     c = lambda side, name: F.col(f"{side}_{name}")
     length = (F.least(c(a, "n"), c(b, "n")) * den >= F.greatest(c(a, "n"), c(b, "n")) * num) & (c(a, "node") != c(b, "node"))
     # At the first shingle that two sets share, only what follows it on both sides can be shared besides.
     position = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))
-    part = lambda side, i: F.shiftright(c(side, "sig"), 7 * i).bitwiseAND(127)
-    bound = sum((F.when((part(a, i) == 127) & (part(b, i) == 127), F.least(c(a, "n"), c(b, "n"))).otherwise(F.least(part(a, i), part(b, i))) for i in range(8)), F.lit(0))
-    return length & _enough(position, c(a, "n"), c(b, "n"), num, den) & _enough(bound, c(a, "n"), c(b, "n"), num, den)
+    apart = sum((F.bit_count(c(a, w).bitwiseXOR(c(b, w))) for w in ("low", "high")), F.lit(0))
+    shared = c(a, "n") - c(a, "alone") + c(b, "n") - c(b, "alone") - apart
+    return length & _enough(position, c(a, "n"), c(b, "n"), num, den) & _enough(shared / 2, c(a, "n"), c(b, "n"), num, den)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -237,10 +244,10 @@ def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN, rounds: int =
     """
     sets = sets.where("take > 0")
     postings = materialize(
-        sets.select("node", "n", "sig", "alone", F.posexplode(F.slice("grams", 1, F.col("take"))).alias("i", "gram")).select("gram", "node", "n", "sig", (F.col("alone") + F.col("i")).alias("pos")),
+        sets.select("node", "n", "alone", "low", "high", F.posexplode(F.slice("grams", 1, F.col("take"))).alias("i", "gram")).select("gram", "node", "n", "alone", "low", "high", (F.col("alone") + F.col("i")).alias("pos")),
         "postings",
     )
-    fields = ["node", "n", "sig", "pos", "component"]
+    fields = ["node", "n", "alone", "low", "high", "pos", "component"]
     side = lambda df, s: df.select("gram", *[F.col(f).alias(f"{s}_{f}") for f in fields])
     links, placed, seen = None, None, None
 
@@ -262,9 +269,10 @@ def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN, rounds: int =
 
     for turn in range(rounds):
         now = known()
-        key = lambda i, turn=turn: F.xxhash64(F.lit(turn * leaders + i), "node")
-        chosen = now.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.array(*[F.min(F.struct(key(i).alias("h"), *fields)) for i in range(leaders)]).alias("chosen"))
-        chosen = chosen.where("m > 1 and c1 <> c2").select("gram", F.explode(F.array_distinct("chosen")).alias("x")).select("gram", *[F.col(f"x.{f}").alias(f"x_{f}") for f in fields])
+        # The first leader is the set with the fewest shingles of its own, which near copies are nearest to; others are drawn.
+        key = lambda i, turn=turn: F.struct((F.lit(0) if i else F.col("alone")).cast("long").alias("rank"), F.xxhash64(F.lit(turn * leaders + i), "node").alias("hash"))
+        chosen = now.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.array(*[F.min(F.struct(key(i).alias("key"), *fields)) for i in range(leaders)]).alias("chosen"))
+        chosen = chosen.where("m > 1 and c1 <> c2").select("gram", F.explode(F.array_distinct(F.transform("chosen", lambda x: F.struct(*[x[f].alias(f) for f in fields])))).alias("x")).select("gram", *[F.col(f"x.{f}").alias(f"x_{f}") for f in fields])
         met = side(now, "y").join(chosen, "gram").where((F.col("x_component") != F.col("y_component")) & _could_match("x", "y", num, den))
         fresh = _pairs(met) if seen is None else _pairs(met).join(seen, ["a", "b"], "left_anti")
         fresh = materialize(fresh, "pairs")
@@ -293,9 +301,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     with each other; null ids take part and are never the smallest. Other columns are not read.
     """
     found = shared_shingles(docs, width, num, den)
-    some = found.where("n > 0")
+    free_shuffles(docs.sparkSession)
+    rows = materialize(found.select("node", "doc_id", "text_key", "n", "digest"), "rows")
+    some = rows.where("n > 0")
     classes = materialize(some.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id")), "classes")
-    sets = materialize(found.join(classes.select("node"), "node", "left_semi").where("take > 0"), "sets")
+    sets = materialize(found.where("take > 0").join(classes.select("node"), "node", "left_semi"), "sets")
+    release(found)
+    free_shuffles(docs.sparkSession)
     placed = similar_sets(sets, num, den)
     joined = classes.join(placed, "node", "left").select("digest", "least_id", F.coalesce("component", "node").alias("component"))
     least = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -304,7 +316,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
         some.select("node", "doc_id", "text_key", "n", "digest")
         .join(by_digest, "digest")
         .select("node", "doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "component")
-        .unionByName(found.where("n = 0").select("node", "doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("component")))
+        .unionByName(rows.where("n = 0").select("node", "doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("component")))
     )
 
 
