@@ -1,3 +1,6 @@
+import textwrap
+import zlib
+
 import compare
 import pytest
 
@@ -11,9 +14,25 @@ def db(data):
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, data, db, name):
+    if name not in catalog.ORACLE_SQL:
+        pytest.skip("tested against plain Python")
     assert not compare.differences(catalog.QUERIES[name](spark, data), db, catalog.ORACLE_SQL[name])
 
 
+def test_python_backed_queries(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    lines = {}
+    for r in catalog.QUERIES["wrapped_lines"](spark, data).orderBy("doc_id", "line").collect():
+        lines.setdefault(r["doc_id"], []).append(r["line_text"])
+    assert lines == {k: v for k, t in texts.items() if (v := textwrap.wrap(t or "", 80))}
+    for r in catalog.QUERIES["recompressed"](spark, data).collect():
+        raw = texts[r["doc_id"]].encode()
+        assert (r["bytes_before"], r["bytes_after"]) == (len(raw), min(len(raw), len(zlib.compress(raw))))
+    spoken = catalog.QUERIES["sentence_split"](spark, data).collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]].strip() for r in spoken)
+    assert {r["doc_id"] for r in spoken} == {k for k, t in texts.items() if t and any(c.isalnum() for c in t)}
+
+
 def test_entry(spark, data):
     import __spark_entry__
 
