@@ -26,7 +26,7 @@ from .common import materialize, split_words
 END = b""
 ORDER, DIMS, WORD_CLASSES, SUFFIX_CLASSES, SUFFIX_BYTES = 4, 16, 384, 127, 3
 #: Tokens whose counts travel to the tasks; the counts of all others are joined.
-VOCABULARY = 1 << 17
+VOCABULARY = 1 << 18
 NOISE, BATCH, CHUNK, RATE = 64, 2048, 1 << 16, 0.1
 CHUNKS_OF_PARAMETERS = 8
 
