@@ -34,6 +34,23 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language_id.predict_languages(df, nothing).collect()} == {"und"}
 
 
+def test_language_of_very_long_texts(spark, data):
+    docs = spark.read.parquet(f"{MORE}/documents.parquet")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = language_id.fit_languages(docs, ~held_out)
+    made = {}
+    for r in docs.where(held_out & F.col("lang").isNotNull()).orderBy("doc_id").collect():
+        made.setdefault(r["lang"], []).append(r["text"] or "")
+    compressors = language_id.Compressors(model)
+    for lang, texts in made.items():
+        once = " ".join(texts)
+        # Another order each time, so that no long stretch comes back.
+        whole = " ".join(w for i in range(-(-3_000_000 // len(once))) for w in texts[i % len(texts) :] + texts[: i % len(texts)])
+        for size in (100_000, 1_000_000, 3_000_000):
+            got, margin, accepted = compressors.predict(whole[:size])
+            assert (got, accepted) == (lang, True) and margin > 0.02, (lang, size, got, margin)
+
+
 def test_toxicity_held_out(spark, data):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{MORE}/labels.parquet").collect()}
     got = registry.op7_toxicity(spark, MORE).collect()
