@@ -16,6 +16,8 @@ from .common import extended
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[^.!?\n]+[.!?]*")
 PREFIX = 5
+#: Part of the documents, at most, that are taken to be toxic by what isn't learned.
+LEAK = 1e-3
 NEW = ("score", "predicted", "offending")
 
 
@@ -59,47 +61,48 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _bags(index: dict[str, int]):
-    """A document as the number of its sentences and the feature numbers of those sentences that have any."""
+    """A document as the feature numbers of those of its sentences that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, bags = [], []
+            bags = []
             for text in batch.column(0).to_pylist():
                 text = (text or "").lower()
                 spans = _sentences(text)
                 sets = ({index[f] for w in WORDS.findall(text[a:b]) for f in features_of(w) if f in index} for a, b in spans)
-                counts.append(len(spans))
                 bags.append([sorted(s) for s in sets if s])
-            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int32()), batch.column(1), pa.array(bags, pa.list_(pa.list_(pa.int32())))], ["sentences", "label", "bags"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bags, pa.list_(pa.list_(pa.int32())))], ["label", "bags"])
 
     return run
 
 
-def train(counts: np.ndarray, labels: np.ndarray, bags: list[list[list[int]]], width: int, steps: int = 400, rate: float = 0.2, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(labels: np.ndarray, bags: list[list[list[int]]], width: int, steps: int = 400, rate: float = 0.2, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the likelihood of document labels under noisy-or, by Adam on all rows.
 
     A sentence scores sigmoid(bias + its features' weights); a document is toxic unless none of its sentences is.
-    Sentences without features all score the same, so a document holds only their number.
+    A sentence counts by what it exceeds the bias by: without features, or with a sum of weights under 0, it adds
+    nothing, so a document isn't likelier toxic for its length.
     """
     doc_of = np.array([d for d, bag in enumerate(bags) for _ in bag], np.int64)
     flat = [s for bag in bags for s in bag]
     sizes = np.array([len(s) for s in flat], np.int64)
     ids = np.array([i for s in flat for i in s], np.int64)
     row_of = np.repeat(np.arange(len(flat)), sizes)
-    empty = counts - np.bincount(doc_of, minlength=len(counts))
     # Both labels weigh the same in sum, as toxic documents are few.
     balance = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
-    w, b = np.zeros(width), -7.0
+    # Weights start over 0, as a sentence at the bias has no slope.
+    w, b = np.ones(width), -7.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
         z = b + np.bincount(row_of, w[ids], minlength=len(flat)) if len(flat) else np.empty(0)
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
-        none = -np.bincount(doc_of, np.logaddexp(0, z), minlength=len(counts)) - empty * np.logaddexp(0, b)
+        p, p0, over = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b)), z > b
+        none = -np.bincount(doc_of, np.where(over, np.logaddexp(0, z) - np.logaddexp(0, b), 0.0), minlength=len(labels))
+        none += np.log1p(-LEAK)
         whole = -np.expm1(none)
-        # d(-log likelihood)/dz of a sentence is p where the label is 0, and -p (1 - P) / P where it is 1.
-        slope = balance * np.where(labels == 1, -np.exp(none) / np.maximum(whole, 1e-9), 1.0)
-        g_rows = slope[doc_of] * p
-        g = np.append(np.bincount(ids, g_rows[row_of], minlength=width), g_rows.sum() + (slope * empty).sum() * p0)
+        # d(-log likelihood)/dz of a sentence over the bias is p where the label is 0, and -p (1 - P) / P where it is 1.
+        slope = balance * np.where(labels == 1, -np.exp(none) / whole, 1.0)
+        g_rows = slope[doc_of] * over * p
+        g = np.append(np.bincount(ids, g_rows[row_of], minlength=width), (slope[doc_of] * over * (p - p0)).sum())
         g[:width] += decay * w / max(1, width) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
@@ -114,7 +117,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows:
     rows with a null id or label don't. Only the sample's ids and labels are broadcast (bounded by ``sample_rows``),
     and texts stay where they are read. Features are words and prefixes that at least ``least_docs`` toxic
     documents have and that are ``least_ratio`` times as frequent among toxic documents as among others. Without
-    labelled rows of both kinds every score is that of the bias alone.
+    labelled rows of both kinds every score is under ``LEAK``.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     sample = known.where(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -126,8 +129,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows:
     names = [r["feature"] for r in best.collect()]
     if not names:
         return ToxicityModel({}, -9.0, threshold, totals)
-    made = rows.mapInArrow(_bags({f: i for i, f in enumerate(names)}), "sentences int, label int, bags array<array<int>>").collect()
-    w, b = train(np.array([r["sentences"] for r in made]), np.array([r["label"] for r in made]), [r["bags"] for r in made], len(names))
+    made = rows.mapInArrow(_bags({f: i for i, f in enumerate(names)}), "label int, bags array<array<int>>").collect()
+    w, b = train(np.array([r["label"] for r in made]), [r["bags"] for r in made], len(names))
     return ToxicityModel({f: float(x) for f, x in zip(names, w, strict=True) if x}, b, threshold, totals)
 
 
@@ -154,12 +157,14 @@ class Scorer:
             lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
         spans = _sentences(lower)
         weigh, bias = self.weigh, self.model.bias
+        # Ranks texts without learned features by length, and ends at LEAK however long they are.
+        unlearned = LEAK * len(spans) / (len(spans) + 1)
         if not any(map(weigh, set(WORDS.findall(lower)))):
-            return float(-np.expm1(-len(spans) * np.logaddexp(0, bias))), []
-        none, offending = 0.0, []
+            return unlearned, []
+        none, offending, nothing = np.log1p(-unlearned), [], np.logaddexp(0, bias)
         for a, b in spans:
             z = bias + sum(self.model.weights[f] for f in {f for w in WORDS.findall(lower[a:b]) for f in weigh(w)})
-            none -= np.logaddexp(0, z)
+            none -= max(0.0, np.logaddexp(0, z) - nothing)
             if z > 0:
                 offending.append((a, b - a, float(1 / (1 + np.exp(-z)))))
         return float(-np.expm1(none)), offending

@@ -74,3 +74,18 @@ def test_toxicity_finds_the_sentence(spark):
     assert got[None]["score"] == got[900]["score"] == 0.0
     empty = toxicity.fit_toxicity(docs, labels.limit(0), F.lit(True))
     assert all(r["predicted"] == 0 for r in toxicity.score_toxicity(docs, empty).collect())
+
+
+def test_toxicity_does_not_grow_with_length(spark, data):
+    docs, labels = spark.read.parquet(f"{MORE}/documents.parquet"), spark.read.parquet(f"{MORE}/labels.parquet")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    scorer = toxicity.Scorer(toxicity.fit_toxicity(docs, labels, ~held_out))
+    scored = [(*scorer.score(r["text"]), r["text"], r["toxic"]) for r in docs.where(held_out).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").orderBy("doc_id").collect()]
+    clean = "\n".join(text for score, _, text, toxic in scored if toxic == 0 and score < 0.1)
+    bad = next(text for score, _, text, toxic in scored if toxic == 1 and score > 0.95)
+    sentences = [clean[a:b] for a, b in toxicity._sentences(clean)]
+    for n in (2000, 6000, 20_000):
+        assert scorer.score("Zq xv. " * n)[0] <= toxicity.LEAK
+        long = "\n".join((sentences * -(-n // len(sentences)))[:n])
+        assert scorer.score(long)[0] < scorer.model.threshold, n
+        assert scorer.score(long + "\n" + bad)[0] >= scorer.model.threshold
