@@ -32,8 +32,10 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: An end tag of these closes open paragraphs and list items only up to the container that holds them.
 CLOSES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
-#: Width of the Gaussian, in lines, and the part of the text a container must hold to be the article.
-SIGMA, SHARE = 1.0, 0.6
+#: Elements that may be the article; others, as lists, tables and quotations, are parts of one.
+CONTAINERS = frozenset("#page html body article main div section center".split())
+#: Width of the Gaussian, in lines.
+SIGMA = 1.0
 
 
 class _Lines(HTMLParser):
@@ -173,10 +175,11 @@ def extract(html: str | None) -> tuple[str, int]:
     """The main text of a page, and the number of content regions that its text-to-tag ratios show.
 
     Lines outside boilerplate elements give ratios of characters to tags, smoothed over neighbouring lines; runs of
-    lines over the threshold (half the mean) are the content regions. The article is the smallest element that
-    holds most of the regions' text, widened to the article or main element around it, and all its lines outside
-    boilerplate are the text, however short, as a threshold alone would lose single-word paragraphs. An element
-    whose class only hints at boilerplate stays if it holds most of the text.
+    lines over the threshold (half the mean) are the content regions. The only article or main element is the
+    article if it holds most of the regions' text, of that beside it without hinted elements. Else it is the smallest generic container that holds all regions
+    and headings, widened to the article or main element around it. All its lines outside boilerplate are the text,
+    however short, as a threshold alone would lose single-word paragraphs. An element whose class only hints at
+    boilerplate stays if it holds most of the text.
     """
     if not html:
         return "", 0
@@ -195,22 +198,31 @@ def extract(html: str | None) -> tuple[str, int]:
     ratios = smooth(np.array([len(x[0]) / max(1, x[1]) for x in lines]))
     inside = ratios >= ratios.mean() / 2
     regions = int(inside[0]) + int(np.count_nonzero(inside[1:] & ~inside[:-1]))
-    mass: dict[int, int] = {}
-    for (text, _, number, _, _), content in zip(lines, inside.tolist(), strict=True):
-        size = len(text) if content else 0
-        while True:
-            mass[number] = mass.get(number, 0) + size
-            if not number:
-                break
-            number = page.parents[number]
-    whole = mass[0]
-    articles = [n for n in mass if page.names[n] in ("article", "main") and not any(page.names[p] in ("article", "main") for p in _above(page, n))]
-    if len(articles) == 1 and 10 * mass[articles[0]] >= whole:
-        chosen = articles[0]
+    # Elements are numbered where they start, so those within one follow it, up to its last.
+    last = list(range(len(page.names)))
+    for n in range(len(last) - 1, 0, -1):
+        last[page.parents[n]] = max(last[page.parents[n]], last[n])
+    in_article, in_heading = [False] * len(last), [False] * len(last)
+    for n in range(1, len(last)):
+        parent = page.parents[n]
+        in_article[n] = in_article[parent] or page.names[parent] in ("article", "main")
+        in_heading[n] = in_heading[parent] or page.names[n] in HEADINGS
+    sized = [(x[2], len(x[0]) if content else 0, x[4]) for x, content in zip(lines, inside.tolist(), strict=True)]
+    articles = [n for n, name in enumerate(page.names) if name in ("article", "main") and not in_article[n]]
+    articles = [n for n in articles if any(n <= at <= last[n] for at, _, _ in sized)] if articles else []
+    one = articles[0] if len(articles) == 1 else -1
+    within = sum(size for at, size, _ in sized if one >= 0 and one <= at <= last[one])
+    beside = sum(size for at, size, hints in sized if not hints and not (one >= 0 and one <= at <= last[one]))
+    if one >= 0 and within > beside:
+        chosen = one
     else:
-        chosen = max((n for n in mass if mass[n] >= SHARE * whole and page.names[n] not in ("p", "li", "td", *HEADINGS)), default=0)
+        needed = [at for at, size, _ in sized if size or in_heading[at]]
+        chosen = min(needed)
+        furthest = max(needed)
+        while last[chosen] < furthest or page.names[chosen] not in CONTAINERS:
+            chosen = page.parents[chosen]
         chosen = next((p for p in (chosen, *_above(page, chosen)) if page.names[p] in ("article", "main")), chosen)
-    kept = [text for text, _, number, _, _ in lines if number == chosen or chosen in _above(page, number)]
+    kept = [x[0] for x in lines if chosen <= x[2] <= last[chosen]]
     return "\n".join(kept), regions
 
 

@@ -26,6 +26,27 @@ def test_layouts():
     assert extract('<body><p>kept text</p><p hidden>no</p><p style="display: none">no</p><div role="navigation">no</div></body>')[0] == "kept text"
 
 
+def test_pages_without_article_stay_whole():
+    item = "A list item with a good number of words in it, as articles have them."
+    listing = "".join(f"<li>{item}</li>" for _ in range(6))
+    body = f"<div><h1>Head</h1><p>An introduction with some words in it.</p><ul>{listing}</ul><p>The end, with a few more words.</p></div>"
+    assert extract(body)[0].split("\n") == ["Head", "An introduction with some words in it.", *[item] * 6, "The end, with a few more words."]
+    for tag, cell in (("table", "<tr><td>{}</td></tr>"), ("blockquote", "<p>{}</p>"), ("section", "<p>{}</p>"), ("div", "<p>{}</p>"), ("ol", "<li>{}</li>"), ("pre", "{}\n"), ("dl", "<dd>{}</dd>")):
+        inner = "".join(cell.format(item) for _ in range(6))
+        got = extract(f"<body><nav>menu</nav><div><p>Before it are these words.</p><{tag}>{inner}</{tag}><h2>After</h2><p>After it are these words.</p></div><footer>foot</footer>")[0]
+        assert got.startswith("Before it are these words.\n") and got.endswith("\nAfter\nAfter it are these words.") and got.count(item) == 6, tag
+    sections = "".join(f"<section><h2>Part {i}</h2>{f'<p>{item}</p>' * n}</section>" for i, n in enumerate((1, 6, 2)))
+    assert extract(f"<body><div class='outer'><div>{sections}</div></div>")[0].count(item) == 9
+
+
+def test_article_that_is_a_teaser():
+    text = "".join(f"<p>Paragraph {i} of the text that this page is about, with many words.</p>" for i in range(9))
+    got = extract(f"<body><div><h1>Head</h1>{text}</div><article><p>A teaser of another page, which is rather longer than a paragraph and so has over a tenth of all the text.</p></article>")[0]
+    assert got.startswith("Head\nParagraph 0") and "Paragraph 8" in got
+    # An element whose class hints at boilerplate doesn't outweigh an article.
+    assert extract('<body><div class="ad">Words of an advertisement, longer than the article.</div><article><p>Short text.</p></article>')[0] == "Short text."
+
+
 def test_edges(spark):
     for page, text in ((None, ""), ("", ""), ("<p>", ""), ("plain text", "plain text"), ("<script>var a='<p>x</p>'</script>", ""), ("<p>a<![if x]>b", "ab"), ("<p>&lt;p&gt; &#233;&eacute;", "<p> éé"), ("<nav>only menus</nav>", "")):
         assert extract(page)[0] == text
