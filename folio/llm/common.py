@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,12 @@ from pyspark.sql import types as T
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: The folders made for applications whose session names none.
+#: The folders made for local applications whose session names none, and the paths in use, by application.
 _OWN: dict[str, str] = {}
+_MADE: dict[str, set[str]] = {}
+LOCAL = re.compile(r"local($|\[)")
+#: Spark's setting that removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,39 +38,75 @@ def fold_of(doc_id: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; a temporary one only where the session names none, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's folder for checkpoints; a temporary one only where the session names none and is local, as in tests."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-")
-        _OWN[spark.sparkContext.applicationId] = found
+        if not LOCAL.match(context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        found = _OWN.get(context.applicationId) or "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-")
+        _OWN[context.applicationId] = found
     return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, which ``clear`` removes, and the driver when it ends."""
+    path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    system, where = _located(spark, path)
+    system.deleteOnExit(where)
+    return path
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path through the Hadoop file system that owns it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    system, where = _located(spark, path)
+    system.delete(where, True)
+    _MADE.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def clear(spark: SparkSession, keep: Iterable[DataFrame] = ()) -> None:
+    """Remove what operators have written below the shared folder, but for the tables ``keep``.
+
+    An operator removes what its result doesn't need; the rest must stay until the result has been read, which only
+    the caller knows.
+    """
+    kept = {getattr(df, "_folio_path", None) for df in keep}
+    for path in [*_MADE.get(spark.sparkContext.applicationId, ())]:
+        if path not in kept:
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors cost no rerun."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors cost no rerun.
+
+    Shuffle files of the write are let go when it ends, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
     return out
 
 
-def release(df: DataFrame | None) -> None:
-    """Remove what ``materialize`` wrote for ``df``."""
-    if df is not None and getattr(df, "_folio_path", None):
-        remove(df.sparkSession, df._folio_path)
+def release(*tables: DataFrame | None) -> None:
+    """Remove what ``materialize`` wrote for these tables."""
+    for df in tables:
+        if df is not None and getattr(df, "_folio_path", None):
+            remove(df.sparkSession, df._folio_path)
 
 
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
@@ -73,11 +114,5 @@ def extended(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let go of shuffle files whose DataFrames are gone: the driver removes them when it collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
