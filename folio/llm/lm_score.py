@@ -35,8 +35,8 @@ VOCABULARY = 1 << 18
 NOISE, NOISE_WITHIN, BATCH, PIECE, CHUNK, RATE = 16, 1, 4096, 32, 1 << 16, 0.15
 #: Rows of a matrix product.
 ROWS = 2048
-#: Bytes of text that are split at once, and rows that a task's parameters are sent in.
-SLICE_BYTES, CHUNKS_OF_PARAMETERS = 32 << 20, 8
+#: Bytes of text that are counted at once and that are numbered at once, and rows that a task's parameters are sent in.
+COUNT_BYTES, SLICE_BYTES, CHUNKS_OF_PARAMETERS = 32 << 20, 4 << 20, 8
 
 
 @dataclass
@@ -73,14 +73,14 @@ class Model:
         return np.repeat(np.arange(self.clusters), np.diff(self.first))
 
 
-def split_batch(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.BinaryArray]]:
-    """The tokens of texts, some at a time: the first text's place, the words of each text, and all words as bytes.
+def split_batch(texts: pa.Array, most: int) -> Iterator[tuple[int, np.ndarray, pa.BinaryArray]]:
+    """The tokens of texts, about ``most`` bytes of text at a time: the first text's place, the words of each text, and all words as bytes.
 
     Arrow's ASCII kernels lower-case A to Z and split at the six ASCII white-space characters.
     """
     texts = pc.fill_null(texts, "")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // SLICE_BYTES
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
     edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(sizes)) if len(sizes) else np.zeros(1, int)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts[a:b]))
@@ -94,7 +94,7 @@ def split_batch(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.BinaryArr
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, counts, words in split_batch(batch.column(0)):
+        for _, counts, words in split_batch(batch.column(0), COUNT_BYTES):
             found = words.value_counts()
             tokens = pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())])
             times = pa.concat_arrays([found.field("counts"), pa.array([len(counts)], pa.int64())])
@@ -167,7 +167,7 @@ def ending_of(model: Model, tokens: pa.BinaryArray) -> np.ndarray:
 def read_batch(model: Model, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.BinaryArray]]:
     """Texts as numbers, some at a time: the first text's place, and by token, ends included, the tokens of each text,
     vocabulary numbers (-1: not in it), items, and the tokens that aren't in it."""
-    for at, counts, words in split_batch(texts):
+    for at, counts, words in split_batch(texts, SLICE_BYTES):
         found = pc.fill_null(pc.index_in(words, model.tokens), -1).to_numpy(zero_copy_only=False)
         items = model.items[found]
         far = np.flatnonzero(found < 0)

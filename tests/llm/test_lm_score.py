@@ -61,6 +61,7 @@ def check(spark, rows):
 @pytest.mark.parametrize("slice_bytes", [100, 32 << 20])
 def test_counts_and_base_scores(spark, small, monkeypatch, slice_bytes):
     monkeypatch.setattr(lm_score, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(lm_score, "COUNT_BYTES", slice_bytes)
     rows = [(i, f"The word{i % 50} and  word{i % 7}\nis Éa{i} end.") for i in range(400)]
     check(spark, [*rows, (None, None), (1000, ""), (1001, "\x00 5 \x1f"), (1003, "\x0b lead\x1ced x \x0c"), (3, rows[3][1]), (1002, "x " * 5000)])
 
