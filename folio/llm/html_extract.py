@@ -27,41 +27,47 @@ HINT = re.compile(
     re.I,
 )
 COMMENT = re.compile(r"(?:^|[\s_-])comment", re.I)
+#: In these a hint counts only as a whole name: a paragraph's class may well speak of its subject.
+PARAGRAPHS = frozenset("p li dt dd td th blockquote pre figcaption caption h1 h2 h3 h4 h5 h6".split())
 KEEP_ANYWAY = frozenset("html body article main".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: An end tag of these closes open paragraphs and list items only up to the container that holds them.
 CLOSES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
-#: Elements that may be the article; others, as lists, tables and quotations, are parts of one.
+#: Elements that may be the article; others, as lists, tables and quotations, are parts of one. The last hold every page whole.
 CONTAINERS = frozenset("#page html body article main div section center".split())
-#: Width of the Gaussian, in lines.
-SIGMA = 1.0
+WHOLE = frozenset("#page html body".split())
+#: Width of the Gaussian, in lines, and the threshold as a share of the mean smoothed ratio.
+SIGMA, SHARE = 1.0, 2 / 3
 
 
 class _Lines(HTMLParser):
     """Collects lines of text from parser events: a line ends where a block starts or ends.
 
-    ``lines`` has (text, tags, container, hard, hint): the tags met since the line before, the number of the element
-    that holds it, whether that is boilerplate by its element or role, and the numbers of the elements around it
-    whose class or id hints at boilerplate. ``parents`` and ``names`` describe elements by number; 0 is the page.
+    ``lines`` has (text, ratio, container, hard, hint): characters outside links for each tag met since the line
+    before, the number of the element that holds it, whether that is boilerplate by its element or role, and the
+    numbers of the elements around it whose class or id hints at boilerplate. ``parents`` and ``names`` describe
+    elements by number; 0 is the page.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, float, int, bool, tuple[int, ...]]] = []
         self.names, self.parents = ["#page"], [0]
         self.stack: list[tuple[str, int, bool, tuple[int, ...], bool]] = [("#page", 0, False, (), False)]
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
+        self.in_link = False
         self.silent: list[str] = []
 
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
                 _, number, hard, hint, _ = self.stack[-1]
-                self.lines.append((text, self.tags, number, hard, hint))
+                self.lines.append((text, max(0, len(text) - self.linked) / max(1, self.tags), number, hard, hint))
                 self.tags = 0
             self.parts.clear()
+            self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -78,6 +84,8 @@ class _Lines(HTMLParser):
             if tag not in VOID:
                 self.silent.append(tag)
             return
+        if tag == "a":
+            self.in_link = True
         if tag not in BLOCKS:
             return
         self.flush()
@@ -99,7 +107,11 @@ class _Lines(HTMLParser):
             if (a.get("role") or "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style") or ""):
                 hard = True
             marks = f"{a.get('class') or ''} {a.get('id') or ''}"
-            if HINT.search(marks) if tag not in KEEP_ANYWAY else tag == "article" and COMMENT.search(marks):
+            if tag in PARAGRAPHS:
+                named = any(HINT.fullmatch(x) for x in marks.split())
+            else:
+                named = HINT.search(marks) if tag not in KEEP_ANYWAY else tag == "article" and COMMENT.search(marks)
+            if named:
                 hint = (*hint, number)
         self.stack.append((tag, number, hard, hint, in_header))
 
@@ -130,6 +142,8 @@ class _Lines(HTMLParser):
             elif tag in ("body", "html"):
                 self.silent.clear()
             return
+        if tag == "a":
+            self.in_link = False
         if tag not in BLOCKS or tag in VOID:
             return
         self.flush()
@@ -145,6 +159,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.parts.append(data)
+            if self.in_link:
+                self.linked += len(data.strip())
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -174,56 +190,77 @@ def _parse(html: str) -> _Lines:
 def extract(html: str | None) -> tuple[str, int]:
     """The main text of a page, and the number of content regions that its text-to-tag ratios show.
 
-    Lines outside boilerplate elements give ratios of characters to tags, smoothed over neighbouring lines; runs of
-    lines over the threshold (half the mean) are the content regions. The only article or main element is the
-    article if it holds most of the regions' text, of that beside it without hinted elements. Else it is the smallest generic container that holds all regions
-    and headings, widened to the article or main element around it. All its lines outside boilerplate are the text,
-    however short, as a threshold alone would lose single-word paragraphs. An element whose class only hints at
-    boilerplate stays if it holds most of the text.
+    Every line has a ratio: the root of its characters outside links for each tag, and 0 in boilerplate, by
+    element, role or hint. Ratios are smoothed over neighbouring lines; runs of lines over the threshold (two thirds of the
+    mean) are the content regions, in which short lines among long ones stay and stray ones far from them don't.
+    The only article or main element is the article if it holds most of the regions' text, of that beside it without
+    hinted elements. Else the regions' lines name the smallest generic container that holds them, or the article or
+    main element around it. If paragraphs of regions stand in that container itself, and it isn't the whole page, all
+    its lines outside boilerplate are the text. Else the text is what lies between the first and the last line of
+    regions, and the rest of their own containers. An element whose class only hints at boilerplate stays if it
+    holds most of the text.
     """
     if not html:
         return "", 0
     page = _parse(html)
-    lines = [x for x in page.lines if not x[3]]
-    if not lines:
-        return "", 0
-    total = sum(len(x[0]) for x in lines)
+    total = sum(len(x[0]) for x in page.lines if not x[3])
     hinted: dict[int, int] = {}
-    for text, _, _, _, hints in lines:
-        for hint in hints:
+    for text, _, _, hard, hints in page.lines:
+        for hint in () if hard else hints:
             hinted[hint] = hinted.get(hint, 0) + len(text)
-    lines = [x for x in lines if all(2 * hinted[hint] > total for hint in x[4])]
-    if not lines:
+    open_lines = [not x[3] and all(2 * hinted[hint] > total for hint in x[4]) for x in page.lines]
+    if not any(open_lines):
         return "", 0
-    ratios = smooth(np.array([len(x[0]) / max(1, x[1]) for x in lines]))
-    inside = ratios >= ratios.mean() / 2
+    # Boilerplate takes part with a ratio of 0, so it parts regions, and never belongs to one.
+    raw = np.array([x[1] ** 0.5 if ok else 0.0 for x, ok in zip(page.lines, open_lines, strict=True)])
+    ratios = smooth(raw)
+    threshold = ratios.mean() * SHARE
+    inside = (ratios >= threshold) & open_lines
     regions = int(inside[0]) + int(np.count_nonzero(inside[1:] & ~inside[:-1]))
     # Elements are numbered where they start, so those within one follow it, up to its last.
     last = list(range(len(page.names)))
     for n in range(len(last) - 1, 0, -1):
         last[page.parents[n]] = max(last[page.parents[n]], last[n])
-    in_article, in_heading = [False] * len(last), [False] * len(last)
+    in_article, in_heading, own = [False] * len(last), [False] * len(last), [0] * len(last)
     for n in range(1, len(last)):
         parent = page.parents[n]
         in_article[n] = in_article[parent] or page.names[parent] in ("article", "main")
         in_heading[n] = in_heading[parent] or page.names[n] in HEADINGS
-    sized = [(x[2], len(x[0]) if content else 0, x[4]) for x, content in zip(lines, inside.tolist(), strict=True)]
+        own[n] = n if page.names[n] in CONTAINERS else own[parent]
+    rows = [(i, x[2], len(x[0]) if inside[i] else 0, x[4]) for i, x in enumerate(page.lines) if open_lines[i]]
+    # What names the container: a region's lines, but for those that only their neighbours lift.
+    core = {i for i, at, size, _ in rows if size and (1.5 * raw[i] >= threshold or in_heading[at])}
     articles = [n for n, name in enumerate(page.names) if name in ("article", "main") and not in_article[n]]
-    articles = [n for n in articles if any(n <= at <= last[n] for at, _, _ in sized)] if articles else []
+    articles = [n for n in articles if any(n <= at <= last[n] for _, at, _, _ in rows)] if articles else []
     one = articles[0] if len(articles) == 1 else -1
-    within = sum(size for at, size, _ in sized if one >= 0 and one <= at <= last[one])
-    beside = sum(size for at, size, hints in sized if not hints and not (one >= 0 and one <= at <= last[one]))
+    within = sum(size for _, at, size, _ in rows if one >= 0 and one <= at <= last[one])
+    beside = sum(size for _, at, size, hints in rows if not hints and not (one >= 0 and one <= at <= last[one]))
     if one >= 0 and within > beside:
         chosen = one
-    else:
-        needed = [at for at, size, _ in sized if size or in_heading[at]]
-        chosen = min(needed)
-        furthest = max(needed)
-        while last[chosen] < furthest or page.names[chosen] not in CONTAINERS:
-            chosen = page.parents[chosen]
+    elif core:
+        needed = [at for i, at, _, _ in rows if i in core]
+        chosen, furthest = own[min(needed)], max(needed)
+        while last[chosen] < furthest:
+            chosen = own[page.parents[chosen]]
         chosen = next((p for p in (chosen, *_above(page, chosen)) if page.names[p] in ("article", "main")), chosen)
-    kept = [x[0] for x in lines if chosen <= x[2] <= last[chosen]]
-    return "\n".join(kept), regions
+    else:
+        chosen = 0
+    rows = [r for r in rows if chosen <= r[1] <= last[chosen]]
+    direct = any(i in core and own[at] == chosen for i, at, _, _ in rows)
+    if core and page.names[chosen] not in ("article", "main") and (page.names[chosen] in WHOLE or not direct):
+        # The lines decide: the container holds other things than the article too.
+        below = {at: _below(page, own, own[at], chosen) for _, at, _, _ in rows}
+        held = {below[at] for i, at, _, _ in rows if i in core} - {chosen}
+        edges = [i for i, at, size, _ in rows if size and (below[at] in held or own[at] == chosen)]
+        rows = [r for r in rows if edges[0] <= r[0] <= edges[-1] or below[r[1]] in held]
+    return "\n".join(page.lines[r[0]][0] for r in rows), regions
+
+
+def _below(page: _Lines, own: list[int], number: int, container: int) -> int:
+    """The container around an element that stands next below ``container``; itself where there is none."""
+    while number != container and own[page.parents[number]] != container:
+        number = own[page.parents[number]]
+    return number
 
 
 def _above(page: _Lines, number: int) -> list[int]:

@@ -1,6 +1,7 @@
 import html
 import re
 
+from folio.llm import html_extract
 from folio.llm.html_extract import extract, extract_pages
 
 
@@ -47,6 +48,34 @@ def test_article_that_is_a_teaser():
     assert extract('<body><div class="ad">Words of an advertisement, longer than the article.</div><article><p>Short text.</p></article>')[0] == "Short text."
 
 
+def plain_page(body: str) -> str:
+    """A page without article elements, and menus and a footer that no class tells apart."""
+    menu = "".join(f"<p>{x}</p>" for x in ("Home", "Products", "Where we are", "Jobs"))
+    return f"<body>{menu}{body}<p>Imprint</p><p>Privacy</p><p>Contact</p><p>Up</p></body>"
+
+
+LONG = [f"Paragraph {i} of the text that this page is about, with as many words as paragraphs have." for i in range(8)]
+
+
+def test_ratios_alone_tell_the_text(monkeypatch):
+    text = ["Tides", *LONG[:4], "Why so?", "No.", *LONG[4:], "So it is."]
+    flat = f"<h1>{text[0]}</h1>" + "".join(f"<p>{x}</p>" for x in text[1:])
+    got = extract(plain_page(flat))[0].split("\n")
+    assert [x for x in text if x in got] == text and not {"Home", "Products", "Jobs", "Privacy", "Contact", "Up"} & set(got)
+    links = "".join(f'<div><a href="/{i}">A link to another page with a rather long title {i}</a></div>' for i in range(12))
+    boxes = f"<div><div>{links}</div><div><div>{flat}</div><div>{''.join(f'<p>{x} Again.</p>' for x in LONG)}</div></div><div><div>Imprint</div></div></div>"
+    assert extract(f"<body>{boxes}</body>")[0].split("\n") == [*text, *[f"{x} Again." for x in LONG]]
+    # Without smoothing the short lines at the edges are lost: the smoothed ratios decide.
+    monkeypatch.setattr(html_extract, "smooth", lambda ratios: ratios)
+    assert not {text[0], text[-1]} & set(extract(plain_page(flat))[0].split("\n"))
+
+
+def test_a_paragraph_may_speak_of_notices():
+    body = "".join(f"<p>{x}</p>" for x in LONG)
+    got = extract(f'<article>{body}<p class="notice-of-award">The award went to all who had written.</p><p class="notice">We use cookies.</p><div class="share-buttons"><p>Share it</p></div></article>')[0]
+    assert got.split("\n") == [*LONG, "The award went to all who had written."]
+
+
 def test_edges(spark):
     for page, text in ((None, ""), ("", ""), ("<p>", ""), ("plain text", "plain text"), ("<script>var a='<p>x</p>'</script>", ""), ("<p>a<![if x]>b", "ab"), ("<p>&lt;p&gt; &#233;&eacute;", "<p> éé"), ("<nav>only menus</nav>", "")):
         assert extract(page)[0] == text
