@@ -65,9 +65,10 @@ def test_ratios_alone_tell_the_text(monkeypatch):
     links = "".join(f'<div><a href="/{i}">A link to another page with a rather long title {i}</a></div>' for i in range(12))
     boxes = f"<div><div>{links}</div><div><div>{flat}</div><div>{''.join(f'<p>{x} Again.</p>' for x in LONG)}</div></div><div><div>Imprint</div></div></div>"
     assert extract(f"<body>{boxes}</body>")[0].split("\n") == [*text, *[f"{x} Again." for x in LONG]]
-    # Without smoothing the short lines at the edges are lost: the smoothed ratios decide.
+    # Without smoothing a menu's longest line passes for text and the text's short last line doesn't: the smoothed ratios decide.
     monkeypatch.setattr(html_extract, "smooth", lambda ratios: ratios)
-    assert not {text[0], text[-1]} & set(extract(plain_page(flat))[0].split("\n"))
+    rough = extract(plain_page(flat))[0].split("\n")
+    assert "Where we are" in rough and text[-1] not in rough
 
 
 def test_a_paragraph_may_speak_of_notices():
