@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, materialize, release
 
-#: Documents in a block, on average over all sources, and the bounds of the number of blocks of a source.
-BLOCK_DOCS, LEAST_BLOCKS, MOST_BLOCKS = 2048, 8, 4096
+#: Blocks of a source, parts of a block, and hash buckets in which a node of the tree ranks its draws.
+BLOCKS, PARTS, BUCKETS = 64, 64, 4096
 
 
 def _order(seed: int, *parts: Column) -> Column:
@@ -42,47 +42,65 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
     return out.withColumn("passes", passes).select("skey", "source_size", "target", "passes", (F.col("target") - F.col("passes") * F.col("source_size")).alias("rest"))
 
 
-def split_draws(draws: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Add ``shard`` to rows (skey, block, pass), one row a block to be drawn.
+def split_quotas(draws: DataFrame, shards: int, seed: int) -> DataFrame:
+    """How many of each source's draws go to each shard: skey, shard, quota, from rows (skey, block, pass).
 
-    Level by level every node of the tree sends half of its rows, picked by a permutation of its own, to the left
+    Level by level every node of the tree sends half of its draws, picked by a permutation of its own, to the left
     child: the left child's counts by source are a multivariate hypergeometric draw from the node's quotas, and
     the right child has exactly the rest. ``shards`` is a power of two; a leaf is a shard, and shards differ by
-    one block at most on any level.
+    one draw at most on any level. A draw's place in its node's permutation is its place in its hash bucket after
+    all the buckets before, so no task ranks a whole node.
     """
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
-    out = draws.withColumn("shard", F.lit(0))
+    out = draws.select("skey", "block", "pass", F.lit(0).alias("shard"))
     for level in range(shards.bit_length() - 1):
+        out = out.withColumn("key", _order(seed, F.lit(level), F.col("skey"), F.col("block"), F.col("pass")))
+        out = out.withColumn("bucket", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * BUCKETS / 2**32).withColumn("bucket", F.floor("bucket"))
         node = Window.partitionBy("shard")
-        place = F.row_number().over(node.orderBy(_order(seed, F.lit(level), F.col("skey"), F.col("block"), F.col("pass"))))
-        out = out.withColumn("shard", F.col("shard") * 2 + (place * 2 > F.count(F.lit(1)).over(node) + 1).cast("int"))
-    return out
+        counted = out.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        counted = counted.select("shard", "bucket", (F.sum("n").over(node.orderBy("bucket")) - F.col("n")).alias("earlier"), F.sum("n").over(node).alias("whole"))
+        place = F.col("earlier") + F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("key", "skey", "block", "pass"))
+        right = (place * 2 > F.col("whole") + 1).cast("int")
+        out = out.join(counted, ["shard", "bucket"]).select("skey", "block", "pass", (F.col("shard") * 2 + right).alias("shard"))
+    return out.groupBy("skey", "shard").agg(F.count(F.lit(1)).alias("quota"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, shards: int = 8, seed: int = 7, held: DataFrame | None = None) -> DataFrame:
+def draw_blocks(draws: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The draws (skey, block, pass) with the shard that takes each: leaves take disjoint runs of a source's permuted draws, as long as their quotas."""
+    place = F.row_number().over(Window.partitionBy("skey").orderBy(_order(seed, F.lit("draw"), F.col("skey"), F.col("block"), F.col("pass"))))
+    upto = F.sum("quota").over(Window.partitionBy("skey").orderBy("shard"))
+    ends = split_quotas(draws, shards, seed).select("skey", F.struct(upto.alias("upto"), "shard").alias("end")).groupBy("skey").agg(F.sort_array(F.collect_list("end")).alias("ends"))
+    placed = draws.select("skey", "block", "pass", place.alias("place")).join(ends, "skey")
+    return placed.select("skey", "block", "pass", F.filter("ends", lambda e: e["upto"] >= F.col("place"))[0]["shard"].alias("shard"))
+
+
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, shards: int = 8, seed: int = 7) -> DataFrame:
     """How often each document goes into the mix, and into which shards.
 
-    ``docs`` has doc_id, source, text. Returns doc_id, source, size, source_size, target, taken and ``draws``, an
-    array of (pass, shard), one entry for each copy taken. A source is dealt into blocks by a hash of the ids;
-    every block is drawn floor(target / source size) times, then blocks in permuted order once more while they fit
-    the rest. The block at which the rest ends gives documents in permuted order while they fit; then the one document
-    outside all these whose size is nearest to what is missing joins, if that brings the sum nearer.
+    ``docs`` has doc_id, source, text. Returns doc_id, source, size, source_size, target, taken, block and ``draws``,
+    an array of (pass, shard), one entry for each copy taken. A source is dealt into BLOCKS blocks of PARTS parts by a
+    hash of the ids. Its quota is every block floor(target / source size) times, and blocks in permuted order once
+    more while they fit the rest. The tree splits the quotas of all sources among the shards, and each shard draws
+    its quota of blocks; a document is taken as often as its block is drawn. The last block of a quota, at which the
+    rest ends, gives parts and then documents in permuted order while they fit; then the one document outside all
+    these whose size is nearest to what is missing joins, if that brings the sum nearer.
 
     Null or empty texts have size 0 and are drawn with their block, which takes no words. A null source is a
     source of its own. Repeated rows are documents of their own. Without words all targets are 0. The text is read
-    once; what is shuffled are ids and sizes, and windows hold the blocks of a source or the documents of the one
-    block where a source's rest ends.
+    once; what is shuffled are ids and sizes. Windows hold the blocks of a source, or the documents of one part of one block,
+    a 4096th of a source; the targets' hold a row for each source.
     """
     skey = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("n"))
-    sized = docs.select("doc_id", "source", skey.alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
-    sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
-    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, sized.count() // BLOCK_DOCS))
-    rank = _order(seed, F.col("doc_id"))
-    sized = sized.withColumn("rank", rank).withColumn("block", F.conv(F.substring("rank", 1, 8), 16, 10).cast("long") % blocks)
-
-    targets = source_targets(sized, weights, most_repeats)
-    summed = sized.groupBy("skey", "block").agg(F.sum("size").alias("block_size")).join(targets, "skey")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    sized = docs.select("doc_id", "source", skey.alias("skey"), size.alias("size"), _order(seed, F.col("doc_id")).alias("rank"))
+    cell = F.conv(F.substring("rank", 1, 8), 16, 10).cast("long")
+    sized = sized.withColumns({"row": F.monotonically_increasing_id(), "block": cell % BLOCKS, "part": F.floor(cell / BLOCKS) % PARTS})
+    sized = materialize(sized, "sizes")
+
+    cells = materialize(sized.groupBy("skey", "source", "block", "part").agg(F.sum("size").alias("size")), "cells")
+    targets = source_targets(cells, weights, most_repeats)
+    summed = cells.groupBy("skey", "block").agg(F.sum("size").alias("block_size")).join(targets, "skey")
     path = Window.partitionBy("skey").orderBy(_order(seed, F.col("skey"), F.col("block"))).rowsBetween(Window.unboundedPreceding, 0)
     summed = summed.withColumn("upto", F.sum("block_size").over(path)).withColumn("before", F.col("upto") - F.col("block_size"))
     whole = (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)
@@ -91,18 +109,26 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats
 
     last = F.when(F.col("whole") | F.col("cut"), F.col("passes")).otherwise(F.col("passes") - 1)
     draws = placed.where(F.col("whole") | F.col("cut") | (F.col("passes") > 0)).select("skey", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pass"))
-    shard_of = split_draws(draws, shards, seed).groupBy("skey", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("drawn"))
-    placed = placed.join(shard_of, ["skey", "block"], "left").select("skey", "block", "source_size", "target", "passes", "whole", "cut", (F.col("rest") - F.col("before")).alias("room"), "drawn")
-
-    # AQE turns this into a broadcast while the blocks' table is small; keys are blocks, so a large source is spread.
-    rows = sized.join(placed, ["skey", "block"])
-    inside = Window.partitionBy("skey", "block").orderBy("rank", "doc_id", "size", "row")
-    upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    names = ["row", "skey", "block", "doc_id", "source", "size", "rank", "source_size", "target", "passes", "room", "drawn", "whole", "cut"]
-    cuts = rows.where("cut").withColumn("upto", upto).select(*names, "upto", (F.col("upto") <= F.col("room")).alias("fits"))
-    rows = materialize(cuts.unionByName(rows.where("not cut").select(*names, F.lit(0).cast("long").alias("upto"), F.lit(False).alias("fits"))), "rows")
-
-    missing = rows.where("cut").groupBy("skey").agg((F.first("room") - F.coalesce(F.max(F.when(F.col("fits"), F.col("upto"))), F.lit(0))).alias("missing"), F.element_at(F.first("drawn"), -1).alias("last_draw"))
+    drawn = draw_blocks(materialize(draws, "draws"), shards, seed).groupBy("skey", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("drawn"))
+    placed = placed.join(drawn, ["skey", "block"], "left").select("skey", "block", "source_size", "target", "passes", "whole", "cut", (F.col("rest") - F.col("before")).alias("room"), "drawn")
+    placed = materialize(placed, "drawn")
+
+    # The same again for the parts of the block at which a source's rest ends.
+    within = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = cells.join(placed.where("cut").select("skey", "block", "room"), ["skey", "block"]).withColumn("upto", F.sum("size").over(within))
+    parts = parts.select("skey", "block", "part", (F.col("room") - F.col("upto") + F.col("size")).alias("part_room"), (F.col("upto") <= F.col("room")).alias("part_whole"))
+
+    # AQE turns these into broadcasts while the tables are small; keys are blocks, so a large source is spread.
+    rows = sized.join(placed, ["skey", "block"]).join(parts, ["skey", "block", "part"], "left")
+    part_cut = F.col("cut") & ~F.col("part_whole") & (F.col("part_room") > 0)
+    inside = Window.partitionBy("skey", "block", "part").orderBy("rank", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("part_cut", F.coalesce(part_cut, F.lit(False)))
+    rows = rows.where("part_cut").withColumn("fits", F.sum("size").over(inside) <= F.col("part_room")).unionByName(rows.where("not part_cut").withColumn("fits", F.coalesce(F.col("cut") & F.col("part_whole"), F.lit(False))))
+    written = materialize(rows.select("row", "doc_id", "source", "skey", "block", "size", "rank", "source_size", "target", "passes", "whole", "cut", "room", "drawn", "fits"), "rows")
+    release(sized, cells)
+    rows = written
+
+    missing = rows.where("cut").groupBy("skey").agg((F.first("room") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("missing"), F.element_at(F.first("drawn"), -1).alias("last_draw"))
     error = F.abs(F.col("missing") - F.col("size"))
     # By block, not by source: a source of a third of all rows would meet in one task.
     missing = placed.select("skey", "block").join(missing, "skey")
@@ -115,11 +141,11 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats
         .select(F.col("best.row").alias("row"), F.col("best.last_draw").alias("last_draw"))
     )
     rows = rows.join(best, "row", "left")
-    one = F.col("last_draw").isNotNull()
-    copies = F.col("passes") + (F.col("whole") | F.col("fits") | one).cast("long")
-    own = F.filter(F.coalesce(F.col("drawn"), F.expr("cast(array() as array<struct<pass:bigint,shard:int>>)")), lambda d: (d["pass"] < F.col("passes")) | ((F.col("whole") | F.col("fits")) & (d["pass"] == F.col("passes"))))
-    draws = F.when(one, F.array_append(own, F.col("last_draw"))).otherwise(own)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), draws.alias("draws"))
+    none = F.expr("cast(array() as array<struct<pass:bigint,shard:int>>)")
+    # Of the block at which the rest ends only what fits goes along with the last draw.
+    own = F.filter(F.coalesce(F.col("drawn"), none), lambda d: (d["pass"] < F.col("passes")) | F.col("whole") | F.col("fits"))
+    draws = F.when(F.col("last_draw").isNotNull(), F.array_append(own, F.col("last_draw"))).otherwise(own)
+    return rows.withColumn("draws", draws).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "block", "draws")
 
 
 def mix_documents(docs: DataFrame, shards: int = 8, seed: int = 7, **options) -> DataFrame:

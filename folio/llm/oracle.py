@@ -58,16 +58,15 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
-#: 2048, 8, 4096 and the seed 7 are the defaults of plan_mix.
+#: 64 blocks of 64 parts, 8 shards and the seed 7 are the defaults of plan_mix.
 OP9 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce('s:' || source, 'n') AS skey,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS rnk,
-         greatest(8, least(4096, (SELECT count(*) FROM documents) // 2048)) AS blocks
+         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS rnk
   FROM documents
 ), d AS (
-  SELECT *, CAST('0x' || substr(rnk, 1, 8) AS BIGINT) % blocks AS block, row_number() OVER () AS row FROM sized
+  SELECT *, CAST('0x' || substr(rnk, 1, 8) AS BIGINT) % 64 AS block, (CAST('0x' || substr(rnk, 1, 8) AS BIGINT) // 64) % 64 AS part, row_number() OVER () AS row FROM sized
 ), s0 AS (
   SELECT skey, source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL
 ), s1 AS (
@@ -94,22 +93,46 @@ WITH sized AS (
   SELECT b.skey, block, source_size, target, passes, rest - (upto - block_size) AS room,
          upto <= rest AND rest > 0 AS whole, upto - block_size < rest AND upto > rest AS cut
   FROM b JOIN t USING (skey)
+), draws AS (
+  SELECT skey, block, unnest(range(passes + CASE WHEN whole OR cut THEN 1 ELSE 0 END)) AS pass FROM placed
+), l1 AS (
+  SELECT *, CASE WHEN 2 * row_number() OVER (ORDER BY md5('7:0:' || skey || ':' || block || ':' || pass)) > count(*) OVER () + 1 THEN 1 ELSE 0 END AS shard FROM draws
+), l2 AS (
+  SELECT * EXCLUDE (shard), 2 * shard + CASE WHEN 2 * row_number() OVER (PARTITION BY shard ORDER BY md5('7:1:' || skey || ':' || block || ':' || pass)) > count(*) OVER (PARTITION BY shard) + 1 THEN 1 ELSE 0 END AS shard FROM l1
+), l3 AS (
+  SELECT * EXCLUDE (shard), 2 * shard + CASE WHEN 2 * row_number() OVER (PARTITION BY shard ORDER BY md5('7:2:' || skey || ':' || block || ':' || pass)) > count(*) OVER (PARTITION BY shard) + 1 THEN 1 ELSE 0 END AS shard FROM l2
+), quotas AS (
+  SELECT skey, shard, sum(count(*)) OVER (PARTITION BY skey ORDER BY shard) AS upto FROM l3 GROUP BY skey, shard
+), in_order AS (
+  SELECT *, row_number() OVER (PARTITION BY skey ORDER BY md5('7:draw:' || skey || ':' || block || ':' || pass)) AS place FROM draws
+), leaves AS (
+  SELECT i.skey, i.block, i.pass, min(q.shard) AS shard FROM in_order i JOIN quotas q ON i.skey = q.skey AND q.upto >= i.place GROUP BY ALL
+), drawn AS (
+  SELECT skey, block, list(shard ORDER BY pass) AS shards, list(pass ORDER BY pass) AS drawn_passes FROM leaves GROUP BY ALL
+), parts AS (
+  SELECT c.skey, c.block, c.part, room, part_size, sum(part_size) OVER (PARTITION BY c.skey ORDER BY c.part ROWS UNBOUNDED PRECEDING) AS part_upto
+  FROM (SELECT skey, block, part, sum(size) AS part_size FROM d GROUP BY ALL) c JOIN placed p ON p.cut AND c.skey = p.skey AND c.block = p.block
 ), r AS (
-  SELECT d.*, placed.* EXCLUDE (skey, block), sum(size) OVER (PARTITION BY d.skey, d.block ORDER BY rnk, doc_id, size, row ROWS UNBOUNDED PRECEDING) AS upto
+  SELECT d.*, placed.* EXCLUDE (skey, block), drawn.shards, room2, part_whole,
+         sum(size) OVER (PARTITION BY d.skey, d.block, d.part ORDER BY rnk, doc_id, size, row ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN placed ON d.skey = placed.skey AND d.block = placed.block
+  LEFT JOIN drawn ON d.skey = drawn.skey AND d.block = drawn.block
+  LEFT JOIN (SELECT skey, block, part, room - part_upto + part_size AS room2, part_upto <= room AS part_whole FROM parts) x ON d.skey = x.skey AND d.block = x.block AND d.part = x.part
 ), r2 AS (
-  SELECT *, cut AND upto <= room AS fits FROM r
+  SELECT *, cut AND (part_whole OR room2 > 0 AND upto <= room2) AS fits FROM r
 ), m AS (
-  SELECT skey, any_value(room) - coalesce(max(upto) FILTER (WHERE fits), 0) AS missing FROM r2 WHERE cut GROUP BY skey
+  SELECT skey, any_value(room) - coalesce(sum(size) FILTER (WHERE fits), 0) AS missing, any_value(shards[-1]) AS last_shard FROM r2 WHERE cut GROUP BY skey
 ), best AS (
-  SELECT row FROM (
-    SELECT r2.row, row_number() OVER (PARTITION BY r2.skey ORDER BY abs(missing - size), rnk, doc_id, r2.row) AS nth
+  SELECT row, last_shard FROM (
+    SELECT r2.row, last_shard, row_number() OVER (PARTITION BY r2.skey ORDER BY abs(missing - size), rnk, doc_id, r2.row) AS nth
     FROM r2 JOIN m USING (skey) WHERE NOT whole AND NOT fits AND abs(missing - size) < missing
   ) WHERE nth = 1
+), taken AS (
+  SELECT r2.*, CASE WHEN whole OR fits THEN coalesce(shards, []) ELSE coalesce(shards, [])[1:passes] END || CASE WHEN best.row IS NULL THEN [] ELSE [best.last_shard] END AS own
+  FROM r2 LEFT JOIN best ON r2.row = best.row
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (passes + CASE WHEN whole OR fits OR row IN (SELECT row FROM best) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM r2
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * len(own) AS BIGINT) AS taken, block, array_to_string(own, ',') AS shards
+FROM taken
 """
 
 OP6 = r"""

@@ -54,7 +54,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan_mix(table(spark, sf_dir, "documents")).drop("source", "draws")
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "block", F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("shards"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

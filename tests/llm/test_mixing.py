@@ -1,9 +1,10 @@
-from collections import defaultdict
+import hashlib
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm.mixing import mix_documents, plan_mix, split_draws
+from folio.llm.mixing import draw_blocks, mix_documents, plan_mix, split_quotas
 
 SCHEMA = "doc_id long, text string, source string, size string"
 
@@ -62,14 +63,33 @@ def test_reruns_agree_on_any_partitioning(spark, data):
 
 def test_the_tree_splits_exactly(spark):
     draws = spark.range(1000).select(F.concat(F.lit("s"), F.col("id") % 5).alias("skey"), F.col("id").alias("block"), F.lit(0).cast("long").alias("pass"))
-    got = split_draws(draws, 8, 1).collect()
-    by = defaultdict(lambda: defaultdict(int))
-    for r in got:
-        by[r["shard"]][r["skey"]] += 1
-    assert sorted(by) == list(range(8)) and all(sum(v.values()) == 125 for v in by.values())
-    assert all(10 <= n <= 42 for v in by.values() for n in v.values())
+    by, rows = defaultdict(dict), [(f"s{i % 5}", i, 0) for i in range(1000)]
+    for r in split_quotas(draws, 8, 1).collect():
+        by[r["shard"]][r["skey"]] = r["quota"]
+    # By its definition: each node sorts all its draws and cuts them in the middle.
+    nodes = {0: rows}
+    for level in range(3):
+        cut = {}
+        for node, held in nodes.items():
+            held = sorted(held, key=lambda r: hashlib.md5(f"1:{level}:{r[0]}:{r[1]}:{r[2]}".encode()).hexdigest())  # noqa: B023
+            half = (len(held) + 1) // 2
+            cut |= {2 * node: held[:half], 2 * node + 1: held[half:]}
+        nodes = cut
+    assert by == {shard: dict(Counter(r[0] for r in held)) for shard, held in nodes.items()}
+    assert all(sum(v.values()) == 125 for v in by.values()) and all(10 <= n <= 42 for v in by.values() for n in v.values())
+    got = draw_blocks(draws, 8, 1).collect()
+    assert sorted((r["skey"], r["block"], r["pass"]) for r in got) == sorted(rows)
+    assert Counter((r["shard"], r["skey"]) for r in got) == {(shard, k): n for shard, v in by.items() for k, n in v.items()}
     with pytest.raises(ValueError):
-        split_draws(draws, 6, 1)
+        split_quotas(draws, 6, 1)
+
+
+def test_shards_change_the_draws_but_not_the_sums(spark):
+    rows = [(i, "w " * (i % 9 + 1), f"s{i % 3}") for i in range(900)] + [(5000, "w " * 300_000, "s1")]
+    one, eight = (plan_mix(docs(spark, rows), shards=n).collect() for n in (1, 8))
+    assert sorted((r["doc_id"], r["taken"]) for r in one) == sorted((r["doc_id"], r["taken"]) for r in eight)
+    assert {d["shard"] for r in one for d in r["draws"]} == {0} and {d["shard"] for r in eight for d in r["draws"]} == set(range(8))
+    assert all(r["taken"] == r["size"] * len(r["draws"]) for r in eight)
 
 
 def test_the_mix_has_every_draw(spark):
