@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,6 +18,8 @@ FOUND = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile i
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLICE_WORDS = 2_000_000
 TABLE_BITS = 22
+#: Pairs of equal windows that are looked at at once, about.
+PAIRS = 1 << 20
 
 
 def token_hashes(tokens: list[bytes]) -> np.ndarray:
@@ -45,9 +47,13 @@ def _runs(item: list[bytes], doc: list[bytes], i: np.ndarray, j: np.ndarray, len
     i, j = i[order], j[order]
     start = np.flatnonzero(np.append(True, (np.diff(j - i) != 0) | (np.diff(i) != 1)))
     ends = np.append(start[1:], len(i))
+    return _real(item, doc, zip(i[start].tolist(), j[start].tolist(), (ends - start + length - 1).tolist(), strict=True), length)
+
+
+def _real(item: list[bytes], doc: list[bytes], runs: Iterable[tuple[int, int, int]], length: int) -> list[tuple[int, int, int]]:
+    """Runs of equal hashes, cut where their tokens differ."""
     out = []
-    for a, b in zip(start.tolist(), ends.tolist(), strict=True):
-        at_i, at_j, size = int(i[a]), int(j[a]), b - a + length - 1
+    for at_i, at_j, size in runs:
         if item[at_i : at_i + size] == doc[at_j : at_j + size]:
             out.append((at_i, at_j, size))
             continue
@@ -69,17 +75,24 @@ def _stretches(free: list[bool], at_i: int, at_j: int, least: int) -> list[tuple
 
 
 def tile(item: list[bytes], doc: list[bytes], i: np.ndarray, j: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The tiles of an item and a document whose windows of ``least`` tokens are equal at the starts ``i`` and ``j``."""
+    return tile_runs(len(item), len(doc), _runs(item, doc, i, j, least), least)
+
+
+def tile_runs(item: int, doc: int, runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: again and again the longest match of unmarked tokens becomes a tile and is marked.
 
-    ``i`` and ``j`` are the starts of equal windows of ``least`` tokens. Matches of equal length go by their place
-    in the item, then in the document. What marks leave of a match stays in play while it has ``least`` tokens.
+    ``runs`` are the maximal matches of texts of ``item`` and ``doc`` tokens. Matches of equal length go by their
+    place in the item, then in the document. What marks leave of a match stays in play while it has ``least`` tokens.
     """
-    heap = [(-n, a, b) for a, b, n in _runs(item, doc, i, j, least)]
+    heap = [(-n, a, b) for a, b, n in runs]
     heapq.heapify(heap)
-    marked_item, marked_doc, tiles, left = bytearray(len(item)), bytearray(len(doc)), [], len(item)
+    marked_item, marked_doc, tiles, left = bytearray(item), bytearray(doc), [], item
     while heap and left >= least:
         n, a, b = heapq.heappop(heap)
         n = -n
+        if 0 not in marked_item[a : a + n] or 0 not in marked_doc[b : b + n]:
+            continue
         if 1 in marked_item[a : a + n] or 1 in marked_doc[b : b + n]:
             free = [not (x or y) for x, y in zip(marked_item[a : a + n], marked_doc[b : b + n], strict=True)]
             for a2, b2, n2 in _stretches(free, a, b, least):
@@ -91,43 +104,76 @@ def tile(item: list[bytes], doc: list[bytes], i: np.ndarray, j: np.ndarray, leas
     return sorted(tiles)
 
 
-class Benchmark:
-    """Items with their seeds, sorted by hash, behind a bit table that most windows of a document miss."""
+class Seeds:
+    """The windows of ``length`` tokens of some items, sorted by hash, behind a bit table that most windows of a document miss."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int) -> None:
-        self.least = least
-        self.items = [(i, t) for i, t in ((i, split_words(x)) for i, x in items) if len(t) >= least]
-        seeds = [window_hashes(token_hashes(t), least) for _, t in self.items]
-        sizes = [len(s) for s in seeds]
-        hashes = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)[order]
-        self.place = (np.concatenate([np.arange(n) for n in sizes]) if sizes else np.empty(0, np.int64))[order]
+    def __init__(self, items: list[tuple[int, list[bytes]]], length: int) -> None:
+        self.items, self.length = items, length
+        seeds = [window_hashes(token_hashes(t), length) for _, t in items]
+        self.sizes = np.array([len(s) for s in seeds], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.windows = np.concatenate(seeds)
+        order = np.argsort(self.windows, kind="stable")
+        self.hashes, self.at = self.windows[order], order
+        self.owner = np.repeat(np.arange(len(items)), self.sizes)
         self.shift = np.uint64(64 - TABLE_BITS)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.hashes >> self.shift).astype(np.int64)] = True
 
-    def hits(self, text: str | None) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """Number of the item, its tokens' number and the tiles, for items that share a seed with the text."""
-        doc = split_words(text)
-        if len(doc) < self.least or not len(self.hashes):
-            return
-        windows = window_hashes(token_hashes(doc), self.least)
+    def runs(self, hashes: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """Item and the maximal runs of equal windows (item start, doc start, tokens), from the hashes of a document's tokens.
+
+        Of all pairs of equal windows only those are kept at which a run starts or ends, some pairs at a time, as
+        repetitive texts have a pair for nearly each two places but few runs.
+        """
+        windows = window_hashes(hashes, self.length)
         j = np.flatnonzero(self.table[(windows >> self.shift).astype(np.int64)])
-        if not len(j):
-            return
         low, high = (np.searchsorted(self.hashes, windows[j], side) for side in ("left", "right"))
-        count = high - low
-        if not count.any():
+        j, low, count = j[high > low], low[high > low], (high - low)[high > low]
+        if not len(j):
             return
-        j = np.repeat(j, count)
-        seed = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        owner, i = self.owner[seed], self.place[seed]
-        for n in np.unique(owner).tolist():
-            of = owner == n
-            item = self.items[n][1]
-            yield n, len(item), tile(item, doc, i[of], j[of], self.least)
+        ends = np.cumsum(count)
+        part = (ends - count) // PAIRS
+        edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+        starts, stops = [], []
+        for a, b in zip(edges, [*edges[1:], len(j)], strict=True):
+            n = count[a:b]
+            at = self.at[np.repeat(low[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            y, owner = np.repeat(j[a:b], n), self.owner[at]
+            x = at - self.first[owner]
+            goes_on = lambda ok, by, at=at, y=y: np.where(ok, self.windows[np.where(ok, at + by, 0)] == windows[np.where(ok, y + by, 0)], False)
+            start = ~goes_on((x > 0) & (y > 0), -1)
+            stop = ~goes_on((x + 1 < self.sizes[owner]) & (y + 1 < len(windows)), 1)
+            starts.append(np.stack([owner, y - x, x])[:, start])
+            stops.append(np.stack([owner, y - x, x])[:, stop])
+        starts, stops = (np.concatenate(part, 1) for part in (starts, stops))
+        starts, stops = (part[:, np.lexsort(part[::-1])] for part in (starts, stops))
+        size = stops[2] - starts[2] + self.length
+        cuts = np.flatnonzero(np.append(True, np.diff(starts[0]) != 0)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(size)], strict=True):
+            x = starts[2, a:b]
+            yield int(starts[0, a]), list(zip(x.tolist(), (x + starts[1, a:b]).tolist(), size[a:b].tolist(), strict=True))
+
+
+class Benchmark:
+    """Items by the length of their tiles: ``least`` tokens, or all they have if these are fewer."""
+
+    def __init__(self, items: list[tuple[int, str]], least: int) -> None:
+        by: dict[int, list[tuple[int, list[bytes]]]] = {}
+        for item_id, text in items:
+            if tokens := split_words(text):
+                by.setdefault(min(least, len(tokens)), []).append((item_id, tokens))
+        self.seeds = [Seeds(held, length) for length, held in sorted(by.items())]
+
+    def hits(self, text: str | None) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """The item's id, its number of tokens and the tiles, for items that share a seed with the text."""
+        doc = split_words(text)
+        hashes = token_hashes(doc)
+        for seeds in self.seeds:
+            for n, runs in seeds.runs(hashes):
+                item_id, item = seeds.items[n]
+                if tiles := tile_runs(len(item), len(doc), _real(item, doc, runs, seeds.length), seeds.length):
+                    yield item_id, len(item), tiles
 
 
 def item_slices(benchmark: DataFrame, slice_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -143,8 +189,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6
     """Pairs of a document and a benchmark item of which tiles cover at least ``threshold``: doc_id, item_id, coverage, n_tiles, longest_tile, tiles.
 
     Tokens are lower-cased words; tiles are matches of at least ``least`` tokens, so passages whose sentences were
-    reordered keep their coverage. Items with fewer tokens, null texts and empty texts take no part; repeated
-    rows on either side give a row for each pair. Documents are read where they are, without a shuffle. Items go
+    reordered keep their coverage. An item with fewer tokens is a tile as a whole. Null texts and texts without words
+    take no part; repeated rows on either side give a row for each pair, null ids too. Documents are read where they are, without a shuffle. Items go
     to the tasks in slices of about ``slice_words`` words, one pass over the documents each, so what is sent at once
     stays bounded however large the benchmark is.
     """
@@ -159,7 +205,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6
                     for n, size, tiles in known.hits(text.as_py()):
                         covered = sum(t[2] for t in tiles) / size
                         if covered >= threshold:
-                            out.append((doc_id, known.items[n][0], covered, len(tiles), max(t[2] for t in tiles), [dict(zip(("item_start", "doc_start", "length"), t, strict=True)) for t in tiles]))
+                            out.append((doc_id, n, covered, len(tiles), max(t[2] for t in tiles), [dict(zip(("item_start", "doc_start", "length"), t, strict=True)) for t in tiles]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in FOUND.split(", ")])
 
         return docs.select("doc_id", "text").mapInArrow(run, FOUND)

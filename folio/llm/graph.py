@@ -16,10 +16,10 @@ def _mark(df: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node that each node of ``edges`` can reach.
 
-    ``edges`` has long columns ``u`` and ``v`` (any direction, repeats and loops allowed, nulls ignored); the
+    ``edges`` has columns ``u`` and ``v`` of one ordered type (any direction, repeats and loops allowed, nulls ignored); the
     result has ``node`` and ``component``, one row for each node that has a neighbour. Every step groups by node
     with partial minima and joins those minima back, so a hub costs rows in proportion to its edges only and an
-    adaptive join can split it. Each round's edges are written to the shared folder.
+    adaptive join can split it. Each round's edges are written to the shared folder, and removed with the next.
     """
     u, v = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     held = materialize(edges.where("u is not null and v is not null and u <> v").select(u, v).distinct(), "edges")
@@ -37,4 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return held.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = materialize(held.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    release(held)
+    return out

@@ -249,7 +249,7 @@ def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN, rounds: int =
     )
     fields = ["node", "n", "alone", "low", "high", "pos", "component"]
     side = lambda df, s: df.select("gram", *[F.col(f).alias(f"{s}_{f}") for f in fields])
-    links, placed, seen = None, None, None
+    links, placed, seen, made = None, None, None, [postings]
 
     def known() -> DataFrame:
         if placed is None:
@@ -259,11 +259,12 @@ def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN, rounds: int =
     def accept(found: DataFrame) -> int:
         nonlocal links, placed
         found = materialize(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        made.append(found)
         count = found.count()
         if count:
             links = found if links is None else links.unionByName(found)
             old = placed
-            placed = materialize(components(links), "components")
+            placed = components(links)
             release(old)
         return count
 
@@ -276,6 +277,7 @@ def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN, rounds: int =
         met = side(now, "y").join(chosen, "gram").where((F.col("x_component") != F.col("y_component")) & _could_match("x", "y", num, den))
         fresh = _pairs(met) if seen is None else _pairs(met).join(seen, ["a", "b"], "left_anti")
         fresh = materialize(fresh, "pairs")
+        made.append(fresh)
         seen = fresh if seen is None else seen.unionByName(fresh)
         if not accept(_verify(fresh, sets, num, den)):
             break
@@ -287,6 +289,7 @@ def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN, rounds: int =
     minor = side(open_postings.where("component <> top"), "x")
     met = minor.join(side(open_postings, "y"), "gram").where((F.col("x_component") != F.col("y_component")) & _could_match("x", "y", num, den))
     accept(_verify(_pairs(met).join(seen, ["a", "b"], "left_anti"), sets, num, den))
+    release(open_postings, *made)
     if placed is None:
         return sets.sparkSession.createDataFrame([], "node long, component long")
     return placed
@@ -299,6 +302,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     doc_id that links reach. Documents with equal sets are joined first, by digest, and one stands for all. Null
     texts and texts without words are empty sets, linked with nothing, their own component. Repeated rows link
     with each other; null ids take part and are never the smallest. Other columns are not read.
+
+    A shingle is known by its bucket of about a million and 40 bits of its hash, so one in two million is taken for
+    another of the corpus; that matters where both documents of a pair hold one of the two and their similarity is
+    within one shingle of the threshold.
     """
     found = shared_shingles(docs, width, num, den)
     rows = materialize(found.select("node", "doc_id", "text_key", "n", "digest"), "rows")
@@ -310,18 +317,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     joined = classes.join(placed, "node", "left").select("digest", "least_id", F.coalesce("component", "node").alias("component"))
     least = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_digest = joined.join(least, "component").select("digest", "component_id", "component")
-    return (
+    out = (
         some.select("node", "doc_id", "text_key", "n", "digest")
         .join(by_digest, "digest")
         .select("node", "doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "component")
         .unionByName(rows.where("n = 0").select("node", "doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("component")))
     )
+    out = materialize(out, "near-duplicates")
+    release(rows, classes, sets, placed)
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their component: that with the smallest doc_id.
 
-    Null ids come last. Of rows that repeat id and text one stays. A text without words is a component of its own.
+    Null ids come last. Of rows that repeat id and text one stays, by the order of a hash of their other columns, so
+    reruns agree. A text without words is a component of its own.
     Texts are shuffled once, by id and hash, to meet the keys of the rows that stay.
     """
     found = near_duplicates(docs, width, num, den)
@@ -330,5 +341,6 @@ def keep_one(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN
     key = lambda doc_id, text_key: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text_key.cast("string"))
     stay = kept.select(key(F.col("kept.doc_id"), F.col("kept.text_key")).alias("_key")).distinct()
     keyed = docs.withColumn("_key", key(F.col("doc_id"), F.xxhash64("text"))).join(stay, "_key", "left_semi")
-    once = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
+    others = [F.col(n) for n in docs.columns if n not in ("doc_id", "text")]
+    once = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(1)))
     return keyed.withColumn("_once", once).where("_once = 1").select(*docs.columns)

@@ -7,13 +7,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import extended
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters, as Spark's \\p{L} has them; in ASCII these are the word characters but for digits and the underscore.
+LETTERS, ASCII_LETTERS = regex.compile(r"\p{L}+"), re.compile(r"[a-z]+")
 UNDETERMINED = "und"
 #: Bytes that are compressed at once: a dictionary helps little beyond them, as a text then repeats itself.
 SEGMENT = 16_384
@@ -30,25 +32,34 @@ class LanguageModel:
 
 def normal(text: str) -> bytes:
     """The words of letters, lower-cased, between single spaces: what is compressed, in training and prediction."""
-    return " ".join(LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
+    text = text.lower()
+    return " ".join((ASCII_LETTERS if text.isascii() else LETTERS).findall(text)).encode("utf-8", "surrogatepass")
 
 
-def fit_languages(docs: DataFrame, learn: Column, dictionary_bytes: int = 64_000, sample_docs: int = 64, sample_chars: int = 4000, most_languages: int = 256, level: int = 6, least_margin: float = 0.005) -> LanguageModel:
-    """Dictionaries from a bounded sample: up to ``sample_docs`` texts of each language, ``sample_chars`` of each.
+def fit_languages(docs: DataFrame, learn: Column, dictionary_bytes: int = 64_000, sample_docs: int = 64, most_languages: int = 1024, level: int = 6, least_margin: float = 0.005) -> LanguageModel:
+    """Dictionaries from a bounded sample: up to ``sample_docs`` whole texts of each language, while ``dictionary_bytes`` hold them.
 
-    Rows where ``learn`` holds and text and lang are not null count; texts of 200 characters or more come first, in
-    the order of a hash of their text. The limit applies before and after the window's shuffle, so a frequent
-    language costs no more than others. Of over ``most_languages`` languages the most frequent are learned.
-    Languages are ordered by their number of rows, which decides ties.
+    Rows where ``learn`` holds, text and lang are not null and the text has a letter count. Texts over
+    ``dictionary_bytes`` don't fit and stand back, the shortest first; then those of 200 characters or more come
+    first, in the order of a hash of their text. A text that no longer fits is left out whole; a language that has
+    only texts over the bound learns the shortest of them. The limit applies before and after the window's shuffle,
+    so a frequent language costs no more than others. Every language is learned; over ``most_languages`` raise an
+    error, as each costs a compression of every text. Languages are ordered by their number of rows, which decides
+    ties. Repeated rows count as often as they stand there.
     """
     rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    counts = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages).collect()]
-    order = Window.partitionBy("lang").orderBy((F.length("text") < 200).asc(), F.xxhash64("text"), "text")
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select("lang", "n", F.substring("text", 1, sample_chars).alias("text"))
+    counts = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages + 1).collect()]
+    if len(counts) > most_languages:
+        raise ValueError(f"over {most_languages} languages")
+    over = F.octet_length("text") > dictionary_bytes
+    order = Window.partitionBy("lang").orderBy(F.when(over, F.octet_length("text")).otherwise(0), (F.length("text") < 200).asc(), F.xxhash64("text"), "text")
+    sample = rows.withColumn("n", F.row_number().over(order)).where((F.col("n") <= sample_docs) & (~over | (F.col("n") == 1))).select("lang", "n", "text")
     parts: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    for r in sorted(sample.where(F.col("lang").isin(counts)).collect(), key=lambda r: (r["lang"], r["n"])):
-        parts[r["lang"]].append(normal(r["text"]))
-    return LanguageModel(tuple((lang, b" ".join(parts[lang])[:dictionary_bytes]) for lang in counts), level, least_margin)
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["n"])):
+        content, held = normal(r["text"]), parts[r["lang"]]
+        if not held or sum(map(len, held)) + len(held) + len(content) <= dictionary_bytes:
+            held.append(content)
+    return LanguageModel(tuple((lang, b" ".join(parts[lang])) for lang in counts), level, least_margin)
 
 
 class Compressors:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, materialize, release
 
 #: Blocks of a source, parts of a block, and hash buckets in which a node of the tree ranks its draws.
-BLOCKS, PARTS, BUCKETS = 64, 64, 4096
+BLOCKS, PARTS, BUCKETS = 64, 64, 256
 
 
 def _order(seed: int, *parts: Column) -> Column:

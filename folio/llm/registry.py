@@ -43,7 +43,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 3)
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), fold != 1)
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted", "offending")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

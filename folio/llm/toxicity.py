@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, materialize, release
 
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[^.!?\n]+[.!?]*")
@@ -114,22 +114,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows:
     """Fit on up to ``sample_rows`` labelled documents where ``learn`` (over doc_id) holds.
 
     The sample is the labelled ids with the smallest hashes; of an id with several labels the largest counts, and
-    rows with a null id or label don't. Only the sample's ids and labels are broadcast (bounded by ``sample_rows``),
-    and texts stay where they are read. Features are words and prefixes that at least ``least_docs`` toxic
+    rows with a null id or label don't. Only the sample's ids and labels are broadcast (bounded by ``sample_rows``).
+    Of documents that repeat an id the smallest text counts, so the sample has one row for each id. Features are words and prefixes that at least ``least_docs`` toxic
     documents have and that are ``least_ratio`` times as frequent among toxic documents as among others. Without
     labelled rows of both kinds every score is under ``LEAK``.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     sample = known.where(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+    rows = materialize(rows, "labelled")
     counts = rows.mapInArrow(_count_features, "feature string, with_1 long, with_0 long").groupBy("feature").agg(F.sum("with_1").alias("a"), F.sum("with_0").alias("b"))
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     ratio = (F.col("a") + 0.5) * (totals.get(0, 0) + 1.0) / ((F.col("b") + 0.5) * (totals.get(1, 0) + 1.0))
     best = counts.where((F.col("a") >= least_docs) & (ratio >= least_ratio)).orderBy((F.log(ratio) * F.col("a")).desc(), "feature").limit(most_features)
     names = [r["feature"] for r in best.collect()]
     if not names:
+        release(rows)
         return ToxicityModel({}, -9.0, threshold, totals)
     made = rows.mapInArrow(_bags({f: i for i, f in enumerate(names)}), "label int, bags array<array<int>>").collect()
+    release(rows)
     w, b = train(np.array([r["label"] for r in made]), [r["bags"] for r in made], len(names))
     return ToxicityModel({f: float(x) for f, x in zip(names, w, strict=True) if x}, b, threshold, totals)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, materialize, release
 from .graph import components
 
 #: Above so many rules they are joined as a table; up to it they travel as one constant.
@@ -112,10 +112,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], redirects: D
     links = materialize(links, "links")
     edges = links.where(F.col("to_url").contains("://")).select(url_key(F.col("from_url")).alias("a"), url_key(F.col("to_url")).alias("b"))
     edges = materialize(edges.where("a <> b"), "aliases")
-    named = edges.select(F.col("a").alias("alias_key")).union(edges.select("b")).distinct().withColumn("node", F.xxhash64("alias_key"))
-    reach = components(edges.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")))
+    named = edges.select(F.col("a").alias("alias_key")).union(edges.select("b")).distinct().withColumn("node", F.md5("alias_key"))
+    reach = components(edges.select(F.md5("a").alias("u"), F.md5("b").alias("v")))
     judged = match_rules(with_parts(named, "alias_key"), rules, "node")
     placed = materialize(judged.join(reach, "node").select("alias_key", "component", "action"), "judged")
+    release(links, edges, reach)
     bad = placed.where("action = 'block'").select("component").distinct()
     blocked = placed.where("action is null").join(bad, "component", "left_semi").select("alias_key").distinct()
     own = match_rules(with_parts(pages.select("page_id", "url"), "url").withColumn("row", F.monotonically_increasing_id()), rules, "row")
