@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; ``run`` writes each stage's
 result in the shared folder and reads it again, so a lost executor costs no more than the stage at hand.
+
+Null and empty texts are not toxic, but have no language and go with the second stage; so do texts without a letter.
+Rows with a null doc_id stay like others. Of rows that repeat id and text one stays, of copies under several ids the
+smallest id. A null source is a source of its own. Empty tables give empty results, without labels nothing is
+toxic, and without known languages every document goes. Other columns of documents come along, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import fold_of, materialize, table
+from folio.llm.common import clear, fold_of, materialize, table
 from folio.llm.decontaminate import decontaminate
 from folio.llm.jaccard import keep_one
 from folio.llm.language_id import fit_languages, predict_languages
@@ -60,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{number}")
+        clear(spark, keep=[docs])
     return docs
