@@ -36,9 +36,11 @@ def guess_language(docs: DataFrame, text: str = "text") -> DataFrame:
     The votes are counted within the row, so nothing is shuffled.
     """
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    count = lambda block: F.regexp_count(text, F.lit(f"(?=\\p{{L}})[{block}]"))
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.length(w) <= LONGEST_WORD)
-    sized = docs.withColumns({"_letters": letters, "_words": words})
+    # The other scripts are counted in what is left without Latin letters, and the votes among function words alone.
+    count = lambda block: F.regexp_count("_rest", F.lit(f"(?=\\p{{L}})[{block}]"))
+    function_words = sorted({w for known in FUNCTION_WORDS.values() for w in known.split()})
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), lambda w: (F.length(w) <= LONGEST_WORD) & w.isin(function_words))
+    sized = docs.withColumns({"_letters": letters, "_words": words, "_rest": F.regexp_replace(text, r"[\x{0000}-\x{036F}]+", "")})
     hits = lambda known: F.size(F.filter("_words", lambda w: w.isin(known.split())))
     votes = [F.struct(hits(known).alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, known) in enumerate(FUNCTION_WORDS.items())]
     sized = sized.withColumn("_votes", F.sort_array(F.array(*votes), asc=False))
@@ -52,4 +54,4 @@ def guess_language(docs: DataFrame, text: str = "text") -> DataFrame:
         others = others + count(block)
     latin = F.col("_letters") - others
     wins = (latin >= limit) & (first["hits"] >= LEAST_HITS) & (first["hits"] >= second["hits"] * MARGIN)
-    return sized.withColumn("guess", guess.when(wins, first["lang"])).drop("_letters", "_words", "_votes")
+    return sized.withColumn("guess", guess.when(wins, first["lang"])).drop("_letters", "_words", "_votes", "_rest")

@@ -66,7 +66,7 @@ def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> Da
         fresh = ahead.join(found, "node", "left_anti").select("node", F.lit(depth).alias("depth")).checkpoint()
         if not fresh.limit(1).count():
             break
-        found = found.unionByName(fresh).checkpoint()
+        found = found.unionByName(fresh)
     return found
 
 

@@ -13,13 +13,12 @@ def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def as_of(df: DataFrame, at: str, ranges: DataFrame, start: str, by: str | None = None) -> DataFrame:
+def as_of(df: DataFrame, at: str, ranges: DataFrame, start: str, by: str) -> DataFrame:
     """Rows of ``df`` with the columns of the latest range whose ``start`` isn't after ``at``; nulls if there is none.
 
-    Both sides are sorted together once and the last range is carried forward. Without ``by`` all rows share one
-    order; give ``by`` (a column of both sides) for large tables.
+    Both sides are sorted together once, for each ``by`` (a column of both), and the last range is carried forward.
     """
-    keys = [by] if by else []
+    keys = [by]
     carried = [c for c in ranges.columns if c not in keys]
     left = df.select(*[F.col(c) for c in df.columns], F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(ranges.select(F.struct(*carried)).schema[0].dataType).alias("_range"))
     right = ranges.select(*[F.col(k) for k in keys], F.col(start).alias("_at"), F.lit(0).alias("_side"), F.struct(*carried).alias("_range"))
@@ -55,18 +54,41 @@ def split_parts(starts: DataFrame, position: str, total: int | Column) -> DataFr
     return all_starts.select("first_page", (F.coalesce(end, total) - F.col("first_page")).alias("page_count")).where("page_count > 0")
 
 
+def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """Add ``name``, each row's place (from 0) in an order of all rows.
+
+    Rows are dealt into ranges of the order; each range numbers its own and goes on from the rows before it, of which
+    there is a count for each range. The ranges are written once, as another sample would cut them elsewhere.
+    """
+    from ..sources.tables import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    counted = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counted.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_range", "_place", "_before")
+
+
 def interleave(sources: list[DataFrame], key: str, group: int) -> DataFrame:
-    """Round robin over the sources, ``group`` rows at a time, in the order of ``key``: source, key, place."""
-    numbered = [d.select(F.lit(i).alias("source"), F.col(key).alias("key"), (F.row_number().over(Window.orderBy(key)) - 1).alias("page")) for i, d in enumerate(sources)]
-    rows = reduce(DataFrame.unionByName, numbered)
-    order = Window.orderBy((F.col("page") / group).cast("int"), "source", "page")
-    return rows.select("source", "key", (F.row_number().over(order) - 1).alias("place"))
+    """Round robin over the sources, ``group`` rows at a time, in the order of ``key``: source, key, place.
+
+    A row's place follows from its page in its own source and the sources' sizes, so their union isn't sorted.
+    """
+    sizes, out = [d.count() for d in sources], []
+    for i, d in enumerate(sources):
+        page = F.col("page")
+        turn = F.floor(page / group) * group
+        others = [F.least(F.lit(n), turn + group if j < i else turn) for j, n in enumerate(sizes) if j != i]
+        rows = numbered(d.select(F.lit(i).alias("source"), F.col(key).alias("key")), ["key"], "page")
+        out.append(rows.select("source", "key", reduce(Column.__add__, others, page).alias("place")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def concatenate(sources: list[DataFrame], key: str) -> DataFrame:
     """All rows of the first source, then of the next: source, key, place."""
     rows = reduce(DataFrame.unionByName, [d.select(F.lit(i).alias("source"), F.col(key).alias("key")) for i, d in enumerate(sources)])
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("source", "key")) - 1)
+    return numbered(rows, ["source", "key"], "place")
 
 
 def page_ranges(df: DataFrame, column: str, pages: int) -> DataFrame:
@@ -95,19 +117,6 @@ def consecutive_runs(df: DataFrame, by: str, position: str) -> DataFrame:
     return df.select(by, position, gap.alias("_run")).groupBy(by, "_run").agg(F.min(position).alias("first"), F.count(F.lit(1)).alias("count")).drop("_run")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """Nodes that edges (src, dst) lead to from ``roots`` (node), roots included, level by level."""
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE reach MAX RECURSION LEVEL {most_rounds} AS (
-              SELECT node, 0 AS depth FROM {{roots}}
-              UNION ALL
-              SELECT e.dst, r.depth + 1 FROM reach r JOIN {{edges}} e ON e.src = r.node)
-            SELECT node, min(depth) AS depth FROM reach GROUP BY node""",
-        roots=roots,
-        edges=edges,
-    )
-
-
 def flatten_tree(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
     """Depth-first listing of rows (id, parent_id, ord): id, depth and a path that sorts in reading order."""
     return nodes.sparkSession.sql(

@@ -25,14 +25,40 @@ def count_matches(docs: DataFrame, query: str, text: str = "text", whole_word: b
 def match_starts(docs: DataFrame, query: str, key: str, text: str = "text", **folding: bool) -> DataFrame:
     """A row for each match: ``key``, ordinal, start (1-based code point) and length in the folded text."""
     pattern = T.pattern_of(T.fold_query(query, **folding))
-    folded = docs.select(key, T.fold(F.col(text), **folding).alias("folded")).where(F.col("folded").rlike(pattern))
+    # Rows may repeat a key, so each has a number of its own.
+    folded = docs.select(key, F.monotonically_increasing_id().alias("_row"), T.fold(F.col(text), **folding).alias("folded")).where(F.col("folded").rlike(pattern))
     found = F.regexp_extract_all("folded", F.lit(f"(?s)(.*?)({pattern})"), F.lit(0))
     lengths = F.transform(found, lambda x: F.struct(F.length(x).alias("whole"), F.length(F.regexp_extract(x, f"(?s)({pattern})$", 1)).alias("length")))
-    pieces = folded.select(key, F.posexplode(lengths).alias("ordinal", "piece"))
-    upto = F.sum("piece.whole").over(Window.partitionBy(key).orderBy("ordinal"))
+    pieces = folded.select(key, "_row", F.posexplode(lengths).alias("ordinal", "piece"))
+    upto = F.sum("piece.whole").over(Window.partitionBy("_row").orderBy("ordinal"))
     return pieces.select(key, (F.col("ordinal") + 1).alias("ordinal"), (upto - F.col("piece.length") + 1).alias("start"), F.col("piece.length").alias("length"))
 
 
+def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, phrase_key: str, text: str = "text", most_short: int = 1000) -> DataFrame:
+    """Pairs of ``key`` and ``phrase_key`` whose text holds the whole phrase; both tables have the column ``text``.
+
+    A word inside a phrase is a whole word of every text that holds the phrase, so a phrase meets texts on that of
+    its inner words which the fewest texts have. Phrases of one or two words may begin and end within words: up to
+    ``most_short`` of them, which is checked, are looked for in every text. Null texts and phrases match nothing.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    items = phrases.where(F.col(text).isNotNull()).select(phrase_key, F.col(text).alias("phrase"), words(F.col(text)).alias("_words"))
+    short = items.where(F.size("_words") < 3).select(phrase_key, "phrase").limit(most_short + 1).collect()
+    if len(short) > most_short:
+        raise ValueError(f"more than {most_short} phrases of one or two words")
+    inner = items.where(F.size("_words") >= 3).select(phrase_key, "phrase", F.explode(F.array_distinct(F.slice("_words", 2, F.size("_words") - 2))).alias("word"))
+    seen = docs.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("word")).join(inner.select("word").distinct(), "word", "left_semi")
+    counted = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = inner.join(counted, "word").groupBy(phrase_key, "phrase").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    met = seen.join(rarest, "word").select(key, phrase_key, "phrase").distinct()
+    out = met.join(docs.select(key, F.col(text).alias("_text")), key).where(F.contains("_text", "phrase")).select(key, phrase_key)
+    if short:
+        known = F.array(*[F.struct(F.lit(r[phrase_key]).alias("id"), F.lit(r["phrase"]).alias("phrase")) for r in short])
+        held = docs.select(key, F.explode(F.filter(known, lambda p: F.contains(F.col(text), p["phrase"]))).alias("p"))
+        out = out.unionByName(held.select(key, F.col("p.id").alias(phrase_key)))
+    return out
+
+
 def first_snippets(docs: DataFrame, query: str, key: str, text: str = "text", around: int = 50) -> DataFrame:
     """``key`` and the snippet around the first match, case ignored."""
     start = F.instr(F.lower(F.col(text)), query.lower())

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import search
+from ..operators import relational, search
 from .registry import query
 
 LINES = "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS line_text FROM documents"
@@ -119,9 +119,9 @@ def partial_dates(read, spark):
     return read("orders").select("o_orderkey", V.is_partial_date(text).alias("valid"))
 
 
-@query("separation_groups", "SELECT o_custkey % 50 AS group_id, list(o_orderkey ORDER BY o_orderkey) AS pages, count(DISTINCT o_orderstatus) AS colorants FROM orders WHERE o_orderkey < 5000 GROUP BY 1")
+@query("separation_groups", "SELECT o_custkey AS group_id, list(o_orderkey ORDER BY o_orderkey) AS pages, count(DISTINCT o_orderstatus) AS colorants FROM orders GROUP BY 1")
 def separation_groups(read, spark):
-    rows = read("orders").where("o_orderkey < 5000").groupBy((F.col("o_custkey") % 50).alias("group_id"))
+    rows = read("orders").groupBy(F.col("o_custkey").alias("group_id"))
     return rows.agg(F.array_sort(F.collect_list("o_orderkey")).alias("pages"), F.countDistinct("o_orderstatus").alias("colorants"))
 
 
@@ -161,8 +161,11 @@ def mostly_right_to_left(read, spark):
 
 @query("first_page_first", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CASE WHEN o_orderkey = 500 THEN 0 ELSE 1 END, o_orderkey) AS place FROM orders")
 def first_page_first(read, spark):
-    order = Window.partitionBy("o_orderstatus").orderBy((F.col("o_orderkey") != 500).cast("int"), "o_orderkey")
-    return read("orders").select("o_orderkey", F.row_number().over(order).cast("long").alias("place"))
+    """Numbered over all rows and then from each status's first: the groups are few and large."""
+    rows = read("orders").select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") != 500).cast("int").alias("later"))
+    rows = relational.numbered(rows, ["o_orderstatus", "later", "o_orderkey"], "at")
+    first = rows.groupBy("o_orderstatus").agg(F.min("at").alias("first"))
+    return rows.join(first, "o_orderstatus").select("o_orderkey", (F.col("at") - F.col("first") + 1).alias("place"))
 
 
 @query("save_report", "SELECT 'added' AS action, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'kept', count(*) FROM orders WHERE o_orderkey % 5 BETWEEN 1 AND 3 UNION ALL SELECT 'dropped', count(*) FROM orders WHERE o_orderkey % 5 = 4")

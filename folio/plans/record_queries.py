@@ -84,10 +84,11 @@ def comment_filter(read, spark):
     return read("conversations").where((F.col("role") == "user") & T.fold(F.col("text")).contains("the")).select("conv_id", "turn")
 
 
-@query("comment_sort", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, user_id, event_id) AS place FROM events ORDER BY place LIMIT 100")
+@query("comment_sort", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, user_id, event_id) AS place FROM events")
 def comment_sort(read, spark):
-    top = read("events").orderBy(F.col("ts").desc_nulls_last(), "user_id", "event_id").limit(100)
-    return top.select("event_id", F.row_number().over(Window.orderBy(F.col("ts").desc(), "user_id", "event_id")).cast("long").alias("place"))
+    rows = read("events").select("event_id", "ts", "user_id")
+    order = [F.col("ts").desc_nulls_last(), F.col("user_id").asc_nulls_last(), F.col("event_id").asc_nulls_last()]
+    return relational.numbered(rows, order, "place").select("event_id", (F.col("place") + 1).alias("place"))
 
 
 @query("comment_types", "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id")
@@ -178,11 +179,11 @@ def overlay_cycle(read, spark):
     return read("part").select("p_partkey").join(overlay, F.col("p_partkey") % 25 == F.col("_at")).select("p_partkey", "n_name")
 
 
-@query("watermark_rows", "SELECT o_orderkey, r_name AS stamp FROM orders, region WHERE r_regionkey = 1 AND o_orderkey % 100 = 0")
+@query("watermark_rows", "SELECT o_orderkey, r_name AS stamp FROM orders, region WHERE r_regionkey = 1 AND o_orderstatus = 'F'")
 def watermark_rows(read, spark):
-    """One stamp for each selected page: the stamp is a literal of the plan, so nothing is joined."""
-    stamp = read("region").where("r_regionkey = 1").select("r_name").first()["r_name"]
-    return read("orders").where("o_orderkey % 100 = 0").select("o_orderkey", F.lit(stamp).alias("stamp"))
+    """One stamp for each selected page: the stamp is a scalar subquery, so nothing is joined."""
+    stamp = read("region").where("r_regionkey = 1").select(F.max("r_name")).scalar()
+    return read("orders").where("o_orderstatus = 'F'").select("o_orderkey", stamp.alias("stamp"))
 
 
 @query("extract_pages", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem SEMI JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F') USING (l_orderkey)")
@@ -271,10 +272,10 @@ def point_in_box(read, spark):
     return read("embeddings").where(F.col("embedding")[0].between(-0.05, 0.05) & F.col("embedding")[1].between(-0.05, 0.05)).select("vec_id")
 
 
-@query("reachability", "WITH RECURSIVE e AS (SELECT o_orderkey AS src, unnest([o_orderkey * 2 + 1, o_orderkey * 3 + 2]) AS dst FROM orders WHERE o_orderkey < 2000), r AS (SELECT 0 AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node) SELECT CAST(node AS BIGINT) AS node, min(depth) AS depth FROM r GROUP BY 1")
+@query("reachability", "WITH RECURSIVE e AS (SELECT o_orderkey AS src, unnest([o_orderkey * 2 + 1, o_orderkey * 3 + 2]) AS dst FROM orders), r AS (SELECT 0 AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node) SELECT CAST(node AS BIGINT) AS node, min(depth) AS depth FROM r GROUP BY 1")
 def reachability(read, spark):
     k = F.col("o_orderkey")
-    edges = read("orders").where("o_orderkey < 2000").select(k.alias("src"), F.explode(F.array(k * 2 + 1, k * 3 + 2)).alias("dst"))
+    edges = read("orders").select(k.alias("src"), F.explode(F.array(k * 2 + 1, k * 3 + 2)).alias("dst"))
     return records.reachable(edges, spark.range(1).select(F.col("id").alias("node")))
 
 

@@ -235,12 +235,7 @@ def dedup_alias_map(read, spark):
 
 @query("benchmark_hits", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_hits(read, spark):
-    """Phrases found in documents: a phrase's rarest word, by length, is the key on which it meets the documents' words."""
-    first = lambda c: F.element_at(F.sort_array(F.transform(F.slice(F.split(c, r"\s+"), 2, F.greatest(F.size(F.split(c, r"\s+")) - 2, F.lit(1))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), 1)["w"]
-    items = read("benchmark").select("item_id", F.col("text").alias("phrase"), first(F.col("text")).alias("word"))
-    docs = read("documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    met = docs.select("doc_id", "word").join(items, "word").select("doc_id", "item_id", "phrase").distinct()
-    return met.join(read("documents").select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")
+    return search.phrase_hits(read("documents"), read("benchmark"), "doc_id", "item_id")
 
 
 @query(

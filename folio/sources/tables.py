@@ -12,10 +12,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; one of our own only where it names none."""
-    found = spark.sparkContext.getCheckpointDir()
+    """The folder that the session names for checkpoints; one of our own only where it names none and is local, as in tests."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir()
     if not found:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="folio-")
-        spark.sparkContext.setCheckpointDir(named)
-        found = named
+        found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        found = found or tempfile.mkdtemp(prefix="folio-")
+        context.setCheckpointDir(found)
     return found

@@ -48,10 +48,11 @@ def newest_generation(events: DataFrame, by: str, generation: str, schema: str)
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         newest = state.get[0] if state.exists else None
         for frame in frames:
-            for i, row in frame.iterrows():
-                if newest is None or row[generation] >= newest:
-                    newest = int(row[generation])
-                    yield frame.loc[[i]]
+            largest = frame[generation].cummax()
+            if newest is not None:
+                largest = largest.clip(lower=newest)
+            yield frame[frame[generation] >= largest]
+            newest = int(largest.iloc[-1]) if len(frame) else newest
         if newest is not None:
             state.update((newest,))
 

@@ -142,3 +142,27 @@ def test_rule_report(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
     got = {r["rule"]: (r["failures"], r["first_context"], r["status"]) for r in quality.rule_report(df, "k", {"set": F.col("v").isNotNull(), "key": F.col("k") > 0}).collect()}
     assert got == {"set": (1, 2, "failed"), "key": (0, None, "passed")}
+
+
+def test_phrases_of_every_length(spark):
+    docs = spark.createDataFrame([(1, "foo bar baz"), (2, "xfoo  bar baz"), (3, None), (4, ""), (5, "one two three four")], "doc_id long, text string")
+    phrases = spark.createDataFrame([(1, "foo ba"), (2, "oo"), (3, "two three fo"), (4, None), (5, "wo three four"), (6, "two  three four"), (7, "bar")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in search.phrase_hits(docs, phrases, "doc_id", "item_id").collect()}
+    want = {(d["doc_id"], p["item_id"]) for d in docs.collect() for p in phrases.collect() if d["text"] is not None and p["text"] is not None and p["text"] in d["text"]}
+    assert got == want and (1, 1) in got and (1, 2) in got
+    with pytest.raises(ValueError):
+        search.phrase_hits(docs, phrases, "doc_id", "item_id", most_short=2)
+
+
+def test_rows_are_numbered_over_all(spark):
+    rows = spark.range(1000).select(F.pmod(F.col("id") * 617, F.lit(1000)).alias("k")).repartition(7)
+    assert all(r["k"] == r["place"] for r in relational.numbered(rows, ["k"], "place").collect())
+    assert relational.numbered(rows.limit(0), ["k"], "place").count() == 0
+    sources = [spark.range(7).select(F.col("id").alias("k")), spark.range(2).select(F.col("id").alias("k")), spark.range(4).select(F.col("id").alias("k"))]
+    got = [(r["source"], r["key"]) for r in relational.interleave(sources, "k", 3).orderBy("place").collect()]
+    assert got == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (0, 3), (0, 4), (0, 5), (2, 3), (0, 6)]
+
+
+def test_starts_of_rows_that_repeat_a_key(spark):
+    docs = spark.createDataFrame([(1, "ab ab"), (1, "x ab")], "doc_id long, text string")
+    assert sorted(r["start"] for r in search.match_starts(docs, "ab", "doc_id").collect()) == [1, 3, 4]
