@@ -76,3 +76,20 @@ def rename_prefix(df: DataFrame, column: str, old: str, new: str) -> DataFrame:
     taken = df.select(F.col(column).alias("_taken")).distinct()
     rows = df.withColumn("_new", renamed).join(taken, F.col("_new") == F.col("_taken"), "left")
     return rows.withColumn(column, F.when(F.col("_new").isNotNull() & F.col("_taken").isNull(), F.col("_new")).otherwise(F.col(column))).drop("_new", "_taken")
+
+
+def edited(base: DataFrame, changes: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows (key, value) after ``changes``: a value sets or replaces its key's, a null value removes the key."""
+    new = changes.select(key, F.struct(value).alias("_new"))
+    both = base.select(key, value).join(new, key, "full")
+    return both.select(key, F.when(F.col("_new").isNotNull(), F.col(f"_new.{value}")).otherwise(F.col(value)).alias(value)).where(F.col(value).isNotNull())
+
+
+def submitted(fields: DataFrame, name: str, listed: list[str], exclude: bool = False) -> DataFrame:
+    """Fields that are listed or lie under a listed one, or with ``exclude`` all others; without a list every field."""
+    if not listed:
+        return fields
+    chosen = F.lit(False)
+    for x in listed:
+        chosen = chosen | (F.col(name) == x) | F.col(name).startswith(x + ".")
+    return fields.where(~chosen if exclude else chosen)

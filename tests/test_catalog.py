@@ -28,6 +28,7 @@ def test_python_backed_queries(spark, data):
     for r in catalog.QUERIES["recompressed"](spark, data).collect():
         raw = texts[r["doc_id"]].encode()
         assert (r["bytes_before"], r["bytes_after"]) == (len(raw), min(len(raw), len(zlib.compress(raw))))
+    assert {r["doc_id"]: r["text"] for r in catalog.QUERIES["flate_round_trip"](spark, data).collect()} == {k: t or "" for k, t in texts.items()}
     spoken = catalog.QUERIES["sentence_split"](spark, data).collect()
     assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]].strip() for r in spoken)
     assert {r["doc_id"] for r in spoken} == {k for k, t in texts.items() if t and any(c.isalnum() for c in t)}
