@@ -34,3 +34,28 @@ def test_stages(spark, data):
     size = lambda df: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in df.collect())
     assert abs(size(made[5]) - size(made[4])) <= 0.02 * size(made[4])
     assert zlib.crc32(b"") == 0
+
+
+def test_edges_and_folders(spark, data, tmp_path):
+    import glob
+
+    from folio.llm.common import clear, shared_dir
+
+    clear(spark)
+    real = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{data}/documents.parquet").where("lang is not null").orderBy("doc_id").limit(60).collect()]
+    rows = [*real, (None, real[0][1], None, None), (None, None, None, None), (9001, "", "en", "x"), (9002, "½ ² 12", None, "x"), (real[5][0], real[5][1], "zz", None), (9003, real[7][1] * 40, None, None)]
+    wide = spark.createDataFrame([(*r, 7, "clash", 1.0) for r in rows], "doc_id long, text string, lang string, source string, score int, predicted string, size double")
+    for name, docs, labels in (("a", wide, f"{data}/labels.parquet"), ("b", wide.limit(0), None)):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        known = spark.read.parquet(labels) if labels else spark.createDataFrame([], "doc_id long, quality int, toxic int")
+        known.write.parquet(f"{folder}/labels.parquet")
+        spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        made = c.run(spark, folder)
+        assert made.columns == [*docs.columns, "mix_pass", "mix_shard", "mix_place"]
+        got = made.collect()
+        assert {r["predicted"] for r in got} <= {"clash"} and not {9001, 9002} & {r["doc_id"] for r in got} and (got or name == "b")
+        # Only the last stage's table is left.
+        assert len(glob.glob(shared_dir(spark).removeprefix("file:").replace("//", "/") + "/folio-*")) == 1
+        clear(spark)
+        assert not glob.glob(shared_dir(spark).removeprefix("file:").replace("//", "/") + "/folio-*")
