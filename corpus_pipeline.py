@@ -11,6 +11,8 @@ toxic, and without known languages every document goes. Other columns of documen
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +24,22 @@ from folio.llm.mixing import mix_documents
 from folio.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], new: tuple[str, ...], condition: str) -> DataFrame:
+    """The rows of ``docs`` whose judgement meets a condition; columns that have the names of a judgement's step aside meanwhile."""
+    aside = [f"_aside_{i}" if n in new else n for i, n in enumerate(docs.columns)]
+    return judge(docs.toDF(*aside)).where(condition).select(*aside).toDF(*docs.columns)
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on two thirds of the labelled ones, doesn't predict to be toxic."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 3) != 1)
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return _kept(docs, lambda df: score_toxicity(df, model), ("score", "predicted", "offending"), "predicted = 0")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells, by dictionaries from four fifths of the documents."""
     model = fit_languages(docs, fold_of(F.col("doc_id"), 5) != 0)
-    return predict_languages(docs, model).where("accepted").select(*docs.columns)
+    return _kept(docs, lambda df: predict_languages(df, model), ("lang_pred", "score", "accepted"), "accepted")
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
