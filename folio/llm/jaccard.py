@@ -25,11 +25,12 @@ from .graph import components
 WIDTH = 5
 #: The similarity as a fraction, in whole numbers: links need DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
-#: Shingles of a batch, documents of a batch, copies in a batch from which a shingle travels as a count.
-BATCH_GRAMS, BATCH_DOCS, HEAVY = 400_000, 60_000, 32
+#: Shingles of a batch, documents of a batch.
+BATCH_GRAMS, BATCH_DOCS = 400_000, 60_000
 #: Characters of text for each bucket: about a million shingles.
 BUCKET_CHARS = 8_000_000
-FP_BITS, BASE, MIX = np.uint64(40), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+#: The document number of a shingle that several documents of a batch have, which travels once, with their number.
 MANY = 0xFFFF
 PACKED = "part long, batch long, kind int, a binary, b binary, c binary, d binary"
 NAMES = [x.split()[0] for x in PACKED.split(", ")]
@@ -67,7 +68,10 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _pack(buckets: int, width: int):
-    """Documents to packed rows: kind 0 for a bucket, kinds 1 (documents) and 2 (frequent shingles) for the batch itself."""
+    """Documents to packed rows: kind 0 for a bucket, kinds 1 (documents) and 2 (shingles of several of its documents) for the batch itself.
+
+    A shingle goes to its bucket once for each batch, so one that all documents have is as many rows there as batches.
+    """
 
     def flush(batch: int, ids: list, keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -82,16 +86,15 @@ def _pack(buckets: int, width: int):
             start = np.flatnonzero(first)
             count = np.diff(np.append(start, len(grams)))
             weight = np.repeat(count, count)
-            heavy = weight >= HEAVY
-            if heavy.any():
-                out.append((-1 - batch, batch, 2, _ids(grams[heavy], buckets).tobytes(), docs[heavy].tobytes(), b"", b""))
-                sent = ~heavy | first
-                grams, weight, docs = grams[sent], weight[sent], np.where(heavy, MANY, docs)[sent].astype(np.uint16)
-            bucket = _bucket(grams, buckets)
+            common = weight > 1
+            if common.any():
+                out.append((-1 - batch, batch, 2, grams[common].tobytes(), docs[common].tobytes(), b"", b""))
+                grams, weight, docs = grams[first], weight[first], np.where(common, MANY, docs)[first].astype(np.uint16)
+            bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(grams)], strict=True):
                 g, d = grams[a:b], docs[a:b]
-                out.append((int(bucket[a]), batch, 0, g.astype(np.uint32).tobytes(), (g >> np.uint64(32)).astype(np.uint8).tobytes(), d.tobytes(), weight[a:b][d == MANY].astype(np.uint32).tobytes()))
+                out.append((int(bucket[a]), batch, 0, _planes(g), b"", d.tobytes(), weight[a:b][d == MANY].astype(np.uint32).tobytes()))
         return _rows(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,13 +115,13 @@ def _pack(buckets: int, width: int):
     return run
 
 
-def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
-    return ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _planes(grams: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers, all their highest bytes first: runs of equal bytes, which a shuffle's compression takes well."""
+    return grams.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _ids(grams: np.ndarray, buckets: int) -> np.ndarray:
-    """A shingle's bucket and the low 40 bits of its hash: what stands for it from here on."""
-    return (_bucket(grams, buckets).astype(np.uint64) << FP_BITS) | (grams & ((np.uint64(1) << FP_BITS) - np.uint64(1)))
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
 def _count(rows: pa.Table) -> pa.Table:
@@ -127,23 +130,22 @@ def _count(rows: pa.Table) -> pa.Table:
     if held[0]["kind"]:
         return rows
     part = held[0]["part"]
-    fps = np.concatenate([np.frombuffer(r["a"], np.uint32) | (np.frombuffer(r["b"], np.uint8).astype(np.uint64) << np.uint64(32)) for r in held])
+    grams = np.concatenate([_from_planes(r["a"]) for r in held])
     docs = np.concatenate([np.frombuffer(r["c"], np.uint16) for r in held])
-    sizes = [len(r["a"]) // 4 for r in held]
-    weight = np.ones(len(fps), np.int64)
+    sizes = [len(r["c"]) // 2 for r in held]
+    weight = np.ones(len(grams), np.int64)
     weight[docs == MANY] = np.concatenate([np.frombuffer(r["d"], np.uint32) for r in held])
-    order = np.argsort(fps, kind="stable")
-    ranked = fps[order]
+    order = np.argsort(grams, kind="stable")
+    ranked = grams[order]
     start = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     total = np.add.reduceat(weight[order], start)
-    df = np.empty(len(fps), np.uint32)
-    df[order] = np.repeat(np.minimum(total, 2**32 - 1), np.diff(np.append(start, len(fps)))).astype(np.uint32)
+    df = np.empty(len(grams), np.uint32)
+    df[order] = np.repeat(np.minimum(total, 2**32 - 1), np.diff(np.append(start, len(grams)))).astype(np.uint32)
     out, at = [], 0
     for r, n in zip(held, sizes, strict=True):
         keep = df[at : at + n] >= 2
         if keep.any():
-            ids = (np.uint64(part) << FP_BITS) | fps[at : at + n][keep]
-            out.append((part, r["batch"], 0, ids.tobytes(), b"", docs[at : at + n][keep].tobytes(), df[at : at + n][keep].tobytes()))
+            out.append((part, r["batch"], 0, grams[at : at + n][keep].tobytes(), b"", docs[at : at + n][keep].tobytes(), df[at : at + n][keep].tobytes()))
         at += n
     return pa.Table.from_batches([_rows(out)])
 
@@ -229,6 +231,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(_enough(F.size(F.array_intersect("a_grams", "b_grams")), F.col("a_n"), F.col("b_n"), num, den)).select("a", "b")
 
 
+def _band(n: Column, num: int, den: int) -> Column:
+    """Sizes that differ by no more than the threshold allows are in the same band or in neighbours."""
+    return F.floor(F.log(n.cast("double")) / (math.log(den / num) * (1 + 1e-6) if den > num else 1e-6))
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
@@ -239,8 +246,8 @@ def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN, rounds: int =
     Rounds of stars come first: within the documents of a prefix shingle only a few leaders meet the others that
     are not yet in their component, so a group of near copies costs rows in proportion to its size. When a round
     finds nothing more, or after ``rounds``, all pairs of different components that share a prefix shingle
-    are compared, but for pairs within the largest component of a shingle, which are joined already. That last pass
-    makes the result exact whatever the rounds found.
+    are compared within bands of sizes, but for pairs within the largest component of a shingle, which are joined
+    already. That last pass makes the result exact whatever the rounds found.
     """
     sets = sets.where("take > 0")
     postings = materialize(
@@ -286,8 +293,9 @@ def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN, rounds: int =
     by = now.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m"))
     largest = by.groupBy("gram").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("gram", F.col("top.component").alias("top"))
     open_postings = materialize(now.join(largest, "gram"), "open")
-    minor = side(open_postings.where("component <> top"), "x")
-    met = minor.join(side(open_postings, "y"), "gram").where((F.col("x_component") != F.col("y_component")) & _could_match("x", "y", num, den))
+    minor = side(open_postings.where("component <> top"), "x").withColumn("band", F.explode(F.array(*[_band(F.col("x_n"), num, den) + i for i in (-1, 0, 1)])))
+    major = side(open_postings, "y").withColumn("band", _band(F.col("y_n"), num, den))
+    met = minor.join(major, ["gram", "band"]).where((F.col("x_component") != F.col("y_component")) & _could_match("x", "y", num, den))
     accept(_verify(_pairs(met).join(seen, ["a", "b"], "left_anti"), sets, num, den))
     release(open_postings, *made)
     if placed is None:
@@ -303,9 +311,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     texts and texts without words are empty sets, linked with nothing, their own component. Repeated rows link
     with each other; null ids take part and are never the smallest. Other columns are not read.
 
-    A shingle is known by its bucket of about a million and 40 bits of its hash, so one in two million is taken for
-    another of the corpus; that matters where both documents of a pair hold one of the two and their similarity is
-    within one shingle of the threshold.
+    A shingle is known by a 64-bit hash of its words. Of a corpus of N distinct shingles one in 2^64 / N is taken for
+    another (at 30 GB one in some billions); that matters where both documents of a pair hold one of the two and their
+    similarity is within one shingle of the threshold.
     """
     found = shared_shingles(docs, width, num, den)
     rows = materialize(found.select("node", "doc_id", "text_key", "n", "digest"), "rows")

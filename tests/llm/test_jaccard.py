@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import jaccard as j
 
@@ -51,7 +52,6 @@ def edited(rng, words, rate):
 @pytest.mark.parametrize("seed", range(3))
 def test_against_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(j, "BATCH_GRAMS", 500)
-    monkeypatch.setattr(j, "HEAVY", 4)
     monkeypatch.setattr(j, "BUCKET_CHARS", 500)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
@@ -83,6 +83,25 @@ def test_the_boundary_is_exact(spark):
     assert [r[2] for r in run(spark, rows)] == [1, 2]
 
 
+def test_a_very_long_text_and_a_shingle_of_all_texts(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(edited(rng, long, 0.005))), (3, " ".join(long[:100_000])), (4, "x " * 300_000), (5, "x " * 20)]
+    # Boilerplate that all texts hold, in sizes of several bands.
+    rows += [(10 + i, "one two three four five six " + " ".join(f"{i}.{k}" for k in range(1 + i % 7))) for i in range(60)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_bands_of_sizes(spark):
+    rows = spark.range(1, 3000).select(F.col("id").alias("n"), F.explode(F.array(F.ceil(F.col("id") * 80 / 100), F.floor(F.col("id") * 100 / 80))).alias("m"))
+    assert rows.where(F.abs(j._band(F.col("n"), 80, 100) - j._band(F.col("m"), 80, 100)) > 1).count() == 0
+
+
+def test_packed_shingles_come_back():
+    grams = j.shingles(" ".join(map(str, range(1000))))
+    assert (j._from_planes(j._planes(grams)) == grams).all() and len(j._from_planes(b"")) == 0
+
+
 def test_empty_and_keep_one(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert j.near_duplicates(df).count() == 0 and j.keep_one(df).count() == 0
