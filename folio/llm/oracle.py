@@ -175,3 +175,85 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, CAST(len(any_value(s.shingles)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
 FROM reach r JOIN s ON s.node = r.node JOIN s o ON o.node = r.seen GROUP BY s.node, s.doc_id
 """
+
+OP11 = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM (SELECT lang, source, row, unnest(words) AS term FROM d) GROUP BY ALL
+), k AS (
+  SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 30
+), v AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), gn AS (
+  SELECT lang, source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN (SELECT c.* FROM c SEMI JOIN k USING (lang, term)) c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n,
+         1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (gn.total + 5 * v.v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (k.n + 5) // (v.total + 5 * v.v) AS q
+  FROM gn JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+#: crc32 takes a byte by eight steps of one bit, of which the first also takes the byte in.
+OP13 = r"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS row, doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS tree, text,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+           || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS front,
+         list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(coalesce(CAST(doc_id AS VARCHAR), '')) + 1), lambda i: [ord(substr(CAST(doc_id AS VARCHAR), i, 1)), 0, 0, 0, 0, 0, 0, 0]))),
+           lambda x, b: xor(xor(x, CAST(b AS BIGINT)) >> 1, CASE WHEN xor(x, CAST(b AS BIGINT)) & 1 = 1 THEN 3988292384 ELSE 0 END)) AS crc
+  FROM documents
+), h AS (
+  SELECT row, doc_id, tree, sha256(front || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 2 = 0 AND text IS NOT NULL THEN sha256(front || strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '')) END AS tampered
+  FROM f
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size FROM h
+), nodes AS (
+  SELECT tree, 0 AS level, place, leaf AS node, size FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)), (size + 2) // 3 FROM nodes WHERE size > 1 GROUP BY tree, level, place // 3, size
+), subroots AS (
+  SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM nodes WHERE size = 1
+), above AS (
+  SELECT 0 AS level, place, node, size FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)), (size + 2) // 3 FROM above WHERE size > 1 GROUP BY level, place // 3, size
+), runs AS (
+  SELECT tree, level, place // 3 AS run, list(node ORDER BY place) AS own FROM nodes WHERE size > 1 GROUP BY ALL
+), runs_above AS (
+  SELECT level, place // 3 AS run, list(node ORDER BY place) AS own FROM above WHERE size > 1 GROUP BY ALL
+), fold AS (
+  SELECT row, tree, 0 AS level, place, coalesce(tampered, leaf) AS node, '' AS sib FROM placed
+  UNION ALL
+  SELECT row, fold.tree, fold.level + 1, place // 3, sha256(array_to_string(own[1:place % 3], '') || node || array_to_string(own[place % 3 + 2:], '')),
+         sib || array_to_string(own[1:place % 3], '') || array_to_string(own[place % 3 + 2:], '')
+  FROM fold JOIN runs ON fold.tree = runs.tree AND fold.level = runs.level AND run = place // 3
+), fold_above AS (
+  SELECT t.row, 0 AS level, s.place, t.node, t.sib
+  FROM (SELECT row, tree, arg_max(node, level) AS node, arg_max(sib, level) AS sib FROM fold GROUP BY ALL) t JOIN subroots s USING (tree)
+  UNION ALL
+  SELECT row, x.level + 1, place // 3, sha256(array_to_string(own[1:place % 3], '') || node || array_to_string(own[place % 3 + 2:], '')),
+         sib || array_to_string(own[1:place % 3], '') || array_to_string(own[place % 3 + 2:], '')
+  FROM fold_above x JOIN runs_above r ON x.level = r.level AND run = place // 3
+), done AS (
+  SELECT row, arg_max(node, level) AS folded_root, arg_max(sib, level) AS sib FROM fold_above GROUP BY row
+)
+SELECT doc_id, leaf, s.node AS subroot, a.node AS root, sha256(sib) AS proof_sha256, folded_root, folded_root = a.node AS verified
+FROM placed JOIN done USING (row) JOIN subroots s USING (tree) JOIN above a ON a.size = 1
+"""

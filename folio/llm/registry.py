@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard, language_id, lm_score, mixing, oracle, topk, toxicity, url_filter, warc
+from . import bpe, decontaminate, divergence, html_extract, jaccard, language_id, lm_score, merkle, mixing, oracle, topk, toxicity, url_filter, warc
 from .common import fold_of, shared_path, table
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -62,6 +62,27 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).drop("n_regions")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"), least_docs=30, most_terms=50)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    decoded = bpe.decode_documents(encoded, vocabulary)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A null text stays null, so its digest stays as well.
+    tampered = F.when(fold_of(F.col("doc_id"), 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+    held = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return held.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_jaccard_join": op2_jaccard_join,
@@ -73,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_bpe": op12_bpe,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +105,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_url_filters": oracle.OP4,
     "op6_topk": oracle.OP6,
     "op9_mixing": oracle.OP9,
+    "op11_source_divergence": oracle.OP11,
+    "op13_merkle": oracle.OP13,
 }
