@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import removed, written
+
 
 def with_ends(ranges: DataFrame, start: str) -> DataFrame:
     """Add ``range_end``, the start of the next range (null for the last); ranges are few."""
@@ -35,39 +37,34 @@ def flatten_aliases(links: DataFrame, most_rounds: int = 32) -> DataFrame:
     """id and canonical of (id, next) chains by doubling: each round halves what is left of the longest chain.
 
     A chain ends where next is the id itself; ``most_rounds`` rounds cover chains of 2 to the power of that many.
-    The loop ends when a round changes nothing; plans stay short, as each round is checkpointed.
+    Each round is written, and removed with the next; the loop ends when one changes nothing, and raises if none does.
     """
-    spark = links.sparkSession
-    from ..sources.tables import checkpoint_dir
-
-    checkpoint_dir(spark)
-    now = links
+    now = links.select("id", "next")
     for _ in range(most_rounds):
         ahead = now.select(F.col("id").alias("_id"), F.col("next").alias("_next"))
-        moved = now.join(ahead, F.col("next") == F.col("_id"), "left").select("id", F.coalesce("_next", "next").alias("next"), (F.coalesce("_next", "next") != F.col("next")).alias("_moved")).checkpoint()
-        now = moved.drop("_moved")
+        moved = written(now.join(ahead, F.col("next") == F.col("_id"), "left").select("id", F.coalesce("_next", "next").alias("next"), (F.coalesce("_next", "next") != F.col("next")).alias("_moved")), "aliases")
+        removed(now)
+        now = moved
         if not moved.where("_moved").limit(1).count():
-            break
-    return now.select("id", F.col("next").alias("canonical"))
+            return now.select("id", F.col("next").alias("canonical"))
+    raise ValueError(f"chains go on after {most_rounds} rounds: they form a cycle or are longer than 2^{most_rounds}")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Nodes that edges (src, dst) lead to from ``roots`` (node), with their least depth.
 
-    Breadth first: each round joins only the nodes found last, and nodes found before are left out, so cycles end.
+    Breadth first: each round joins only the nodes found last with their edges, and one table of all nodes found so far,
+    which replaces the one before. Cycles end, as nodes found before are left out. Raises if ``most_rounds`` don't do.
     """
-    from ..sources.tables import checkpoint_dir
-
-    checkpoint_dir(edges.sparkSession)
-    found = roots.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
-    fresh = found
+    found = written(roots.select("node", F.lit(0).alias("depth")).distinct(), "reached")
     for depth in range(1, most_rounds + 1):
-        ahead = fresh.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        fresh = ahead.join(found, "node", "left_anti").select("node", F.lit(depth).alias("depth")).checkpoint()
-        if not fresh.limit(1).count():
-            break
-        found = found.unionByName(fresh)
-    return found
+        fresh = found.where(F.col("depth") == depth - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(depth).alias("depth"))
+        merged = written(found.unionByName(fresh).groupBy("node").agg(F.min("depth").alias("depth")), "reached")
+        removed(found)
+        found = merged
+        if not found.where(F.col("depth") == depth).limit(1).count():
+            return found
+    raise ValueError(f"nodes are still found after {most_rounds} rounds")
 
 
 def rename_prefix(df: DataFrame, column: str, old: str, new: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
@@ -60,10 +62,7 @@ def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     Rows are dealt into ranges of the order; each range numbers its own and goes on from the rows before it, of which
     there is a count for each range. The ranges are written once, as another sample would cut them elsewhere.
     """
-    from ..sources.tables import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     counted = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counted.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))

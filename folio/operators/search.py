@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.positions import match_places
 
 
 def count_matches(docs: DataFrame, query: str, text: str = "text", whole_word: bool = False, overlapping: bool = False, **folding: bool) -> DataFrame:
@@ -22,16 +23,15 @@ def count_matches(docs: DataFrame, query: str, text: str = "text", whole_word: b
     return docs.withColumn("matches", F.regexp_count(T.fold(F.col(text), **folding), F.lit(pattern))).where("matches > 0")
 
 
-def match_starts(docs: DataFrame, query: str, key: str, text: str = "text", **folding: bool) -> DataFrame:
-    """A row for each match: ``key``, ordinal, start (1-based code point) and length in the folded text."""
-    pattern = T.pattern_of(T.fold_query(query, **folding))
-    # Rows may repeat a key, so each has a number of its own.
-    folded = docs.select(key, F.monotonically_increasing_id().alias("_row"), T.fold(F.col(text), **folding).alias("folded")).where(F.col("folded").rlike(pattern))
-    found = F.regexp_extract_all("folded", F.lit(f"(?s)(.*?)({pattern})"), F.lit(0))
-    lengths = F.transform(found, lambda x: F.struct(F.length(x).alias("whole"), F.length(F.regexp_extract(x, f"(?s)({pattern})$", 1)).alias("length")))
-    pieces = folded.select(key, "_row", F.posexplode(lengths).alias("ordinal", "piece"))
-    upto = F.sum("piece.whole").over(Window.partitionBy("_row").orderBy("ordinal"))
-    return pieces.select(key, (F.col("ordinal") + 1).alias("ordinal"), (upto - F.col("piece.length") + 1).alias("start"), F.col("piece.length").alias("length"))
+def match_starts(docs: DataFrame, query: str, key: str, text: str = "text", whole_word: bool = False, overlapping: bool = False, **folding: bool) -> DataFrame:
+    """A row for each match: ``key``, ordinal, start and length in the folded text, source_start and source_length in the text itself.
+
+    Starts count code points from 1. Matches are found and mapped back within their row, so nothing is shuffled, and rows
+    that repeat a key stay apart. Null texts and empty queries match nothing.
+    """
+    places = match_places(F.col(text), query, whole_word, overlapping, **folding)
+    found = docs.select(key, F.posexplode(places).alias("ordinal", "place"))
+    return found.select(key, (F.col("ordinal") + 1).alias("ordinal"), "place.*")
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, phrase_key: str, text: str = "text", most_short: int = 1000) -> DataFrame:

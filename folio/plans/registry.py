@@ -19,7 +19,11 @@ def query(name: str, sql: str | None = None):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda t: table(spark, sf_dir, t), spark)
+            def read(t: str) -> DataFrame:
+                return table(spark, sf_dir, t)
+
+            read.path = lambda t: f"{sf_dir}/{t}.parquet"
+            return f(read, spark)
 
         QUERIES[name] = run
         if sql:

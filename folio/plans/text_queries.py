@@ -90,7 +90,25 @@ def search_wraparound(read, spark):
        SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(list_sum(list_transform(parts[1:ordinal], lambda x: length(x))) + 4 * (ordinal - 1) + 1 AS BIGINT) AS start, 4 AS length FROM e""",
 )
 def search_positions(read, spark):
-    return search.match_starts(read("documents"), "tion", "doc_id").withColumn("start", F.col("start").cast("long"))
+    found = search.match_starts(read("documents"), "tion", "doc_id")
+    return found.select("doc_id", "ordinal", F.col("start").cast("long").alias("start"), "length")
+
+
+@query(
+    "search_source_positions",
+    """WITH d AS (SELECT row_number() OVER () AS row, doc_id, translate(replace(replace(text, 'é', 'e' || chr(769)), 'ñ', 'n' || chr(771)), 'TO', chr(65332) || chr(65327)) AS text FROM documents),
+       c AS (SELECT row, doc_id, unnest(range(1, length(text) + 1)) AS place, unnest(string_split(text, '')) AS own FROM (SELECT * FROM d WHERE length(text) > 0)),
+       k AS (SELECT row, doc_id, place, row_number() OVER (PARTITION BY row ORDER BY place) AS nth, CASE own WHEN chr(65332) THEN 't' WHEN chr(65327) THEN 'o' ELSE lower(strip_accents(own)) END AS own
+             FROM c WHERE own NOT IN (chr(769), chr(771))),
+       n AS (SELECT *, lead(own) OVER w AS own2, lead(own, 2) OVER w AS own3, lead(place, 2) OVER w AS last_place FROM k WINDOW w AS (PARTITION BY row ORDER BY nth))
+       SELECT doc_id, CAST(row_number() OVER (PARTITION BY row ORDER BY nth) AS INTEGER) AS ordinal, CAST(nth AS INTEGER) AS start, 3 AS length, CAST(place AS INTEGER) AS source_start, CAST(last_place - place + 1 AS INTEGER) AS source_length
+       FROM n WHERE own = 'e' AND own2 = 't' AND own3 = 'o'""",
+)
+def search_source_positions(read, spark):
+    """Places in the texts themselves, with accents as marks of their own and full-width letters, of a search that folds both."""
+    marked = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ñ"), F.lit("n\u0303"))
+    docs = read("documents").select("doc_id", F.translate(marked, "TO", "\uff34\uff2f").alias("text"))
+    return search.match_starts(docs, "éto", "doc_id", ignore_diacritics=True, compatibility=True)
 
 
 @query("snippet", f"SELECT doc_id, trim(regexp_replace(substr(text, greatest(p - 50, 1), 54 + p - greatest(p - 50, 1)), '{WS}+', ' ', 'g')) AS snippet FROM (SELECT *, instr(lower(text), 'with') AS p FROM documents) WHERE p > 0")
