@@ -21,6 +21,27 @@ def in_range(df: DataFrame, at: str, ranges: DataFrame, start: str, most_ranges:
     return df.join(F.broadcast(ranges), inside)
 
 
+def as_of_ranges(df: DataFrame, at: str, ranges: DataFrame, start: str) -> DataFrame:
+    """Rows of ``df`` with the columns of the latest range whose ``start`` isn't after ``at``; nulls if there is none.
+
+    For any number of ranges, without a key. Both sides are dealt together into ranges of the position, each of which
+    carries its last range forward; what the earlier ones end with, a row for each of them, is carried over their borders.
+    Rows at one position are spread as well. Of ranges with equal starts that with the largest other columns counts. A
+    null position has no range. The columns of both sides must have different names.
+    """
+    carried = F.struct(*[F.col(c) for c in ranges.columns if c != start], F.col(start)).alias("_range")
+    once = ranges.where(F.col(start).isNotNull()).groupBy(F.col(start).alias("_at")).agg(F.max(carried).alias("_range"))
+    left = df.select(F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*df.columns).alias("_row")).withColumn("_spread", F.monotonically_increasing_id())
+    both = left.unionByName(once.withColumn("_side", F.lit(0)).withColumn("_spread", F.lit(0).cast("long")), allowMissingColumns=True)
+    dealt = written(both.repartitionByRange("_at", "_side", "_spread").withColumn("_part", F.spark_partition_id()), "as-of")
+    ends = dealt.groupBy("_part").agg(F.max_by("_range", F.when(F.col("_side") == 0, F.col("_at"))).alias("_end"))
+    ends = ends.select("_part", F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = F.last("_range", ignorenulls=True).over(Window.partitionBy("_part").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    found = dealt.withColumn("_own", own).where("_side = 1").join(ends, "_part")
+    got = F.when(F.col("_at").isNotNull(), F.coalesce("_own", "_before"))
+    return found.select("_row.*", got.alias("_got")).select(*df.columns, *[F.col(f"_got.{c}").alias(c) for c in ranges.columns])
+
+
 def resolve_chain(df: DataFrame, column: str, chain: DataFrame, most: int) -> DataFrame:
     """Follow (custom, standard) links from ``column``, ``most`` times at most; a value without a link stays.
 
