@@ -256,7 +256,7 @@ def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN, rounds: int =
     )
     fields = ["node", "n", "alone", "low", "high", "pos", "component"]
     side = lambda df, s: df.select("gram", *[F.col(f).alias(f"{s}_{f}") for f in fields])
-    links, placed, seen, made = None, None, None, [postings]
+    placed, seen, made = None, None, [postings]
 
     def known() -> DataFrame:
         if placed is None:
@@ -264,14 +264,14 @@ def similar_sets(sets: DataFrame, num: int = NUM, den: int = DEN, rounds: int =
         return postings.join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     def accept(found: DataFrame) -> int:
-        nonlocal links, placed
+        nonlocal placed
         found = materialize(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
         made.append(found)
         count = found.count()
         if count:
-            links = found if links is None else links.unionByName(found)
+            # What the rounds before have joined comes as one link from each node to its component.
             old = placed
-            placed = components(links)
+            placed = components(found if old is None else found.unionByName(old.select(F.col("node").alias("u"), F.col("component").alias("v"))))
             release(old)
         return count
 
@@ -347,8 +347,10 @@ def keep_one(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "node")
     kept = found.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_key"), first).alias("kept"))
     key = lambda doc_id, text_key: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text_key.cast("string"))
-    stay = kept.select(key(F.col("kept.doc_id"), F.col("kept.text_key")).alias("_key")).distinct()
-    keyed = docs.withColumn("_key", key(F.col("doc_id"), F.xxhash64("text"))).join(stay, "_key", "left_semi")
-    others = [F.col(n) for n in docs.columns if n not in ("doc_id", "text")]
-    once = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(1)))
-    return keyed.withColumn("_once", once).where("_once = 1").select(*docs.columns)
+    stay = kept.select(key(F.col("kept.doc_id"), F.col("kept.text_key")).alias("key")).distinct()
+    # The row travels as one value, so its columns may have any names.
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns])
+    keyed = docs.select(key(F.col("doc_id"), F.xxhash64("text")).alias("key"), whole.alias("whole")).join(stay, "key", "left_semi")
+    others = [F.col(f"whole.`{n}`").alias(f"c{i}") for i, n in enumerate(docs.columns) if n not in ("doc_id", "text")]
+    once = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(1)))
+    return keyed.withColumn("once", once).where("once = 1").select("whole.*")

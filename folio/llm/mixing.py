@@ -151,19 +151,25 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats
 def mix_documents(docs: DataFrame, shards: int = 8, seed: int = 7, **options) -> DataFrame:
     """The mix itself: a row for each copy drawn, with the columns of ``docs`` and mix_pass, mix_shard, mix_place.
 
-    Documents join their plan on id, source and size. Rows of a shard stand in one order of their own (``mix_place``
+    Documents join their plan on id, source and size; rows that repeat all three (as null texts under null ids) are
+    numbered on both sides, by a hash of the text and by what the plan takes, and join on the number as well. Rows of a shard stand in one order of their own (``mix_place``
     sorts them), which is the local shuffle: a writer that partitions by mix_shard and sorts by mix_place needs no
     global order. Documents that the plan doesn't draw are absent; see ``plan_mix`` for the rest.
     """
     names = docs.columns
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    nth = lambda order: F.row_number().over(Window.partitionBy("key").orderBy(order))  # noqa: E731  pairs repeated rows with plans
     plan = plan_mix(docs, shards=shards, seed=seed, **options).select(key.alias("key"), "taken", "draws")
-    plan = plan.withColumn("p_nth", nth(F.col("taken"))).select("key", "p_nth", "draws")
-    rows = docs.select(F.struct(*[F.col(n) for n in names]).alias("whole"), "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("hash")).select("whole", "doc_id", "hash", key.alias("key"))
-    # The places are compared as a difference, so both sides stay partitioned by the key alone and texts move once.
-    met = rows.withColumn("nth", nth(F.col("hash"))).join(plan, "key").where(F.col("nth") - F.col("p_nth") == 0)
+    plan = materialize(plan.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key"))), "mix")
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("whole"), "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("hash")).select("whole", "doc_id", "hash", key.alias("key"))
+    # A key of one row meets its plan by the key alone, so texts move once; rows that repeat a key are numbered on both
+    # sides and meet one by one.
+    alone = rows.join(plan.where("rows = 1 and size(draws) > 0").select("key", "draws"), "key")
+    repeated = plan.where("rows > 1")
+    nth = lambda order: F.row_number().over(Window.partitionBy("key").orderBy(order))
+    numbered = rows.join(repeated.select("key").distinct(), "key", "left_semi").withColumn("nth", nth(F.col("hash")))
+    met = numbered.join(repeated.select("key", nth(F.col("taken")).alias("nth"), "draws"), ["key", "nth"])
+    met = alone.select("doc_id", "whole", "draws").unionByName(met.select("doc_id", "whole", "draws"))
     drawn = met.select("doc_id", "whole", F.explode("draws").alias("draw"))
     place = _order(seed, F.col("doc_id"), F.col("draw.pass"), F.col("draw.shard"))
-    return drawn.select(*[F.col(f"whole.{n}").alias(n) for n in names], F.col("draw.pass").alias("mix_pass"), F.col("draw.shard").alias("mix_shard"), place.alias("mix_place"))
+    return drawn.select(*[F.col(f"whole.`{n}`").alias(n) for n in names], F.col("draw.pass").alias("mix_pass"), F.col("draw.shard").alias("mix_shard"), place.alias("mix_place"))

@@ -74,24 +74,61 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.when(quoted != "", quoted).otherwise(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*([^\s\"'>]+)", 1))
 
 
+def _decoded(value: Column) -> Column:
+    """An attribute's value with the character references that urls need; ``&amp;`` last, so nothing is decoded twice."""
+    for reference, char in (("&#x2[fF];|&#47;|&sol;", "/"), ("&#x3[aA];|&#58;|&colon;", ":"), ("&#x3[fF];|&#63;|&quest;", "?"), ("&#x3[dD];|&#61;|&equals;", "="), ("&#x2[eE];|&#46;|&period;", "."), ("&amp;|&#x26;|&#38;", "&")):
+        value = F.regexp_replace(value, reference, char)
+    return F.trim(value)
+
+
+def _without_dots(url: Column) -> Column:
+    """A url whose path has no ``.`` and ``..`` segments; ``..`` at the root stays there."""
+    front = F.concat(F.substring_index(url, "://", 1), F.lit("://"), F.regexp_extract(_rest(url), r"^[^/?]*", 0))
+    path, query = path_of(url), F.regexp_extract(_rest(url), r"\?.*$", 0)
+    parts = F.split(F.substring(path, 2, 2**31 - 1), "/")
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.array_append(acc, x))
+    kept = F.aggregate(parts, F.expr("cast(array() as array<string>)"), step)
+    # A path that ends in a dot segment names a folder.
+    end = F.when(path.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(front, F.lit("/"), F.array_join(kept, "/"), end, query)).otherwise(url)
+
+
+def _resolved(df: DataFrame, to: str, source: str, name: str) -> DataFrame:
+    """Add ``name``: column ``to`` resolved against the url in column ``source``; each step is a column of its own, so none is worked out twice."""
+    ref, base = F.col(to), F.col(source)
+    df = df.withColumn("_scheme", F.substring_index(base, "://", 1)).withColumn("_host", host_of(base)).withColumn("_path", path_of(base))
+    front = F.concat("_scheme", F.lit("://"), "_host")
+    joined = (
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), ref)
+        .when(ref.startswith("//"), F.concat("_scheme", F.lit(":"), ref))
+        .when(ref.startswith("/"), F.concat(front, ref))
+        .when(ref.startswith("?"), F.concat(front, "_path", ref))
+        .otherwise(F.concat(front, F.regexp_replace("_path", r"[^/]*$", ""), F.when(F.col("_path").contains("/"), F.lit("")).otherwise(F.lit("/")), ref))
+    )
+    df = df.withColumn("_joined", joined)
+    dotted = F.col("_joined").contains("://") & F.col("_joined").rlike(r"/\.{1,2}([/?#]|$)")
+    return df.withColumn(name, F.when(dotted, _without_dots(F.col("_joined"))).otherwise(F.col("_joined"))).drop("_scheme", "_host", "_path", "_joined")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Edges (``from_url``, ``to_url``) that pages declare: canonical links and meta refreshes, made absolute."""
+    """Edges (``from_url``, ``to_url``) that pages declare: canonical links and meta refreshes, made absolute.
+
+    Comments and the contents of scripts and styles don't count. Character references are decoded, and relative urls
+    are resolved against the page's ``<base href>``, if it has one, else its own url; ``.`` and ``..`` segments go.
+    """
     html, url = F.col("html"), F.col("url")
+    hidden = r"(?is)<!--.*?(?:-->|$)|<(script|style|template|textarea|title)\b[^>]*>.*?(?:</\1\s*>|$)"
+    shown = pages.where(url.isNotNull() & html.rlike(r"(?i)canonical|refresh")).select(url.alias("from_url"), F.regexp_replace(html, hidden, " ").alias("shown"))
     tags = F.filter(
-        F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0)),
+        F.regexp_extract_all("shown", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0)),
         lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"),
     )
-    declared = pages.where(url.isNotNull() & html.rlike(r"(?i)canonical|refresh")).select(url.alias("from_url"), F.explode(tags).alias("tag"))
+    based = shown.withColumn("_tag", F.regexp_extract("shown", r"(?i)<base\b[^>]*>", 0)).withColumn("_href", F.when(F.col("_tag") != "", _decoded(_attribute(F.col("_tag"), "href"))))
+    based = _resolved(based, "_href", "from_url", "_base").withColumn("base", F.when(F.col("_href") != "", F.col("_base")).otherwise(F.col("from_url")))
+    declared = based.select("from_url", "base", F.explode(tags).alias("tag"))
     to = F.when(F.col("tag").rlike("(?i)^<link"), _attribute(F.col("tag"), "href")).otherwise(F.trim(F.regexp_extract(F.col("tag"), r"(?i)\burl\s*=\s*'?([^\"'>]+)", 1)))
-    source = F.col("from_url")
-    scheme = F.substring_index(source, "://", 1)
-    absolute = (
-        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
-        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
-        .when(to.startswith("/"), F.concat(scheme, F.lit("://"), host_of(source), to))
-        .otherwise(F.concat(scheme, F.lit("://"), host_of(source), F.regexp_extract(path_of(source), r"^(.*/)?", 1), to))
-    )
-    return declared.where(to != "").select("from_url", absolute.alias("to_url")).where("from_url <> to_url")
+    found = declared.withColumn("to", _decoded(to)).where(F.col("to") != "")
+    return _resolved(found, "to", "base", "to_url").select("from_url", "to_url").where("from_url <> to_url")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:

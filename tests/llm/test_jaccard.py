@@ -110,3 +110,12 @@ def test_empty_and_keep_one(spark):
     kept = j.keep_one(spark.createDataFrame([(*r, 0, "x") for r in rows], SCHEMA))
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("3", text.upper()), ("7", None), ("9", "other words are here now"), ("None", None)]
     assert kept.columns == ["doc_id", "text", "n", "component"]
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    from folio.llm.jaccard import keep_one
+
+    rows = [(1, "one two three four five six", "k", 3, "o"), (2, "one two three four five six", "k2", 4, "p"), (3, "other words that are not like it", "k3", 5, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, once int, `key.x` string")
+    got = keep_one(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]

@@ -104,3 +104,17 @@ def test_the_mix_has_every_draw(spark):
     for r in plan_mix(table).collect():
         want[r["doc_id"]] += r["taken"]
     assert dict(words) == {k: v for k, v in want.items() if v}
+
+
+def test_many_rows_that_repeat_id_and_size(spark):
+    import time
+
+    from folio.llm.mixing import mix_documents
+
+    rows = [(None, None, "en", "a", 0)] * 20_000 + [(i, f"word {i} more", "en", "b", 3) for i in range(50)] + [(7, "same words here", "en", "b", 3)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    began = time.perf_counter()
+    mixed = mix_documents(docs)
+    kept = mixed.where("doc_id = 7").groupBy("text").count().collect()
+    assert {r["text"] for r in kept} == {"word 7 more", "same words here"} and mixed.where("doc_id is null and text is not null").count() == 0
+    assert time.perf_counter() - began < 120

@@ -67,3 +67,29 @@ def test_components_against_brute_force(spark, seed):
             root[find(a)] = find(b)
     bad = {find(u) for i, u in enumerate(urls) if got[i]["rule"] in ("net/es/", "net/fr/")}
     assert all(got[i]["verdict"] == ("block" if find(u) in bad and got[i]["rule"] is None or got[i]["rule"] else "allow") for i, u in enumerate(urls))
+
+
+def test_link_forms(spark):
+    from folio.llm.url_filter import page_links
+
+    page = "http://a.org/x/y/page.html"
+    forms = {
+        '<link rel="canonical" href="http://b.org/?a=1&amp;b=2">': "http://b.org/?a=1&b=2",
+        '<link rel=canonical href=../z>': "http://a.org/x/z",
+        '<link rel="canonical" href="./../../../q/./r?s=..">': "http://a.org/q/r?s=..",
+        '<link rel="canonical" href="../..">': "http://a.org/",
+        '<base href="http://c.org/d/e"><link rel="canonical" href="f">': "http://c.org/d/f",
+        '<base href="/g/"><link rel="canonical" href="f">': "http://a.org/g/f",
+        '<meta http-equiv="refresh" content="0; url=/h">': "http://a.org/h",
+        '<link rel="canonical" href="//d.org/i">': "http://d.org/i",
+        '<link rel="canonical" href="?k">': "http://a.org/x/y/page.html?k",
+        '<!-- <link rel="canonical" href="http://bad.org/"> -->': None,
+        '<script>"<link rel=canonical href=http://bad.org/>"</script>': None,
+        '<!-- canonical': None,
+        '<link rel="canonical" href="">': None,
+    }
+    # Each form is a page of its own, told apart by its query.
+    pages = spark.createDataFrame([(f"{page}#{i}", html) for i, html in enumerate(forms)], "url string, html string")
+    got = {r["from_url"]: r["to_url"] for r in page_links(pages).collect()}
+    for i, (html, want) in enumerate(forms.items()):
+        assert got.get(f"{page}#{i}") == want, html
