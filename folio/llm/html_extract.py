@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,6 +30,12 @@ HINT = re.compile(
 COMMENT = re.compile(r"(?:^|[\s_-])comment", re.I)
 #: In these a hint counts only as a whole name: a paragraph's class may well speak of its subject.
 PARAGRAPHS = frozenset("p li dt dd td th blockquote pre figcaption caption h1 h2 h3 h4 h5 h6".split())
+#: What may follow a hinting word in a name that still means a part of the page, as in comment-list; last words count by themselves.
+PARTS = frozenset(
+    "area article articles author bar block body bottom box button buttons column container content count date entries form group holder icon icons inner item items left link links list main meta module outer panel popular post posts recent region right row section side slot stories thread title top unit wrap wrapper".split()
+)
+#: Elements of a head; any other one begins the body.
+IN_HEAD = frozenset("html head title base link meta style script noscript template".split())
 KEEP_ANYWAY = frozenset("html body article main".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: An end tag of these closes open paragraphs and list items only up to the container that holds them.
@@ -41,20 +48,30 @@ WHOLE = frozenset("#page html body".split())
 SIGMA, SHARE = 1.0, 2 / 3
 
 
+def _plain_hint(name: str) -> bool:
+    """Whether a class or id names a part of the page, as ``site-header`` or ``ad-slot-2``, and not a subject, as ``ad-hoc``."""
+    words = re.split(r"[_-]+", name.strip("_-"))
+    hints = [i for i, w in enumerate(words) if HINT.fullmatch(w)]
+    return bool(hints) and all(w.lower() in PARTS or w.isdigit() or HINT.fullmatch(w) for w in words[hints[-1] + 1 :])
+
+
 class _Lines(HTMLParser):
     """Collects lines of text from parser events: a line ends where a block starts or ends.
 
     ``lines`` has (text, ratio, container, hard, hint): characters outside links for each tag met since the line
     before, the number of the element that holds it, whether that is boilerplate by its element or role, and the
-    numbers of the elements around it whose class or id hints at boilerplate. ``parents`` and ``names`` describe
-    elements by number; 0 is the page.
+    number of the nearest element around it whose class or id hints at boilerplate (0: none). ``hints`` has, for
+    each such element, the next one around it, and whether its name is plain. ``parents`` and ``names`` describe elements
+    by number; 0 is the page. Time is linear in the page: a tag that isn't open isn't looked for.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, float, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, float, int, bool, int]] = []
+        self.hints: dict[int, tuple[int, bool]] = {}
+        self.open: Counter = Counter()
         self.names, self.parents = ["#page"], [0]
-        self.stack: list[tuple[str, int, bool, tuple[int, ...], bool]] = [("#page", 0, False, (), False)]
+        self.stack: list[tuple[str, int, bool, int, bool]] = [("#page", 0, False, 0, False)]
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.in_link = False
@@ -71,6 +88,8 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if self.silent and self.silent[0] == "head" and (tag == "body" or len(self.silent) == 1 and tag not in IN_HEAD):
+            self.silent.clear()
         if self.silent:
             if tag in SILENT and tag not in VOID:
                 self.silent.append(tag)
@@ -78,8 +97,6 @@ class _Lines(HTMLParser):
         if tag == "br":
             self.parts.append(" ")
             return
-        if tag == "body" and self.silent:
-            self.silent.clear()
         if tag in SILENT:
             if tag not in VOID:
                 self.silent.append(tag)
@@ -99,8 +116,8 @@ class _Lines(HTMLParser):
         if tag == "header":
             # The header of an article may hold its headline; a page's own header is boilerplate.
             in_header, hard = True, True
-        elif in_header and tag in HEADINGS and any(s[0] in ("article", "main") for s in self.stack):
-            hard = any(s[0] in BOILERPLATE for s in self.stack)
+        elif in_header and tag in HEADINGS and (self.open["article"] or self.open["main"]):
+            hard = any(self.open[x] for x in BOILERPLATE)
         hard = hard or tag in BOILERPLATE
         if attrs:
             a = dict(attrs)
@@ -112,19 +129,25 @@ class _Lines(HTMLParser):
             else:
                 named = HINT.search(marks) if tag not in KEEP_ANYWAY else tag == "article" and COMMENT.search(marks)
             if named:
-                hint = (*hint, number)
+                plain = tag in PARAGRAPHS or tag == "article" or any(_plain_hint(x) for x in marks.split())
+                self.hints[number], hint = (hint, plain), number
         self.stack.append((tag, number, hard, hint, in_header))
+        self.open[tag] += 1
+
+    def _cut(self, at: int) -> None:
+        self.open.subtract(s[0] for s in self.stack[at:])
+        del self.stack[at:]
 
     def _close_implied(self, tag: str) -> None:
         if self.stack[-1][0] == "p" or self.stack[-1][0] in HEADINGS and tag in HEADINGS:
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         if tag in CLOSES:
             group = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-            for i in range(len(self.stack) - 1, 0, -1):
+            for i in range(len(self.stack) - 1, 0, -1) if any(self.open[x] for x in group) else ():
                 if self.stack[i][0] in CLOSES[tag]:
                     break
                 if self.stack[i][0] in group:
-                    del self.stack[i:]
+                    self._cut(i)
                     break
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -147,16 +170,18 @@ class _Lines(HTMLParser):
         if tag not in BLOCKS or tag in VOID:
             return
         self.flush()
-        if tag in ("body", "html"):
+        if tag in ("body", "html") or not self.open[tag]:
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
-                del self.stack[i:]
+                self._cut(i)
                 break
             if tag == "p" and self.stack[i][0] not in HEADINGS:
                 break
 
     def handle_data(self, data: str) -> None:
+        if len(self.silent) == 1 and self.silent[0] == "head" and data.strip():
+            self.silent.clear()
         if not self.silent:
             self.parts.append(data)
             if self.in_link:
@@ -197,22 +222,31 @@ def extract(html: str | None) -> tuple[str, int]:
     hinted elements. Else the regions' lines name the smallest generic container that holds them, or the article or
     main element around it. If paragraphs of regions stand in that container itself, and it isn't the whole page, all
     its lines outside boilerplate are the text. Else the text is what lies between the first and the last line of
-    regions, and the rest of their own containers. An element whose class only hints at boilerplate stays if it
-    holds most of the text.
+    regions, and the rest of their own containers. An element whose class or id names a part around an article (as
+    comment-list or ad) goes unless it holds most of the text; in one whose name only holds such a word (as ad-hoc
+    or comment-on-method) ratios are halved, and its lines stay if they belong to regions nevertheless.
     """
     if not html:
         return "", 0
     page = _parse(html)
     total = sum(len(x[0]) for x in page.lines if not x[3])
-    hinted: dict[int, int] = {}
-    for text, _, _, hard, hints in page.lines:
-        for hint in () if hard else hints:
-            hinted[hint] = hinted.get(hint, 0) + len(text)
-    open_lines = [not x[3] and all(2 * hinted[hint] > total for hint in x[4]) for x in page.lines]
+    hinted = dict.fromkeys(page.hints, 0)
+    for text, _, _, hard, hint in page.lines:
+        if hint and not hard:
+            hinted[hint] += len(text)
+    for hint in reversed(page.hints):  # they are numbered where they start, so those within one come after it
+        if page.hints[hint][0]:
+            hinted[page.hints[hint][0]] += hinted[hint]
+    out, doubted = {0: False}, {0: False}
+    for hint, (around, plain) in page.hints.items():
+        little = 2 * hinted[hint] <= total
+        out[hint], doubted[hint] = out[around] or plain and little, doubted[around] or not plain and little
+    open_lines = [not x[3] and not out[x[4]] for x in page.lines]
     if not any(open_lines):
         return "", 0
     # Boilerplate takes part with a ratio of 0, so it parts regions, and never belongs to one.
-    raw = np.array([x[1] ** 0.5 if ok else 0.0 for x, ok in zip(page.lines, open_lines, strict=True)])
+    # A name that only holds a hint halves the ratio.
+    raw = np.array([(0.5 if doubted[x[4]] else 1.0) * x[1] ** 0.5 if ok else 0.0 for x, ok in zip(page.lines, open_lines, strict=True)])
     ratios = smooth(raw)
     threshold = ratios.mean() * SHARE
     inside = (ratios >= threshold) & open_lines
@@ -249,18 +283,17 @@ def extract(html: str | None) -> tuple[str, int]:
     direct = any(i in core and own[at] == chosen for i, at, _, _ in rows)
     if core and page.names[chosen] not in ("article", "main") and (page.names[chosen] in WHOLE or not direct):
         # The lines decide: the container holds other things than the article too.
-        below = {at: _below(page, own, own[at], chosen) for _, at, _, _ in rows}
+        next_below = {chosen: chosen}
+        for n in range(chosen + 1, last[chosen] + 1):
+            if own[n] == n:
+                around = own[page.parents[n]]
+                next_below[n] = n if around == chosen else next_below[around]
+        below = {at: next_below[own[at]] for _, at, _, _ in rows}
         held = {below[at] for i, at, _, _ in rows if i in core} - {chosen}
         edges = [i for i, at, size, _ in rows if size and (below[at] in held or own[at] == chosen)]
         rows = [r for r in rows if edges[0] <= r[0] <= edges[-1] or below[r[1]] in held]
-    return "\n".join(page.lines[r[0]][0] for r in rows), regions
-
-
-def _below(page: _Lines, own: list[int], number: int, container: int) -> int:
-    """The container around an element that stands next below ``container``; itself where there is none."""
-    while number != container and own[page.parents[number]] != container:
-        number = own[page.parents[number]]
-    return number
+    # Regions decide about lines whose element's name holds a hint.
+    return "\n".join(page.lines[r[0]][0] for r in rows if inside[r[0]] or not doubted[r[3]]), regions
 
 
 def _above(page: _Lines, number: int) -> list[int]:

@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from folio.llm import html_extract
 from folio.llm.html_extract import extract, extract_pages
 
@@ -85,3 +87,54 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, None, None, "c"), (1, "u", "<p>x", "c"), (1, "u", "<p>x", "c")], "page_id long, url string, html string, text string")
     assert sorted(str(tuple(r)) for r in extract_pages(df).select("page_id", "url", "text", "n_chars").collect()) == ["(1, 'u', 'x', 1)", "(1, 'u', 'x', 1)", "(None, None, '', 0)"]
     assert extract_pages(df.limit(0)).count() == 0
+
+
+SENTENCE = "This is a long sentence of the article, with more than enough words to be told from menus and links around it."
+
+
+@pytest.mark.parametrize("name", ["related-work", "social-science", "notice-of-award", "ad-hoc", "comment-on-method", "header-text"])
+def test_a_subject_that_holds_a_hint_stays(name):
+    page = f"<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><article><p>{SENTENCE} one</p><div class='{name}'><p>{SENTENCE} two</p></div><p>{SENTENCE} three</p></article></body></html>"
+    assert extract(page)[0] == f"{SENTENCE} one\n{SENTENCE} two\n{SENTENCE} three"
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot-2", "comment-list", "site-header", "cookie-notice", "related-posts", "social-links", "article-comments"])
+def test_a_part_around_the_article_goes(name):
+    page = f"<body><article><p>{SENTENCE} one</p><div class='{name}'><p>{SENTENCE} two</p></div><p>{SENTENCE} three</p></article></body>"
+    assert extract(page)[0] == f"{SENTENCE} one\n{SENTENCE} three"
+
+
+def test_ratios_decide_about_doubtful_names():
+    links = "".join(f"<a href=/{i}>more of it</a> " for i in range(6))
+    page = f"<body><article><p>{SENTENCE} one</p><p>{SENTENCE} two</p><p>{SENTENCE}</p><div class='related-work'><p>{links}</p><p>{links}</p><p>{links}</p></div></article></body>"
+    assert extract(page)[0] == f"{SENTENCE} one\n{SENTENCE} two\n{SENTENCE}"
+
+
+@pytest.mark.parametrize("head", ["<head><title>t</title><body>", "<head><title>t</title>", "<head>", "<head><meta charset=utf-8><script>x</script>", "<title>t</title>"])
+def test_a_head_without_an_end(head):
+    assert extract(f"<html>{head}<p>{SENTENCE}</p><p>{SENTENCE}</p></html>")[0] == f"{SENTENCE}\n{SENTENCE}"
+    assert extract(f"<html>{head}{SENTENCE}")[0] == SENTENCE
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    text = extract("<div class='ad-hoc'>" * 100_000 + f"<p>{SENTENCE}</p>" + "</section>" * 100_000 + "</div>" * 100_000)[0]
+    assert text == SENTENCE and time.perf_counter() - began < 30
+
+
+def test_smoothing_and_threshold_by_hand():
+    import math
+
+    import numpy as np
+
+    from folio.llm.html_extract import SIGMA, smooth
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 40):
+        ratios = rng.random(n) * 10
+        radius = max(1, round(3 * SIGMA))
+        for i, got in enumerate(smooth(ratios)):
+            near = [(math.exp(-0.5 * ((j - i) / SIGMA) ** 2), ratios[j]) for j in range(n) if abs(j - i) <= radius]
+            assert abs(got - sum(w * r for w, r in near) / sum(w for w, _ in near)) < 1e-9
