@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -100,14 +100,17 @@ def page_ranges(df: DataFrame, column: str, pages: int) -> DataFrame:
     return named.withColumn("page", F.explode(F.array_sort(F.array_distinct(F.flatten(F.transform("_parts", lambda p: F.sequence(first(p) - 1, last(p) - 1))))))).drop("_parts")
 
 
-def booklet(spark: SparkSession, pages: int) -> DataFrame:
-    """Sheets of four pages folded in the middle: place and page (0-based), -1 for blanks."""
-    padded = -(-pages // 4) * 4
-    place = F.col("id")
-    sheet, side = (place / 4).cast("long"), place % 4
-    low, high = sheet * 2, F.lit(padded - 1) - sheet * 2
-    page = F.when(side == 0, high).when(side == 1, low).when(side == 2, low + 1).otherwise(high - 1)
-    return spark.range(padded).select(place.alias("place"), F.when(page >= pages, F.lit(-1)).otherwise(page).cast("long").alias("page"))
+def booklet(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """Add ``place``: where each row, a page in the given order, comes on sheets of four pages folded in the middle.
+
+    A sheet takes two pages from the front and two from the back; the last pages stay blank if their number isn't a
+    multiple of four, so their places are missing. Rows are numbered by ranges, and places follow by arithmetic.
+    """
+    placed = numbered(df, order, "_page")
+    padded = -(-placed.count() // 4) * 4
+    page, back = F.col("_page"), F.lit(padded - 1) - F.col("_page")
+    front = F.floor(page / 2) * 4 + 1 + page % 2
+    return placed.withColumn("place", F.when(page < padded // 2, front).otherwise(F.floor(back / 2) * 4 + F.when(back % 2 == 0, 0).otherwise(3))).drop("_page")
 
 
 def consecutive_runs(df: DataFrame, by: str, position: str) -> DataFrame:

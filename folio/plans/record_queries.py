@@ -158,19 +158,27 @@ def collate_interleave(read, spark):
     return relational.interleave(sources, "k", 3).withColumn("place", F.col("place").cast("long"))
 
 
-@query("page_ranges", "SELECT 'a' AS id, CAST(unnest([0, 1, 2, 6, 9, 10, 11]) AS INTEGER) AS page UNION ALL SELECT 'b', unnest([1, 2, 4]) UNION ALL SELECT 'c', 11")
+@query(
+    "page_ranges",
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 14 AS a, o_custkey % 14 AS b, o_orderkey % 5 AS c, o_orderstatus = 'F' AS open_end FROM orders),
+       v AS (SELECT *, CASE WHEN open_end THEN 12 ELSE b END AS upto FROM o WHERE a BETWEEN 1 AND 12 AND c BETWEEN 1 AND 12 AND (open_end OR b BETWEEN a AND 12))
+       SELECT DISTINCT o_orderkey, page FROM (SELECT o_orderkey, CAST(unnest(range(a, upto + 1)) - 1 AS INTEGER) AS page FROM v UNION ALL SELECT o_orderkey, CAST(c - 1 AS INTEGER) FROM v)""",
+)
 def page_ranges(read, spark):
-    named = spark.createDataFrame([("a", "1-3, 7, 10-"), ("b", "5;2 2-3"), ("c", " 12 , 12 "), ("d", "0"), ("e", "13"), ("f", "4-2"), ("g", "two"), ("h", ""), ("i", "1-3, x")], "id string, spec string")
-    return relational.page_ranges(named, "spec", 12).select("id", "page")
+    """Pages that a text of ranges from each order's keys names, open at the end for some; wrong texts name none."""
+    key, last = F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "F", "").otherwise((F.col("o_custkey") % 14).cast("string"))
+    spec = F.concat((key % 14).cast("string"), F.lit("-"), last, F.lit(", "), (key % 5).cast("string"))
+    return relational.page_ranges(read("orders").select("o_orderkey", spec.alias("spec")), "spec", 12).select("o_orderkey", "page")
 
 
 @query(
     "booklet",
-    """WITH p AS (SELECT range AS place, range // 4 AS sheet, range % 4 AS side FROM range(24)), q AS (SELECT place, CASE side WHEN 0 THEN 23 - sheet * 2 WHEN 1 THEN sheet * 2 WHEN 2 THEN sheet * 2 + 1 ELSE 22 - sheet * 2 END AS page FROM p)
-       SELECT place, CAST(CASE WHEN page >= 21 THEN -1 ELSE page END AS BIGINT) AS page FROM q""",
+    """WITH n AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS page, (count(*) OVER () + 3) // 4 * 4 AS padded FROM customer)
+       SELECT c_custkey, CASE WHEN page < padded // 2 THEN page // 2 * 4 + 1 + page % 2 ELSE (padded - 1 - page) // 2 * 4 + CASE WHEN (padded - 1 - page) % 2 = 0 THEN 0 ELSE 3 END END AS place FROM n""",
 )
 def booklet(read, spark):
-    return relational.booklet(spark, 21)
+    """Where each customer's page comes in a booklet of sheets folded in the middle."""
+    return relational.booklet(read("customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"]).select("c_custkey", "place")
 
 
 @query("overlay_cycle", "SELECT p_partkey, n_name FROM part JOIN nation ON p_partkey % 25 = n_nationkey")

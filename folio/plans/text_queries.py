@@ -170,34 +170,45 @@ def repeated_lines_in_doc(read, spark):
     return search.lines_of(read("documents"), "doc_id").where("line_text <> ''").groupBy("doc_id", "line_text").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
+#: Lines of documents, and one for each part as reports print them: page numbers, captions, items, notes.
+FORMS = ["CAST(p_size AS {text})", "concat('Page ', p_size, ' of 50')", "concat('Table ', p_size, ': ', p_name)", "concat(p_size, '. ', p_name)", "concat('* ', p_name)", "concat('- ', p_size, ' -')", "concat('Fig. ', p_name)"]
+PRINTED_LINE = "CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN {form}" for i, form in enumerate(FORMS)) + " END"
+PRINTED = f"{LINES} UNION ALL SELECT -p_partkey, 0, {PRINTED_LINE.format(text='VARCHAR')} FROM part"
+
+
+def _printed(read):
+    parts = read("part").select((-F.col("p_partkey")).alias("doc_id"), F.lit(0).alias("line"), F.expr(PRINTED_LINE.format(text="STRING")).alias("line_text"))
+    return search.lines_of(read("documents"), "doc_id").unionByName(parts)
+
+
 @query(
     "page_number_lines",
-    rf"""WITH l AS (SELECT doc_id, line, regexp_replace(regexp_replace(line_text, '^[\t-\r \-–—|·•\[\]()]+', ''), '[\t-\r \-–—|·•\[\]()]+$', '') AS bare FROM ({LINES})),
+    rf"""WITH l AS (SELECT doc_id, line, regexp_replace(regexp_replace(line_text, '^[\t-\r \-–—|·•\[\]()]+', ''), '[\t-\r \-–—|·•\[\]()]+$', '') AS bare FROM ({PRINTED})),
          b AS (SELECT *, regexp_replace(bare, '(?i)^page[\t-\r ]*', '') AS body FROM l)
          SELECT doc_id, line FROM b WHERE length(bare) BETWEEN 1 AND 16 AND ((regexp_matches(body, '^[0-9/oOfF\t-\r ]+$') AND regexp_matches(body, '[0-9]')) OR regexp_matches(body, '^[ivxlcIVXLC]+$'))""",
 )
 def page_number_lines(read, spark):
-    return search.lines_of(read("documents"), "doc_id").where(T.is_page_number(F.col("line_text"))).select("doc_id", "line")
+    return _printed(read).where(T.is_page_number(F.col("line_text"))).select("doc_id", "line")
 
 
-@query("page_number_forms", rf"SELECT doc_id, line FROM ({LINES}) WHERE regexp_replace(trim(regexp_replace(lower(regexp_replace(line_text, '\p{{Nd}}', '#', 'g')), '{WS}+', ' ', 'g'), ' '), '#+', '#', 'g') IN ('#', 'page #', 'page # of #', '# of #', '# / #', '#/#', 'p. #', 'p #', '- # -', '– # –', '— # —', '[#]', '(#)')")
+@query("page_number_forms", rf"SELECT doc_id, line FROM ({PRINTED}) WHERE regexp_replace(trim(regexp_replace(lower(regexp_replace(line_text, '\p{{Nd}}', '#', 'g')), '{WS}+', ' ', 'g'), ' '), '#+', '#', 'g') IN ('#', 'page #', 'page # of #', '# of #', '# / #', '#/#', 'p. #', 'p #', '- # -', '– # –', '— # —', '[#]', '(#)')")
 def page_number_forms(read, spark):
-    return search.lines_of(read("documents"), "doc_id").where(T.is_page_number_form(T.pagination_key(F.col("line_text")))).select("doc_id", "line")
+    return _printed(read).where(T.is_page_number_form(T.pagination_key(F.col("line_text")))).select("doc_id", "line")
 
 
-@query("caption_lines", rf"SELECT doc_id, line FROM ({LINES}) WHERE regexp_matches(line_text, '^(?i:figure|fig\.|table|chart|listing|plate|exhibit){WS}*([0-9]|[A-Z][.:])')")
+@query("caption_lines", rf"SELECT doc_id, line FROM ({PRINTED}) WHERE regexp_matches(line_text, '^(?i:figure|fig\.|table|chart|listing|plate|exhibit){WS}*([0-9]|[A-Z][.:])')")
 def caption_lines(read, spark):
-    return search.lines_of(read("documents"), "doc_id").where(T.is_caption(F.col("line_text"))).select("doc_id", "line")
+    return _printed(read).where(T.is_caption(F.col("line_text"))).select("doc_id", "line")
 
 
-@query("list_item_lines", rf"SELECT doc_id, line FROM ({LINES}) WHERE regexp_matches(line_text, '^(?:[{T.BULLETS.replace('-', chr(92) + '-')}](?: |[^{T.BULLETS.replace('-', chr(92) + '-')}\p{{L}}\p{{N}}])|\(*(?:[a-z]|[0-9]{{1,3}})[.)] )')")
+@query("list_item_lines", rf"SELECT doc_id, line FROM ({PRINTED}) WHERE regexp_matches(line_text, '^(?:[{T.BULLETS.replace('-', chr(92) + '-')}](?: |[^{T.BULLETS.replace('-', chr(92) + '-')}\p{{L}}\p{{N}}])|\(*(?:[a-z]|[0-9]{{1,3}})[.)] )')")
 def list_item_lines(read, spark):
-    return search.lines_of(read("documents"), "doc_id").where(T.starts_item(F.col("line_text"))).select("doc_id", "line")
+    return _printed(read).where(T.starts_item(F.col("line_text"))).select("doc_id", "line")
 
 
-@query("footnote_lines", f"SELECT doc_id, line FROM ({LINES}) WHERE regexp_matches(line_text, '^[0-9{T.FOOTNOTE_MARKS}]')")
+@query("footnote_lines", f"SELECT doc_id, line FROM ({PRINTED}) WHERE regexp_matches(line_text, '^[0-9{T.FOOTNOTE_MARKS}]')")
 def footnote_lines(read, spark):
-    return search.lines_of(read("documents"), "doc_id").where(T.starts_footnote(F.col("line_text"))).select("doc_id", "line")
+    return _printed(read).where(T.starts_footnote(F.col("line_text"))).select("doc_id", "line")
 
 
 @query("sentence_end_lines", f"SELECT doc_id, count(*) AS ended FROM ({LINES}) WHERE regexp_matches(line_text, '[.?!:]$') GROUP BY doc_id")
