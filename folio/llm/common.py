@@ -70,6 +70,19 @@ def remove(spark: SparkSession, path: str) -> None:
     _MADE.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
+def paths_of(spark: SparkSession, path: str) -> list[str]:
+    """The files and folders in a folder, through the Hadoop file system that owns it."""
+    system, where = _located(spark, path)
+    return [f.getPath().toString() for f in system.listStatus(where)]
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a file within its file system."""
+    system, where = _located(spark, path)
+    if not system.rename(where, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
 def clear(spark: SparkSession, keep: Iterable[DataFrame] = ()) -> None:
     """Remove what operators have written below the shared folder, but for the tables ``keep``.
 

@@ -1,24 +1,31 @@
 """WARC archives through a chunked record table: rows of a record and a chunk number, with running digests.
 
 A payload longer than a chunk is written as WARC segments (a response and its continuations), so neither side ever
-holds a whole archive, and Python never holds a whole long record. Archives are written by Spark's text sink, whose
-line separator ends a record, and read by its text source with a separator that no segment contains: the writer cuts
-a segment wherever its bytes would hold one.
+holds a whole archive, and Python never holds a whole long record. Archives are written by Spark's text sink and read
+by its text source with a separator that no segment contains: the writer cuts a segment wherever its bytes would hold
+one. Compressed archives have a gzip member for each record, so a reader can begin at any of them.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, paths_of, release, rename
+
 VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: What the reader splits at: the end of one record and the version line of the next.
 BETWEEN = END + VERSION
+SEPARATORS = re.compile(b"(?=" + re.escape(BETWEEN) + b")")
+#: The sink ends every row with bytes of its own; those of compressed archives are a member without content.
+NO_CONTENT = gzip.compress(b"", mtime=0)
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -31,26 +38,29 @@ def base32(digest: bytes) -> str:
 
 
 def cut(data: bytes) -> list[bytes]:
-    """``data`` in pieces none of which, once framed by blank lines, holds the reader's separator."""
-    out, rest = [], data
-    while (at := (END + rest + END).find(BETWEEN)) >= 0:
-        out.append(rest[: at + 4])
-        rest = rest[at + 4 :]
-    return [*out, rest]
+    """``data`` in pieces none of which, once framed by blank lines, holds the reader's separator; in linear time."""
+    at = [0, *(m.start() + 4 for m in SEPARATORS.finditer(END + data + END)), len(data)]
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def classify(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Add payload, payload_bytes, digest (hex) and winner to page_id, url, html.
+def classify(pages: DataFrame, least_bytes: int = 0, most_sent: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """page_id, url and html with row, payload, payload_bytes, digest (hex), winner and winner_row; and a table to release.
 
-    ``winner`` is the largest page_id among rows with equal payloads (null sorts lowest), or the row's own for
-    payloads under ``least_bytes``. Maxima are combined before the shuffle; the join back spreads by digest and an
-    adaptive join splits a digest that many rows share.
+    ``winner`` is the largest page_id among rows with equal payloads (null sorts lowest) and ``winner_row`` the
+    largest row with it, or the row's own for payloads that stand alone or are under ``least_bytes``. Only digests
+    and ids are grouped, combined before the shuffle. Digests that several rows share are written and counted: up to
+    ``most_sent`` are broadcast, so payloads stay where the scan puts them; beyond it the join spreads rows by digest
+    and an adaptive join splits one that many rows share.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    winners = rows.groupBy("digest").agg(F.max("page_id").alias("best")).hint("shuffle_hash")
-    own = F.col("payload_bytes") < least_bytes
-    return rows.join(winners, "digest").withColumn("winner", F.when(own, F.col("page_id")).otherwise(F.col("best"))).drop("best")
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("row")).withColumns({"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
+    best = F.max(F.struct("page_id", "row")).alias("best")
+    shared = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(best, F.count(F.lit(1)).alias("n"))
+    shared = materialize(shared.where("n > 1").select("digest", "best"), "digests")
+    found = rows.join(F.broadcast(shared) if shared.count() <= most_sent else shared.hint("merge"), "digest", "left")
+    alone = F.col("best").isNull()
+    winner = F.when(alone, F.col("page_id")).otherwise(F.col("best.page_id"))
+    return found.withColumn("winner", winner).withColumn("winner_row", F.when(alone, F.col("row")).otherwise(F.col("best.row"))).drop("best"), shared
 
 
 def _frame(fields: list[tuple[str, str]], content: bytes) -> bytes:
@@ -63,13 +73,18 @@ def _clean(uri: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in uri)
 
 
-def _write_records(date: str):
+def _name(page_id: int | None, row: int) -> str:
+    """A record's id: rows may repeat a page_id, so it ends in the row's number in the table."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
+
+
+def _write_records(date: str, members: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running, segment, at = None, 0, None
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                name = f"<urn:page:{'' if row['page_id'] is None else row['page_id']}:{row['row']}>"
+                name = _name(row["page_id"], row["row"])
                 same = row["page_id"] == row["winner"]
                 kind = "response" if same else "revisit"
                 digest = "sha1:" + base32(bytes.fromhex(row["digest"]))
@@ -78,8 +93,8 @@ def _write_records(date: str):
                     fields.append(("WARC-Target-URI", _clean(row["url"])))
                 shared = [("WARC-Payload-Digest", digest), ("Payload-Length", str(row["payload_bytes"]))]
                 if not same:
-                    refers = "" if row["winner"] is None else row["winner"]
-                    out.append(_frame([*fields, *shared, ("WARC-Profile", IDENTICAL), ("WARC-Refers-To", f"<urn:page:{refers}>"), ("Content-Type", "application/http; msgtype=response")], HTTP_HEAD))
+                    refers = _name(row["winner"], row["winner_row"])
+                    out.append(_frame([*fields, *shared, ("WARC-Profile", IDENTICAL), ("WARC-Refers-To", refers), ("Content-Type", "application/http; msgtype=response")], HTTP_HEAD))
                     continue
                 if at != row["row"]:
                     at, segment, running = row["row"], 0, hashlib.sha1()
@@ -96,6 +111,8 @@ def _write_records(date: str):
                     else:
                         total = [("WARC-Segment-Total-Length", str(row["payload_bytes"] + len(HTTP_HEAD)))] if last else []
                         out.append(_frame([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{segment}>"), ("WARC-Date", date), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(segment)), *total, *more], piece))
+            if members:
+                out = [gzip.compress(x + END, 6, mtime=0) for x in out]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     return run
@@ -105,17 +122,30 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 1 << 20, leas
     """Write a WARC record for each row of ``pages`` (page_id, url, html) below ``path``.
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of at least ``least_bytes``, that
-    with the largest page_id becomes a response and the others revisits without payload; rows that repeat the
-    largest id are all responses. A payload over ``chunk_bytes`` is dealt into chunks by the JVM, row by row, and
-    framed as segments that stand together in one file. An empty table gives no records.
+    with the largest page_id becomes a response and the others revisits without payload, which refer to its record
+    by id; rows that repeat the largest id are all responses, and the last of them is referred to. A payload over
+    ``chunk_bytes`` is dealt into chunks by the JVM, row by row, and framed as segments that stand together in one
+    file. An empty table gives no records. ``compression`` is gzip, with a member for each record and one without
+    content behind it (the sink's row end), or none. ``pages`` is read twice and numbers its rows by partition, so it
+    must come in the same partitions again, as a table does.
     """
-    rows = classify(pages, least_bytes).withColumn("row", F.monotonically_increasing_id())
+    if compression not in ("gzip", "none"):
+        raise ValueError(f"archives are compressed by gzip or none, not {compression}")
+    members, spark = compression == "gzip", pages.sparkSession
+    rows, shared = classify(pages, least_bytes)
     revisit = ~F.col("page_id").eqNullSafe(F.col("winner"))
     count = F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk_bytes))).cast("int")
     part = F.when(revisit, F.lit(b"")).otherwise(F.substring(F.col("payload"), F.col("n") * chunk_bytes + 1, F.lit(chunk_bytes)))
-    chunks = rows.withColumn("count", count).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).select("page_id", "row", "url", "digest", "payload_bytes", "winner", (F.col("n") == F.col("count") - 1).alias("last"), part.alias("chunk"))
-    framed = chunks.mapInArrow(_write_records(date), "value binary")
-    framed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", compression).text(path)
+    chunks = rows.withColumn("count", count).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    chunks = chunks.select("page_id", "row", "url", "digest", "payload_bytes", "winner", "winner_row", (F.col("n") == F.col("count") - 1).alias("last"), part.alias("chunk"))
+    framed = chunks.mapInArrow(_write_records(date, members), "value binary").select(F.col("value").cast("string").alias("value"))
+    # As Latin-1 the option gives the sink these bytes as they are.
+    end = NO_CONTENT if members else END
+    framed.write.options(lineSep=end.decode("latin-1"), encoding="ISO-8859-1", compression="none").text(path)
+    for made in paths_of(spark, path):
+        if made.endswith(".txt"):
+            rename(spark, made, made.removesuffix("txt") + ("warc.gz" if members else "warc"))
+    release(shared)
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:

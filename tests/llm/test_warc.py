@@ -1,5 +1,8 @@
 import base64
+import gzip
 import hashlib
+import io
+import zlib
 
 from folio.llm import warc
 
@@ -57,3 +60,46 @@ def test_small_payloads_are_responses_and_empty_tables(spark, tmp_path):
     assert {r["record_type"] for r in warc.read_records(spark, f"{tmp_path}/a").collect()} == {"response"}
     warc.write_archives(pages.limit(0), f"{tmp_path}/b")
     assert warc.read_records(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_revisits_resolve_and_joins_agree(spark, tmp_path):
+    pages = spark.createDataFrame([(*r, "clash") for r in ROWS], SCHEMA).repartition(3)
+    pages.write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    warc.write_archives(pages, f"{tmp_path}/w", chunk_bytes=999)
+    heads = {}
+    for file in (tmp_path / "w").glob("*.warc.gz"):
+        # What a record-wise reader sees: members, each a whole record or nothing.
+        rest = file.read_bytes()
+        while rest:
+            member = zlib.decompressobj(31)
+            record, rest = member.decompress(rest), member.unused_data
+            if not record:
+                continue
+            assert record.startswith(warc.VERSION) and record.endswith(warc.END)
+            fields, _ = warc.parse_record(record)
+            assert fields["warc-record-id"] not in heads
+            heads[fields["warc-record-id"]] = fields
+    revisits = [h for h in heads.values() if h["warc-type"] == "revisit"]
+    assert len(revisits) == 3
+    for h in revisits:
+        target = heads[h["warc-refers-to"]]
+        assert target["warc-type"] == "response" and target["warc-payload-digest"] == h["warc-payload-digest"]
+    both = []
+    for most_sent in (0, 100):
+        rows, shared = warc.classify(pages, most_sent=most_sent)
+        assert shared.count() == 3
+        both.append(sorted(map(str, rows.select("page_id", "row", "digest", "winner", "winner_row").collect())))
+    assert both[0] == both[1]
+
+
+def test_files_are_plain_gzip_and_warc(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "\r\n\r\nWARC/1.1\r\n" * 20_000)], "page_id long, url string, html string").coalesce(1)
+    plain = []
+    for compression in ("gzip", "none"):
+        path = tmp_path / compression
+        warc.write_archives(pages, str(path), compression=compression)
+        (file,) = path.glob("part-*")
+        plain.append(gzip.GzipFile(fileobj=io.BytesIO(file.read_bytes())).read() if compression == "gzip" else file.read_bytes())
+        assert {(r["page_id"], r["payload_bytes"]) for r in warc.read_records(spark, str(path)).collect()} == {(1, 3), (2, 280_000)}
+    assert plain[0] == plain[1]
