@@ -43,7 +43,8 @@ def fit_languages(docs: DataFrame, learn: Column, dictionary_bytes: int = 64_000
     ``dictionary_bytes`` don't fit and stand back, the shortest first; then those of 200 characters or more come
     first, in the order of a hash of their text. A text that no longer fits is left out whole; a language that has
     only texts over the bound learns the shortest of them. The limit applies before and after the window's shuffle,
-    so a frequent language costs no more than others. Every language is learned; over ``most_languages`` raise an
+    so a frequent language costs no more than others. The driver gets texts of a language until they sum to twice
+    ``dictionary_bytes``, and one text over the bound at most. Every language is learned; over ``most_languages`` raise an
     error, as each costs a compression of every text. Languages are ordered by their number of rows, which decides
     ties. Repeated rows count as often as they stand there.
     """
@@ -53,7 +54,9 @@ def fit_languages(docs: DataFrame, learn: Column, dictionary_bytes: int = 64_000
         raise ValueError(f"over {most_languages} languages")
     over = F.octet_length("text") > dictionary_bytes
     order = Window.partitionBy("lang").orderBy(F.when(over, F.octet_length("text")).otherwise(0), (F.length("text") < 200).asc(), F.xxhash64("text"), "text")
-    sample = rows.withColumn("n", F.row_number().over(order)).where((F.col("n") <= sample_docs) & (~over | (F.col("n") == 1))).select("lang", "n", "text")
+    before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs)
+    sample = ranked.withColumn("before", before).where((F.col("before") < 2 * dictionary_bytes) & (~over | (F.col("n") == 1))).select("lang", "n", "text")
     parts: dict[str, list[bytes]] = {lang: [] for lang in counts}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["n"])):
         content, held = normal(r["text"]), parts[r["lang"]]

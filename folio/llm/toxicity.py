@@ -71,11 +71,24 @@ def _bags(index: dict[str, int]):
                 spans = _sentences(text)
                 sets = ({index[f] for w in WORDS.findall(text[a:b]) for f in features_of(w) if f in index} for a, b in spans)
                 bags.append([sorted(s) for s in sets if s])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bags, pa.list_(pa.list_(pa.int32())))], ["label", "bags"])
+            entries = [sum(len(s) + 1 for s in bag) for bag in bags]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(entries, pa.int64()), pa.array(bags, pa.list_(pa.list_(pa.int32())))], ["doc_id", "label", "entries", "bags"])
 
     return run
 
 
+def fitting(sizes: list[tuple], most: int) -> list | None:
+    """Ids of the (id, size) pairs, in order, that ``most`` holds, passing over those that no longer fit; None for all."""
+    if sum(n for _, n in sizes) <= most:
+        return None
+    out, left = [], most
+    for doc_id, n in sizes:
+        if n <= left:
+            out.append(doc_id)
+            left -= n
+    return out
+
+
 def train(labels: np.ndarray, bags: list[list[list[int]]], width: int, steps: int = 400, rate: float = 0.2, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the likelihood of document labels under noisy-or, by Adam on all rows.
 
@@ -110,18 +123,20 @@ def train(labels: np.ndarray, bags: list[list[list[int]]], width: int, steps: in
     return w, float(b)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 20_000, most_features: int = 4096, least_docs: int = 3, least_ratio: float = 4.0, threshold: float = 0.7) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 20_000, most_entries: int = 20_000_000, most_features: int = 4096, least_docs: int = 3, least_ratio: float = 4.0, threshold: float = 0.7) -> ToxicityModel:
     """Fit on up to ``sample_rows`` labelled documents where ``learn`` (over doc_id) holds.
 
     The sample is the labelled ids with the smallest hashes; of an id with several labels the largest counts, and
     rows with a null id or label don't. Only the sample's ids and labels are broadcast (bounded by ``sample_rows``).
-    Of documents that repeat an id the smallest text counts, so the sample has one row for each id. Features are words and prefixes that at least ``least_docs`` toxic
+    Of documents that repeat an id the smallest text counts, so the sample has one row for each id. What the driver
+    trains on has at most ``most_entries`` sentences and features of them: where whole documents of the sample hold
+    more, those that no longer fit are left out in the order of the hashes. Features are words and prefixes that at least ``least_docs`` toxic
     documents have and that are ``least_ratio`` times as frequent among toxic documents as among others. Without
     labelled rows of both kinds every score is under ``LEAK``.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     sample = known.where(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label", "doc_id")
     rows = materialize(rows, "labelled")
     counts = rows.mapInArrow(_count_features, "feature string, with_1 long, with_0 long").groupBy("feature").agg(F.sum("with_1").alias("a"), F.sum("with_0").alias("b"))
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -131,8 +146,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows:
     if not names:
         release(rows)
         return ToxicityModel({}, -9.0, threshold, totals)
-    made = rows.mapInArrow(_bags({f: i for i, f in enumerate(names)}), "label int, bags array<array<int>>").collect()
-    release(rows)
+    ids = rows.select("doc_id").schema
+    bags = materialize(rows.mapInArrow(_bags({f: i for i, f in enumerate(names)}), extended(ids, "label int, entries long, bags array<array<int>>")), "bags")
+    sizes = bags.select("doc_id", "entries").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    fit = fitting([tuple(r) for r in sizes], most_entries)
+    kept = bags if fit is None else bags.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in fit], ids)), "doc_id", "left_semi")
+    # In the order of ids, so that sums, and so reruns, agree to the last bit.
+    made = sorted(kept.select("doc_id", "label", "bags").collect(), key=lambda r: r["doc_id"])
+    release(rows, bags)
     w, b = train(np.array([r["label"] for r in made]), [r["bags"] for r in made], len(names))
     return ToxicityModel({f: float(x) for f, x in zip(names, w, strict=True) if x}, b, threshold, totals)
 

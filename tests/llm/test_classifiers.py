@@ -1,5 +1,9 @@
+import math
+import re
 import zlib
 
+import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from folio.llm import language_id, registry, toxicity
@@ -89,3 +93,81 @@ def test_toxicity_does_not_grow_with_length(spark, data):
         long = "\n".join((sentences * -(-n // len(sentences)))[:n])
         assert scorer.score(long)[0] < scorer.model.threshold, n
         assert scorer.score(long + "\n" + bad)[0] >= scorer.model.threshold
+
+
+def test_language_sizes_by_plain_calls(spark, data):
+    docs = spark.read.parquet(f"{MORE}/documents.parquet")
+    model = language_id.fit_languages(docs, fold_of(F.col("doc_id"), 5) != 0)
+    rows = docs.select("doc_id", "text").orderBy("doc_id").limit(300)
+    got = {r["doc_id"]: r for r in language_id.predict_languages(rows, model).collect()}
+    for r in rows.collect():
+        content = " ".join(re.findall(r"[^\W\d_]+", (r["text"] or "").lower())).encode()
+        if not content or not (r["text"] or "").isascii():
+            continue
+        sizes = []
+        for _, words in model.dictionaries:
+            held = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            parts = range(0, len(content), language_id.SEGMENT)
+            sizes.append(sum(len(zstandard.ZstdCompressor(level=6, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(content[i : i + language_id.SEGMENT])) for i in parts))
+        first, second = sorted(sizes)[:2]
+        best = got[r["doc_id"]]
+        assert best["lang_pred"] == model.dictionaries[sizes.index(first)][0] and math.isclose(best["score"], 1 - first / second, abs_tol=1e-12)
+
+
+def test_language_ties_repeats_and_the_bytes_sent(spark):
+    rows = [(i, f"one two three four {i}", "aa") for i in range(5)] * 2 + [(i, f"one two three four {i}", "bb") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_languages(docs, F.lit(True))
+    assert [lang for lang, _ in model.dictionaries] == ["aa", "bb"]
+    # Repeats of "aa" come next to each other, so both dictionaries give the same sizes; the one with more rows wins.
+    got = language_id.predict_languages(docs, language_id.LanguageModel((("aa", b"one two three"), ("bb", b"one two three")), 6, 0.005)).collect()
+    assert len(got) == 15 and {(r["lang_pred"], r["score"], r["accepted"]) for r in got} == {("aa", 0.0, False)}
+    long = spark.createDataFrame([(i, f"{i:04d} " + "word " * 200, "aa") for i in range(60)] + [(99, "long " * 40_000, "cc")], "doc_id long, text string, lang string")
+    by = dict(language_id.fit_languages(long, F.lit(True), dictionary_bytes=5000).dictionaries)
+    assert 3000 < len(by["aa"]) <= 5000 and len(by["cc"]) > 5000
+    assert language_id.predict_languages(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_by_noisy_or(spark, data):
+    docs, labels = spark.read.parquet(f"{MORE}/documents.parquet"), spark.read.parquet(f"{MORE}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels, fold_of(F.col("doc_id"), 3) != 1)
+    rows = docs.select("doc_id", "text").orderBy("doc_id").limit(400)
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(rows, model).collect()}
+    at_bias, seen = 1 / (1 + math.exp(-model.bias)), 0
+    for r in rows.collect():
+        text = (r["text"] or "").lower()
+        sentences = [x for x in re.findall(r"[^.!?\n]+[.!?]*", text) if x.strip()]
+        clean = 1 - toxicity.LEAK * len(sentences) / (len(sentences) + 1)
+        for x in sentences:
+            found = {f for w in re.findall(r"[^\W\d_]+", x) for f in toxicity.features_of(w)}
+            p = 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(f, 0.0) for f in found))))
+            clean *= min(1.0, (1 - p) / (1 - at_bias))
+            seen += p > 0.5
+        assert math.isclose(got[r["doc_id"]]["score"], 1 - clean, abs_tol=1e-9)
+    assert seen == sum(len(r["offending"]) for r in got.values()) > 0
+
+
+def test_toxicity_bound_of_entries_repeats_and_empty_tables(spark):
+    assert toxicity.fitting([(1, 5), (2, 9), (3, 4)], 18) is None and toxicity.fitting([(1, 5), (2, 9), (3, 4)], 10) == [1, 3]
+    rows = [(i, "All is good. " + ("You are a grolm. " * 3 if i % 3 == 0 else "")) for i in range(90)]
+    docs = spark.createDataFrame([*rows, *rows[:30], (91, "grolm. " * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(91, 1)], "doc_id long, toxic int")
+    whole, bound = (toxicity.fit_toxicity(docs, labels, F.lit(True), most_entries=n) for n in (20_000_000, 5000))
+    for model in (whole, bound):
+        got = toxicity.score_toxicity(docs, model).collect()
+        assert len(got) == 121 and all(r["predicted"] == int(r["doc_id"] % 3 == 0 or r["doc_id"] == 91) for r in got)
+    again = toxicity.fit_toxicity(docs.repartition(5), labels, F.lit(True))
+    assert again.weights == whole.weights and again.bias == whole.bias
+    named = toxicity.fit_toxicity(*(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")) for df in (docs, labels)), F.lit(True), most_entries=5000)
+    assert named.weights
+    none = toxicity.fit_toxicity(docs.limit(0), labels, F.lit(True))
+    assert toxicity.score_toxicity(docs.limit(0), none).count() == 0
+
+
+def test_toxicity_training_descends(spark):
+    rng = np.random.default_rng(7)
+    bags = [[sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(rng.integers(0, 4))] for _ in range(200)]
+    labels = np.array([int(any(0 in s for s in bag)) for bag in bags])
+    w, b = toxicity.train(labels, bags, 6)
+    score = [1 - math.prod(min(1.0, (1 + math.exp(b)) / (1 + math.exp(b + sum(w[i] for i in s)))) for s in bag) for bag in bags]
+    assert all((p > 0.5) == bool(y) for p, y in zip(score, labels, strict=True)) and w.argmax() == 0
