@@ -11,12 +11,18 @@ from .text import WORD
 LOW_BYTES = "˘ˇˆ˙˝˛˚˜"
 HIGH_BYTES = "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž�€"
 # Extensions of files that run code, subtypes that form data carries, and the claims that are levels.
-RUNNABLE = """.app .apk .appimage .application .bat .bin .cmd .com .command .cpl .csh .deb .desktop .dll
-.dmg .exe .gadget .hta .inf .ins .isp .jar .js .jse .ksh .lnk .msc .msi .msp .pif
-.pkg .pl .ps1 .ps2 .psc1 .py .rb .reg .rpm .run .scf .scr .sct .sh .so .url
-.vb .vbe .vbs .workflow .ws .wsc .wsf .wsh .zsh""".split()
+RUNNABLE = (
+    ".app", ".apk", ".appimage", ".application", ".bat", ".bin", ".cmd", ".com", ".command", ".cpl", ".csh", ".deb", ".desktop",
+    ".dll", ".dmg", ".exe", ".gadget", ".hta", ".inf", ".ins", ".isp", ".jar", ".js", ".jse", ".ksh", ".lnk",
+    ".msc", ".msi", ".msp", ".pif", ".pkg", ".pl", ".ps1", ".ps2", ".psc1", ".py", ".rb", ".reg", ".rpm",
+    ".run", ".scf", ".scr", ".sct", ".sh", ".so", ".url", ".vb", ".vbe", ".vbs", ".workflow", ".ws", ".wsc",
+    ".wsf", ".wsh", ".zsh",
+)
 CARRIED = "Text Highlight Underline StrikeOut Squiggly Ink Square Circle Line Polygon PolyLine FreeText Stamp Caret FileAttachment".split()
 LEVELS = "1A 1B 2A 2B 2U 3A 3B 3U 4 4E 4F".split()
+#: An attribute of a tag and what stands between a tag's name and its end.
+ATTRIBUTE = r"""[\w.-]+:[\w.-]+\s*=\s*(?:"[^"]*"|'[^']*')"""
+ATTRIBUTES = r"""(?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*"""
 #: CJK symbols and kana, Han, compatibility Han, full-width forms.
 CJK = r"\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}"
 
@@ -36,21 +42,31 @@ def text_string(data: Column) -> Column:
 def packet_properties(packet: Column) -> Column:
     """A map from qualified property to its values, from the descriptions of a metadata packet; a null packet gives null.
 
-    Properties are attributes or elements of a description; an element holds one value or list items. The first of
-    a name wins.
+    Properties are attributes or elements of a description; an element holds list items, text or else the address it
+    refers to, and without any of these it is no property. The last of a name wins, elements after attributes.
+    Comments don't count, and attributes may hold any character. Elements within a nested description aren't read.
     """
-    body = F.regexp_extract(packet, r"(?s)<rdf:RDF[^>]*>(.*)</rdf:RDF>", 1)
-    tags = F.regexp_extract_all(body, F.lit(r"<rdf:Description([^>]*)>"), F.lit(1))
-    attributes = F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(r'([\w.-]+:[\w.-]+\s*=\s*"[^"]*")'), F.lit(1))))
+    body = F.regexp_replace(F.regexp_extract(packet, f"(?s)<rdf:RDF{ATTRIBUTES}>(.*)</rdf:RDF>", 1), "(?s)<!--.*?-->", "")
+    tags = F.regexp_extract_all(body, F.lit(f"<rdf:Description({ATTRIBUTES})/?>"), F.lit(1))
+    attributes = F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(f"({ATTRIBUTE})"), F.lit(1))))
     attributes = F.filter(attributes, lambda a: ~a.rlike("^(xmlns|rdf|xml):"))
-    elements = F.regexp_extract_all(body, F.lit(r"(?s)(<(?!rdf:|/)([\w.-]+:[\w.-]+)[^>/]*>.*?</\2>)"), F.lit(1))
-    own = lambda a: F.struct(F.regexp_extract(a, r"^([^=\s]+)", 1).alias("k"), F.array(plain(F.regexp_extract(a, r'"([^"]*)"', 1))).alias("v"))
-    items = lambda e: F.regexp_extract_all(e, F.lit(r"(?s)<rdf:li[^>]*>(.*?)</rdf:li>"), F.lit(1))
-    one = lambda e: F.array(F.regexp_extract(e, r"(?s)^<[^>]*>(.*)</[^>]*>$", 1))
-    held = lambda e: F.struct(F.regexp_extract(e, r"^<([\w.:-]+)", 1).alias("k"), F.transform(F.when(F.size(items(e)) > 0, items(e)).otherwise(one(e)), plain).alias("v"))
-    entries = F.concat(F.transform(attributes, own), F.transform(elements, held))
+    elements = F.regexp_extract_all(body, F.lit(rf"(?s)(<(?!rdf:)([\w.-]+:[\w.-]+){ATTRIBUTES}(?:/>|>.*?</\2\s*>))"), F.lit(1))
+    own = lambda a: F.struct(F.regexp_extract(a, r"^([^=\s]+)", 1).alias("k"), F.array(plain(F.regexp_extract(a, r"(?s)=\s*.(.*).$", 1))).alias("v"))
+    return F.when(packet.isNotNull(), _last_of_each(F.concat(F.transform(attributes, own), F.filter(F.transform(elements, _held), lambda e: F.size(e["v"]) > 0))))
+
+
+def _held(element: Column) -> Column:
+    """Name and values of a property element."""
+    items = F.regexp_extract_all(element, F.lit(f"(?s)<rdf:li{ATTRIBUTES}>(.*?)</rdf:li>"), F.lit(1))
+    text = F.regexp_extract(element, rf"(?s)^<[\w.:-]+{ATTRIBUTES}>(.*)</[^>]*>$", 1)
+    address = F.regexp_extract(element, r"""^<[^>]*?\srdf:resource\s*=\s*["']([^"']*)""", 1)
+    values = F.when(F.size(items) > 0, items).when(F.trim(text) != "", F.array(text)).when(address != "", F.array(address)).otherwise(F.array().cast("array<string>"))
+    return F.struct(F.regexp_extract(element, r"^<([\w.:-]+)", 1).alias("k"), F.transform(values, plain).alias("v"))
+
+
+def _last_of_each(entries: Column) -> Column:
     names = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.filter(entries, lambda e: e["k"] == n)[0]["v"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["k"] == n), -1)["v"]))
 
 
 def plain(text: Column) -> Column:

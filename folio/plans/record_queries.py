@@ -393,9 +393,9 @@ def portfolio_pivot(read, spark):
     return pivoted.fillna(0, ["click", "view"])
 
 
-@query("layer_pages", "SELECT event_type, list(DISTINCT user_id ORDER BY user_id) AS users FROM events WHERE value > 100 GROUP BY 1")
+@query("layer_pages", "SELECT DISTINCT event_type, user_id FROM events WHERE value > 100")
 def layer_pages(read, spark):
-    return read("events").where("value > 100").groupBy("event_type").agg(F.array_sort(F.collect_set("user_id")).alias("users"))
+    return read("events").where("value > 100").select("event_type", "user_id").distinct()
 
 
 @query("change_kinds", "SELECT user_id, bit_or(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 4 WHEN 'purchase' THEN 8 ELSE 16 END) AS kinds FROM events GROUP BY 1")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import dates as D
-from folio.functions import filters, sentences
+from folio.functions import facets, filters, sentences
 from folio.functions import numbers as N
 from folio.functions import text as T
 from folio.operators import language, quality, records, relational, search
@@ -166,3 +166,13 @@ def test_rows_are_numbered_over_all(spark):
 def test_starts_of_rows_that_repeat_a_key(spark):
     docs = spark.createDataFrame([(1, "ab ab"), (1, "x ab")], "doc_id long, text string")
     assert sorted(r["start"] for r in search.match_starts(docs, "ab", "doc_id").collect()) == [1, 3, 4]
+
+
+def test_packet_properties(spark):
+    packet = """<x><rdf:RDF xmlns:rdf="http://r/"><rdf:Description rdf:about="" xmlns:dc="http://p.org/dc/" pdfaid:part="2" tool:name='a > "b"'>
+    <dc:title xmlns:q="http://q/"><rdf:Alt><rdf:li xml:lang="x-default">One &amp;lt; two</rdf:li></rdf:Alt></dc:title><dc:empty/><dc:blank> </dc:blank>
+    <!-- <dc:hidden>no</dc:hidden> --><dc:link rdf:resource="http://l/x"/><pdfaid:part>3</pdfaid:part><dc:text a:b="c/d"> plain </dc:text ></rdf:Description>
+    <rdf:Description tool:more="yes"/></rdf:RDF></x>"""
+    rows = spark.createDataFrame([(packet,), ("no packet",), (None,)], "p string").select(facets.packet_properties(F.col("p")).alias("m")).collect()
+    want = {"pdfaid:part": ["3"], "tool:name": ['a > "b"'], "tool:more": ["yes"], "dc:title": ["One &lt; two"], "dc:link": ["http://l/x"], "dc:text": ["plain"]}
+    assert [r["m"] for r in rows] == [want, {}, None]
