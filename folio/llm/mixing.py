@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, materialize, release
 
-#: Blocks of a source, parts of a block, and hash buckets in which a node of the tree ranks its draws.
-BLOCKS, PARTS, BUCKETS = 64, 64, 256
+#: The fewest blocks of a source, the words of all documents for each further one, parts of a block, and hash buckets in
+#: which a node of the tree ranks its draws.
+BLOCKS, BLOCK_WORDS, PARTS, BUCKETS = 64, 10_000_000, 64, 256
 
 
 def _order(seed: int, *parts: Column) -> Column:
@@ -42,6 +43,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
     return out.withColumn("passes", passes).select("skey", "source_size", "target", "passes", (F.col("target") - F.col("passes") * F.col("source_size")).alias("rest"))
 
 
+def block_count(words: int, least: int = BLOCKS, block_words: int = BLOCK_WORDS) -> int:
+    """Blocks of a source: the smallest power of two times ``least`` that leaves a block at most ``block_words`` of ``words``."""
+    blocks = least
+    while blocks * block_words < words:
+        blocks *= 2
+    return blocks
+
+
 def split_quotas(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     """How many of each source's draws go to each shard: skey, shard, quota, from rows (skey, block, pass).
 
@@ -75,12 +84,13 @@ def draw_blocks(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     return placed.select("skey", "block", "pass", F.filter("ends", lambda e: e["upto"] >= F.col("place"))[0]["shard"].alias("shard"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, shards: int = 8, seed: int = 7) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, shards: int = 8, seed: int = 7, blocks: int | None = None, parts: int = PARTS) -> DataFrame:
     """How often each document goes into the mix, and into which shards.
 
     ``docs`` has doc_id, source, text. Returns doc_id, source, size, source_size, target, taken, block and ``draws``,
-    an array of (pass, shard), one entry for each copy taken. A source is dealt into BLOCKS blocks of PARTS parts by a
-    hash of the ids. Its quota is every block floor(target / source size) times, and blocks in permuted order once
+    an array of (pass, shard), one entry for each copy taken. A source is dealt into ``blocks`` blocks of ``parts`` parts
+    by a hash of the ids; where ``blocks`` isn't given it follows the size of the corpus (``block_count``), so a block stays
+    as large as it was whatever the corpus. Its quota is every block floor(target / source size) times, and blocks in permuted order once
     more while they fit the rest. The tree splits the quotas of all sources among the shards, and each shard draws
     its quota of blocks; a document is taken as often as its block is drawn. The last block of a quota, at which the
     rest ends, gives parts and then documents in permuted order while they fit; then the one document outside all
@@ -89,14 +99,15 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats
     Null or empty texts have size 0 and are drawn with their block, which takes no words. A null source is a
     source of its own. Repeated rows are documents of their own. Without words all targets are 0. The text is read
     once; what is shuffled are ids and sizes. Windows hold the blocks of a source, or the documents of one part of one block,
-    a 4096th of a source; the targets' hold a row for each source.
+    some 160,000 words; the targets' hold a row for each source.
     """
     skey = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("n"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     sized = docs.select("doc_id", "source", skey.alias("skey"), size.alias("size"), _order(seed, F.col("doc_id")).alias("rank"))
     cell = F.conv(F.substring("rank", 1, 8), 16, 10).cast("long")
-    sized = sized.withColumns({"row": F.monotonically_increasing_id(), "block": cell % BLOCKS, "part": F.floor(cell / BLOCKS) % PARTS})
-    sized = materialize(sized, "sizes")
+    written = materialize(sized.withColumns({"row": F.monotonically_increasing_id(), "cell": cell}), "sizes")
+    blocks = blocks or block_count(written.agg(F.sum("size")).first()[0] or 0)
+    sized = written.withColumns({"block": F.col("cell") % blocks, "part": F.floor(F.col("cell") / blocks) % parts}).drop("cell")
 
     cells = materialize(sized.groupBy("skey", "source", "block", "part").agg(F.sum("size").alias("size")), "cells")
     targets = source_targets(cells, weights, most_repeats)
@@ -115,18 +126,18 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats
 
     # The same again for the parts of the block at which a source's rest ends.
     within = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    parts = cells.join(placed.where("cut").select("skey", "block", "room"), ["skey", "block"]).withColumn("upto", F.sum("size").over(within))
-    parts = parts.select("skey", "block", "part", (F.col("room") - F.col("upto") + F.col("size")).alias("part_room"), (F.col("upto") <= F.col("room")).alias("part_whole"))
+    pieces = cells.join(placed.where("cut").select("skey", "block", "room"), ["skey", "block"]).withColumn("upto", F.sum("size").over(within))
+    pieces = pieces.select("skey", "block", "part", (F.col("room") - F.col("upto") + F.col("size")).alias("part_room"), (F.col("upto") <= F.col("room")).alias("part_whole"))
 
     # AQE turns these into broadcasts while the tables are small; keys are blocks, so a large source is spread.
-    rows = sized.join(placed, ["skey", "block"]).join(parts, ["skey", "block", "part"], "left")
+    rows = sized.join(placed, ["skey", "block"]).join(pieces, ["skey", "block", "part"], "left")
     part_cut = F.col("cut") & ~F.col("part_whole") & (F.col("part_room") > 0)
     inside = Window.partitionBy("skey", "block", "part").orderBy("rank", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("part_cut", F.coalesce(part_cut, F.lit(False)))
     rows = rows.where("part_cut").withColumn("fits", F.sum("size").over(inside) <= F.col("part_room")).unionByName(rows.where("not part_cut").withColumn("fits", F.coalesce(F.col("cut") & F.col("part_whole"), F.lit(False))))
-    written = materialize(rows.select("row", "doc_id", "source", "skey", "block", "size", "rank", "source_size", "target", "passes", "whole", "cut", "room", "drawn", "fits"), "rows")
-    release(sized, cells)
-    rows = written
+    met = materialize(rows.select("row", "doc_id", "source", "skey", "block", "size", "rank", "source_size", "target", "passes", "whole", "cut", "room", "drawn", "fits"), "rows")
+    release(written, cells)
+    rows = met
 
     missing = rows.where("cut").groupBy("skey").agg((F.first("room") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("missing"), F.element_at(F.first("drawn"), -1).alias("last_draw"))
     error = F.abs(F.col("missing") - F.col("size"))
@@ -152,9 +163,8 @@ def mix_documents(docs: DataFrame, shards: int = 8, seed: int = 7, **options) ->
     """The mix itself: a row for each copy drawn, with the columns of ``docs`` and mix_pass, mix_shard, mix_place.
 
     Documents join their plan on id, source and size; rows that repeat all three (as null texts under null ids) are
-    numbered on both sides, by a hash of the text and by what the plan takes, and join on the number as well. Rows of a shard stand in one order of their own (``mix_place``
-    sorts them), which is the local shuffle: a writer that partitions by mix_shard and sorts by mix_place needs no
-    global order. Documents that the plan doesn't draw are absent; see ``plan_mix`` for the rest.
+    numbered on both sides, by a hash of the text and by what the plan takes, and join on the number as well. Rows of a shard
+    have an order of their own (``mix_place`` sorts them), which ``write_shards`` writes. Documents that the plan doesn't draw are absent; see ``plan_mix`` for the rest.
     """
     names = docs.columns
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -173,3 +183,14 @@ def mix_documents(docs: DataFrame, shards: int = 8, seed: int = 7, **options) ->
     drawn = met.select("doc_id", "whole", F.explode("draws").alias("draw"))
     place = _order(seed, F.col("doc_id"), F.col("draw.pass"), F.col("draw.shard"))
     return drawn.select(*[F.col(f"whole.`{n}`").alias(n) for n in names], F.col("draw.pass").alias("mix_pass"), F.col("draw.shard").alias("mix_shard"), place.alias("mix_place"))
+
+
+def write_shards(mixed: DataFrame, path: str) -> None:
+    """Write a mix (a written table, as it is read twice) as Parquet, a folder ``mix_shard=N`` each, locally shuffled.
+
+    A shard's files, by name, hold its rows in the order of ``mix_place``: the shuffle within the shard. Shards are dealt
+    by ranges of shard and place, so one of any size is spread over tasks and none needs an order over all shards. Copies
+    of repeated rows that have a place in common stand next to each other. An empty mix gives a folder without shards.
+    """
+    ordered = mixed.repartitionByRange("mix_shard", "mix_place").sortWithinPartitions("mix_shard", "mix_place")
+    ordered.write.partitionBy("mix_shard").parquet(path)

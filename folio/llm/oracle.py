@@ -58,15 +58,17 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
-#: 64 blocks of 64 parts, 8 shards and the seed 7 are the defaults of plan_mix.
+#: Blocks of 10 million words, 64 at least, of 64 parts, 8 shards and the seed 7 are the defaults of plan_mix.
 OP9 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce('s:' || source, 'n') AS skey,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
          md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS rnk
   FROM documents
+), n AS (
+  SELECT CAST(64 * pow(2, greatest(0, ceil(log2(greatest(sum(size), 1) / 640000000.0)))) AS BIGINT) AS blocks FROM sized
 ), d AS (
-  SELECT *, CAST('0x' || substr(rnk, 1, 8) AS BIGINT) % 64 AS block, (CAST('0x' || substr(rnk, 1, 8) AS BIGINT) // 64) % 64 AS part, row_number() OVER () AS row FROM sized
+  SELECT sized.*, CAST('0x' || substr(rnk, 1, 8) AS BIGINT) % blocks AS block, (CAST('0x' || substr(rnk, 1, 8) AS BIGINT) // blocks) % 64 AS part, row_number() OVER () AS row FROM sized, n
 ), s0 AS (
   SELECT skey, source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL
 ), s1 AS (

@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm.mixing import draw_blocks, mix_documents, plan_mix, split_quotas
+from folio.llm.common import materialize, paths_of, shared_path
+from folio.llm.mixing import block_count, draw_blocks, mix_documents, plan_mix, split_quotas, write_shards
 
 SCHEMA = "doc_id long, text string, source string, size string"
 
@@ -118,3 +119,40 @@ def test_many_rows_that_repeat_id_and_size(spark):
     kept = mixed.where("doc_id = 7").groupBy("text").count().collect()
     assert {r["text"] for r in kept} == {"word 7 more", "same words here"} and mixed.where("doc_id is null and text is not null").count() == 0
     assert time.perf_counter() - began < 120
+
+
+def test_blocks_follow_the_size():
+    assert [block_count(n) for n in (0, 1, 640_000_000, 640_000_001, 2_000_000_000)] == [64, 64, 64, 128, 256]
+
+
+@pytest.mark.parametrize("blocks,parts", [(1, 1), (2, 3), (1024, 8)])
+def test_sums_are_near_their_targets_with_any_blocks(spark, blocks, parts):
+    rows = [(i, "w " * (i % 7 + 1), f"s{i % 3}") for i in range(600)]
+    plan = plan_mix(docs(spark, rows), blocks=blocks, parts=parts).collect()
+    taken, target = defaultdict(int), {}
+    for r in plan:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["block"] < blocks and r["taken"] <= 3 * r["size"]
+    assert len(plan) == 600 and all(abs(taken[s] - target[s]) <= 7 for s in target)
+
+
+def test_shards_are_written_in_their_own_order(spark):
+    rows = [(i, f"text {i} " + "w " * (i % 9), f"s{i % 3}") for i in range(900)] + [(None, None, None)] * 5
+    mixed = materialize(mix_documents(docs(spark, rows), shards=4), "mixed")
+    path = shared_path(spark, "shards")
+    coalesce, partitions = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(partitions)
+    spark.conf.set(coalesce, "false")
+    spark.conf.set(partitions, "16")
+    write_shards(mixed, path)
+    spark.conf.unset(coalesce)
+    spark.conf.set(partitions, before)
+    folders = sorted(p for p in paths_of(spark, path) if "mix_shard=" in p)
+    assert [f.rpartition("=")[2] for f in folders] == ["0", "1", "2", "3"]
+    for shard, folder in enumerate(folders):
+        files = sorted(p for p in paths_of(spark, folder) if p.endswith(".parquet"))
+        places = [r["mix_place"] for f in files for r in spark.read.parquet(f).select("mix_place").coalesce(1).collect()]
+        want = sorted(r["mix_place"] for r in mixed.where(f"mix_shard = {shard}").select("mix_place").collect())
+        assert places == want and len(files) > 1
+    write_shards(mixed.limit(0), path + "-empty")
