@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, split_words
+from .common import WORD_PATTERN, materialize, release, split_words
 
 FOUND = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int, tiles array<struct<item_start:int,doc_start:int,length:int>>"
 #: Base of the running hash, and words of benchmark items that go to the tasks at once.
@@ -176,13 +176,13 @@ class Benchmark:
                     yield item_id, len(item), tiles
 
 
-def item_slices(benchmark: DataFrame, slice_words: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in slices of about ``slice_words`` words, by a hash of their text; at least one slice."""
+def item_slices(benchmark: DataFrame, slice_words: int) -> Iterator[tuple[bool, list[tuple[int, str]]]]:
+    """The items in slices of about ``slice_words`` words, by a hash of their text; at least one slice. True comes with the last."""
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     words = items.agg(F.sum(F.regexp_count("text", F.lit(WORD_PATTERN)))).first()[0] or 0
     slices = max(1, -(-words // slice_words))
     for number in range(slices):
-        yield [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == number).collect()]
+        yield number == slices - 1, [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == number).collect()]
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: int = 5, slice_words: int = SLICE_WORDS) -> DataFrame:
@@ -191,8 +191,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6
     Tokens are lower-cased words; tiles are matches of at least ``least`` tokens, so passages whose sentences were
     reordered keep their coverage. An item with fewer tokens is a tile as a whole. Null texts and texts without words
     take no part; repeated rows on either side give a row for each pair, null ids too. Documents are read where they are, without a shuffle. Items go
-    to the tasks in slices of about ``slice_words`` words, one pass over the documents each, so what is sent at once
-    stays bounded however large the benchmark is.
+    to the tasks in slices of about ``slice_words`` words, one pass over the documents each. What a slice finds is written
+    before the next one is read, so the driver and a task hold one slice however large the benchmark is.
     """
 
     def one(part: list[tuple[int, str]]) -> DataFrame:
@@ -210,13 +210,17 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6
 
         return docs.select("doc_id", "text").mapInArrow(run, FOUND)
 
-    return reduce(DataFrame.unionByName, map(one, item_slices(benchmark, slice_words)))
+    found = (one(part) if last else materialize(one(part), "hits") for last, part in item_slices(benchmark, slice_words))
+    return reduce(DataFrame.unionByName, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: int = 5, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``contaminations`` finds no item in."""
-    out, at = docs, docs.columns.index("text")
-    for part in item_slices(benchmark, slice_words):
+    """The rows of ``docs``, with all their columns, that ``contaminations`` finds no item in.
+
+    What a slice of the benchmark leaves is written before the next slice is read, and goes when that one's is.
+    """
+    out, at, before = docs, docs.columns.index("text"), None
+    for last, part in item_slices(benchmark, slice_words):
 
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             known = Benchmark(part, least)
@@ -225,4 +229,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
+        if not last:
+            out = materialize(out, "clean")
+            release(before)
+            before = out
     return out
