@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # The date and time formats that forms name by number.
 INDEXED_DATE_FORMATS = ["m/d", "m/d/yy", "mm/dd/yy", "mm/yy", "d-mmm", "d-mmm-yy", "dd-mmm-yy", "yy-mm-dd", "mmm-yy", "mmmm-yy", "mmm d, yyyy", "mmmm d, yyyy", "m/d/yy h:MM tt", "m/d/yy HH:MM"]
 INDEXED_TIME_FORMATS = ["HH:MM", "h:MM tt", "HH:MM:ss", "h:MM:ss tt"]
+# Times that any form takes, whatever its format.
+COMMON_TIME_FORMATS = ["HH:MM", "H:MM", "h:MM tt", "HH:MM:ss", "H:MM:ss", "h:MM:ss tt"]
 
 
 def date_pattern(form: str) -> str:
@@ -49,6 +51,17 @@ def parse_date(text: Column, form: str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(p)) for p in known])
 
 
+def parse_time(text: Column, form: str) -> Column:
+    """The time of day in seconds, by the form's format, then by common ones; null if none fits.
+
+    White space doesn't count, nor the case of the half of the day. A format that names a date takes its time only.
+    """
+    bare = F.upper(F.regexp_replace(text, r"\s+", ""))
+    known = [date_pattern(f).replace(" ", "") for f in (form, *COMMON_TIME_FORMATS)]
+    at = F.coalesce(*[F.try_to_timestamp(bare, F.lit(p)) for p in dict.fromkeys(known)])
+    return F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+
+
 def parse_document_date(text: Column) -> Column:
     """``D:YYYYMMDDHHmmSSOHH'mm'``: what follows the year is optional, without offset it is UTC; out of range is null."""
     shape = r"^(?:D:)?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:(Z)|([+-])(\d{2})'?(\d{2})?'?)?.*$"

@@ -153,6 +153,17 @@ def plain_text(html: Column) -> Column:
     return collapse(out)
 
 
+def first_place(text: Column, query: str) -> Column:
+    """Where ``query`` first stands in the text itself (1-based, code points), case ignored; 0 if nowhere or empty.
+
+    Lower-casing the text first may change its length, so the places of a lower-cased text aren't the text's own.
+    """
+    if not query:
+        return F.when(text.isNotNull(), F.lit(0))
+    pieces = F.split(text, "(?iu)" + re.sub(r"([^\w\s])", r"\\\1", query), 2)
+    return F.when(F.size(pieces) == 2, F.length(pieces[0]) + 1).when(text.isNotNull(), F.lit(0))
+
+
 def snippet(text: Column, start: Column, length: int, around: int = 50) -> Column:
     """``around`` characters on each side of a match (1-based start), white space collapsed."""
     first = F.greatest(start - around, F.lit(1))

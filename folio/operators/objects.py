@@ -8,6 +8,32 @@ from pyspark.sql import functions as F
 from ..sources.tables import removed, written
 
 
+#: Objects of a document that may name files, in the order in which their files are listed; those of a page go page by page.
+FILE_OWNERS = ("Document", "Page", "Annotation", "XObject", "StructureElement")
+
+
+def associated_files(owners: DataFrame, specs: DataFrame, doc: str, spec: str) -> DataFrame:
+    """``doc``, ``spec``, kind, page, relationship, name and content: each file that a document's objects name, once.
+
+    ``owners`` has ``doc``, kind (of FILE_OWNERS), page (null for the document and its structure), position (the object's
+    place among those of its kind and page) and files, an array of ``spec``; ``specs`` has ``doc``, ``spec``, relationship, name
+    and content, one row for each of both. The first object that names a file is its owner: the document, then each page with its
+    annotations and then its other objects, then the structure. A file without a relationship is Unspecified, one
+    without a name has the empty name, one without content stays. What an object names without a specification is no file,
+    nor is null; objects of other kinds, with null files or none name nothing. Two documents don't share files.
+
+    Names are combined before the shuffle, so a file that very many objects of a document name costs a row for each task.
+    """
+    kind = F.array_position(F.array(*[F.lit(k) for k in FILE_OWNERS]), F.col("kind")).cast("int")
+    part = F.when(kind == 1, F.lit(0)).when(kind == len(FILE_OWNERS), F.lit(2)).otherwise(F.lit(1))
+    named = owners.where(kind > 0).select(doc, "kind", "page", part.alias("_part"), kind.alias("_kind"), "position", F.posexplode("files").alias("_nth", spec))
+    order = F.struct("_part", "page", "_kind", "position", "_nth")
+    first = named.where(F.col(spec).isNotNull()).groupBy(doc, spec).agg(F.min_by(F.struct("kind", "page"), order).alias("_first"))
+    found = first.join(specs.select(doc, spec, "relationship", "name", "content"), [doc, spec])
+    told = [F.coalesce("relationship", F.lit("Unspecified")).alias("relationship"), F.coalesce("name", F.lit("")).alias("name")]
+    return found.select(doc, spec, "_first.kind", "_first.page", *told, "content")
+
+
 def merge_identical(objects: DataFrame, references: DataFrame, most_passes: int | None = None) -> DataFrame:
     """id, representative and merged_in: the smallest id of the objects that an object equals, and the pass that found it.
 

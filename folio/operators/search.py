@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.positions import match_places
 
 
+def match_count(text: Column, query: str, whole_word: bool = False, **folding: bool) -> Column:
+    """The number of matches of ``query`` in a text, from left to right; 0 for a query of white space alone."""
+    pattern = T.pattern_of(T.fold_query(query, **folding), whole_word)
+    return F.lit(0) if pattern is None else F.regexp_count(T.fold(text, **folding), F.lit(pattern))
+
+
 def count_matches(docs: DataFrame, query: str, text: str = "text", whole_word: bool = False, overlapping: bool = False, **folding: bool) -> DataFrame:
     """Add ``matches``, the number of matches of ``query`` in column ``text``; rows without one are left out.
 
@@ -60,8 +68,8 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, phrase_key: str,
 
 
 def first_snippets(docs: DataFrame, query: str, key: str, text: str = "text", around: int = 50) -> DataFrame:
-    """``key`` and the snippet around the first match, case ignored."""
-    start = F.instr(F.lower(F.col(text)), query.lower())
+    """``key`` and the snippet around the first match, case ignored; the match is placed in the text itself."""
+    start = T.first_place(F.col(text), query)
     return docs.where(start > 0).select(key, T.snippet(F.col(text), start, len(query), around).alias("snippet"))
 
 
@@ -82,6 +90,15 @@ def keyword_filter(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
     return df
 
 
+def line_values(text: Column, of: Callable[[Column], Column], keep: Callable[[Column], Column]) -> Column:
+    """An array of (line, n) for the lines of a text, 0-based, whose value ``of(line)`` meets ``keep``; null for a null text.
+
+    Lines stay in their row, so nothing is shuffled and rows that repeat a key stay apart.
+    """
+    valued = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.cast("long").alias("line"), of(x).alias("n")))
+    return F.filter(valued, lambda v: keep(v["n"]))
+
+
 def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """A row for each line: ``key``, line (0-based) and its text."""
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "line_text"))

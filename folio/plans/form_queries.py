@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import numbers as N
+from ..sources import xfdf
 from .registry import query
 
 GROUPED = "regexp_replace(reverse(regexp_replace(reverse(split_part(x, '.', 1)), '(\\d{3})', '\\1,', 'g')), '^,', '')"
@@ -117,6 +118,24 @@ def date_form_parse(read, spark):
     return read("orders").select("o_orderkey", D.parse_date(F.date_format(day, "dd/MM/yyyy"), "dd/mm/yyyy").alias("a"), D.parse_date(F.date_format(day, "MMM d, yyyy"), "dd/mm/yyyy").alias("b"))
 
 
+@query("form_time_parse", "SELECT event_id, s + CAST(second(ts) AS INTEGER) AS a, s AS b, s AS c, CASE WHEN event_id % 3 <> 0 THEN s END AS d FROM (SELECT event_id, ts, CAST(hour(ts) * 3600 + minute(ts) * 60 AS INTEGER) AS s FROM events)")
+def form_time_parse(read, spark):
+    """Times by the form's own format, by common ones, without regard to spaces and case, and such as aren't times."""
+    at = lambda pattern: F.date_format("ts", pattern)
+    mixed = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("25:"), at("mm"))).otherwise(at("h:mm a"))
+    texts = {"a": (at("HH:mm:ss"), "HH:MM:ss"), "b": (F.lower(at("h:mm a")), "HH:MM"), "c": (F.concat(F.lit(" "), at("H:mm"), F.lit(" ")), "h:MM:ss tt"), "d": (mixed, "h:MM tt")}
+    return read("events").select("event_id", *[D.parse_time(text, form).alias(n) for n, (text, form) in texts.items()])
+
+
+@query("form_data_xml", "SELECT o_custkey AS customer, 'order.' || o_orderkey AS name, ['<' || o_orderstatus || '> & \"' || o_orderpriority || '\"', CAST(o_orderkey AS VARCHAR)] AS values FROM orders")
+def form_data_xml(read, spark):
+    """Fields of each customer's form, written as one XML text a form and read back."""
+    told = F.concat(F.lit("<"), "o_orderstatus", F.lit('> & "'), "o_orderpriority", F.lit('"'))
+    fields = read("orders").select("o_custkey", F.concat(F.lit("order."), F.col("o_orderkey").cast("string")).alias("name"), F.array(told, F.col("o_orderkey").cast("string")).alias("values"))
+    forms = xfdf.to_xml(fields, "o_custkey").withColumnRenamed("o_custkey", "path")
+    return xfdf.fields_of(forms).withColumnRenamed("path", "customer")
+
+
 @query("measure_units", "SELECT c_custkey, CAST(floor(v / 12) AS BIGINT) AS feet, CAST(floor(v) % 12 AS BIGINT) AS inches FROM (SELECT c_custkey, abs(c_acctbal) AS v FROM customer)")
 def measure_units(read, spark):
     """A length in cascading units: whole units of the larger, the rest in the smaller."""

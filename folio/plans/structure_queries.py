@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import assembly, layout, objects, records, relational, trees
@@ -224,3 +226,40 @@ def edited_bookmarks(read, spark):
     rows = read("orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("place"))
     found = trees.edited_order(rows, edits, "o_custkey")
     return found.select("o_custkey", "id", F.row_number().over(own.orderBy("key")).cast("long").alias("place"))
+
+
+#: Regions as documents, their customers as pages, orders as annotations, order lines as other objects, parts as structure.
+FILES = """owner AS (
+  SELECT CAST(s_nationkey % 5 AS BIGINT) AS doc, 1 AS part, CAST(NULL AS BIGINT) AS page, 1 AS kind, s_suppkey AS position, s_suppkey AS spec FROM supplier WHERE s_suppkey % 3 = 0
+  UNION ALL SELECT c_nationkey % 5, 2, c_custkey, 2, 0, c_custkey % 40 FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT c_nationkey % 5, 2, c_custkey, 3, o_orderkey, o_orderkey % 700 FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT c_nationkey % 5, 2, c_custkey, 4, l_orderkey * 10 + l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT p_partkey % 5, 3, NULL, 5, p_partkey, p_partkey + p_size FROM part
+), spec AS (SELECT p_partkey AS spec, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Source' ELSE 'Data' END AS relationship, CASE WHEN p_partkey % 4 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS content FROM part)"""
+
+
+@query(
+    "associated_files",
+    f"""WITH {FILES}, first AS (SELECT *, row_number() OVER (PARTITION BY doc, spec ORDER BY part, page NULLS FIRST, kind, position) AS n FROM owner)
+        SELECT doc, spec, ['Document', 'Page', 'Annotation', 'XObject', 'StructureElement'][kind] AS kind, page, coalesce(relationship, 'Unspecified') AS relationship, coalesce(name, '') AS name, content
+        FROM first JOIN spec USING (spec) WHERE n = 1""",
+)
+def associated_files(read, spark):
+    """Each file that a document's objects name, with the first that names it."""
+    doc = lambda c: (F.col(c) % 5).cast("long").alias("doc")
+    owner = lambda df, d, kind, page, position, spec: df.select(doc(d), F.lit(kind).alias("kind"), page.cast("long").alias("page"), position.cast("long").alias("position"), F.array(spec.cast("long")).alias("files"))
+    none, col = F.lit(None), F.col
+    customers = read("customer").select("c_custkey", "c_nationkey")
+    orders = read("orders").select("o_orderkey", "o_custkey").join(customers, col("o_custkey") == col("c_custkey"))
+    lines = read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(orders, col("l_orderkey") == col("o_orderkey"))
+    owners = [
+        owner(read("supplier").where("s_suppkey % 3 = 0"), "s_nationkey", "Document", none, col("s_suppkey"), col("s_suppkey")),
+        owner(customers.where("c_custkey % 2 = 0"), "c_nationkey", "Page", col("c_custkey"), F.lit(0), col("c_custkey") % 40),
+        owner(orders, "c_nationkey", "Annotation", col("c_custkey"), col("o_orderkey"), col("o_orderkey") % 700),
+        owner(lines, "c_nationkey", "XObject", col("c_custkey"), col("l_orderkey") * 10 + col("l_linenumber"), col("l_partkey")),
+        owner(read("part"), "p_partkey", "StructureElement", none, col("p_partkey"), col("p_partkey") + col("p_size")),
+    ]
+    key = col("p_partkey")
+    told = [F.when(key % 3 == 1, "Source").when(key % 3 == 2, "Data").alias("relationship"), F.when(key % 4 != 0, col("p_name")).alias("name"), F.when(key % 7 != 0, col("p_brand")).alias("content")]
+    specs = read("part").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("doc"), key.alias("spec"), *told)
+    return objects.associated_files(reduce(DataFrame.unionByName, owners), specs, "doc", "spec")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import sentences
 from ..functions import text as T
 from ..operators import language, quality, search
 from .registry import query
@@ -69,7 +70,7 @@ def search_top_docs(read, spark):
     """The flagship: documents with most whole-word matches, with a snippet around the first occurrence."""
     found = search.count_matches(read("documents"), "the", whole_word=True)
     top = found.orderBy(F.col("matches").desc(), "doc_id").limit(20)
-    start = F.instr(F.lower("text"), "the")
+    start = T.first_place(F.col("text"), "the")
     return top.select("doc_id", "matches", T.snippet(F.col("text"), start, 3).alias("snippet"))
 
 
@@ -213,7 +214,14 @@ def footnote_lines(read, spark):
 
 @query("sentence_end_lines", f"SELECT doc_id, count(*) AS ended FROM ({LINES}) WHERE regexp_matches(line_text, '[.?!:]$') GROUP BY doc_id")
 def sentence_end_lines(read, spark):
-    return search.lines_of(read("documents"), "doc_id").where(T.ends_sentence(F.col("line_text"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("ended"))
+    ended = F.size(F.filter(F.split("text", "\n"), T.ends_sentence)).cast("long")
+    return read("documents").select("doc_id", ended.alias("ended")).where("ended > 0")
+
+
+@query("speech_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '-[\r\n]+', '', 'g'), '[\x00-\x20\x7f]+', ' ', 'g'), ' ') AS spoken FROM documents")
+def speech_text(read, spark):
+    """Whole texts as they are read out: hyphenated lines joined, white space and control characters as one space."""
+    return read("documents").select("doc_id", sentences.to_speech(F.col("text")).alias("spoken"))
 
 
 @query("word_tokens", f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{WORD}+')) AS INTEGER) AS words FROM documents")
@@ -319,13 +327,14 @@ def sentence_counts(read, spark):
 
 @query("bounds_of_lines", f"SELECT doc_id, count(*) AS lines, max(length(line_text)) AS widest FROM ({LINES}) GROUP BY doc_id")
 def bounds_of_lines(read, spark):
-    return search.lines_of(read("documents"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.max(F.length("line_text")).cast("long").alias("widest"))
+    lines = F.split("text", "\n")
+    return read("documents").where("text is not null").select("doc_id", F.size(lines).cast("long").alias("lines"), F.array_max(F.transform(lines, F.length)).cast("long").alias("widest"))
 
 
 @query("matches_per_page", f"SELECT doc_id, list({{'line': line, 'n': n}} ORDER BY line) AS pages FROM (SELECT doc_id, line, CAST(len(regexp_extract_all(lower(line_text), 'the')) AS INTEGER) AS n FROM ({LINES})) WHERE n > 0 GROUP BY doc_id")
 def matches_per_page(read, spark):
-    found = search.count_matches(search.lines_of(read("documents"), "doc_id"), "the", text="line_text")
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line").cast("long").alias("line"), F.col("matches").alias("n")))).alias("pages"))
+    pages = search.line_values(F.col("text"), lambda x: search.match_count(x, "the"), lambda n: n > 0)
+    return read("documents").select("doc_id", pages.alias("pages")).where("size(pages) > 0")
 
 
 @query("first_line_of_source", "SELECT source, doc_id, first_line FROM (SELECT source, doc_id, string_split(text, chr(10))[1] AS first_line, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n = 1")

@@ -176,3 +176,28 @@ def test_packet_properties(spark):
     rows = spark.createDataFrame([(packet,), ("no packet",), (None,)], "p string").select(facets.packet_properties(F.col("p")).alias("m")).collect()
     want = {"pdfaid:part": ["3"], "tool:name": ['a > "b"'], "tool:more": ["yes"], "dc:title": ["One &lt; two"], "dc:link": ["http://l/x"], "dc:text": ["plain"]}
     assert [r["m"] for r in rows] == [want, {}, None]
+
+
+def test_times_of_forms(spark):
+    cases = [("14:05", "HH:MM", 50700), ("2:05 pm", "HH:MM", 50700), ("2:05PM", "HH:MM", 50700), (" 9:07:03 ", "h:MM tt", 32823), ("12:00 am", "h:MM tt", 0), ("25:00", "HH:MM", None), ("noon", "HH:MM", None), ("", "HH:MM", None), (None, "HH:MM", None), ("3/4/21 5:06 am", "m/d/yy h:MM tt", 18360)]
+    for text, form, want in cases:
+        df = spark.createDataFrame([(text,)], "x string")
+        assert df.select(D.parse_time(F.col("x"), form)).first()[0] == want, (text, form)
+
+
+def test_places_are_those_of_the_text_itself(spark):
+    texts = ["İİİ The end", "the", "no", "", None, "a\U0001f600b THE", "t.he"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    at = lambda query: [r[0] for r in df.select(T.first_place(F.col("x"), query)).collect()]
+    assert at("the") == [5, 1, 0, 0, None, 5, 0]
+    assert at("t.h") == [0, 0, 0, 0, None, 0, 1] and at("") == [0, 0, 0, 0, None, 0, 0]
+    snippets = search.first_snippets(df, "THE", "x", text="x", around=2).collect()
+    assert {r["x"]: r["snippet"] for r in snippets} == {texts[0]: "İ The e", "the": "the", texts[5]: "b THE"}
+
+
+def test_lines_stay_in_their_row(spark):
+    df = spark.createDataFrame([(1, "the\nno\nthe the"), (1, "x"), (2, None), (None, "")], "id long, text string")
+    counted = search.line_values(F.col("text"), lambda x: search.match_count(x, "the"), lambda n: n > 0)
+    got = sorted((str(r["id"]), r["v"] and [tuple(v) for v in r["v"]]) for r in df.select("id", counted.alias("v")).collect())
+    assert got == [("1", []), ("1", [(0, 1), (2, 2)]), ("2", None), ("None", [])]
+    assert df.select(search.match_count(F.col("text"), " ")).distinct().collect()[0][0] == 0

@@ -159,3 +159,28 @@ def test_labels_and_outlines_of_an_assembly(spark):
     outlines = spark.createDataFrame([("a", 1, None, 0, 9), ("a", 2, 1, 0, 3), ("a", 3, 2, 0, 8), ("a", 4, 3, 1, 5), ("b", 5, None, 0, 1), ("c", 6, None, 0, 0)], "source string, id long, parent long, ord long, page long")
     got = rows(assembly.splice_outlines(outlines, picked), "id", "parent", "depth", "target")
     assert got == sorted([(2, None, 0, 0), (4, 2, 1, 2), (5, None, 0, 6)], key=str)
+
+
+def test_associated_files_against_a_walk(spark):
+    rng = random.Random(11)
+    owners = []
+    for doc in (1, 2, None):
+        owners += [(doc, "Document", None, 0, [rng.randrange(9) for _ in range(2)])]
+        owners += [(doc, kind, page, at, [rng.choice([None, *range(9, 60)]) for _ in range(rng.randrange(3))]) for page in range(6) for kind in ("XObject", "Annotation", "Page") for at in range(3)]
+        owners += [(doc, "StructureElement", None, at, [rng.randrange(80)]) for at in range(40)]
+    owners += [(1, "Font", 0, 0, [70]), (1, "Page", 3, 9, None), (1, "Page", 3, 10, [])]
+    specs = [(doc, n, None if n % 3 else f"r{n}", None if n % 4 else f"n{n}", None if n % 5 else f"c{n}") for doc in (1, 2) for n in range(75)]
+    rank = {k: i for i, k in enumerate(objects.FILE_OWNERS)}
+    walked, seen, known = [], set(), {s[:2]: s[2:] for s in specs}
+    for doc, kind, page, _, files in sorted((o for o in owners if o[1] in rank), key=lambda o: (str(o[0]), {"Document": 0, "StructureElement": 2}.get(o[1], 1), o[2] or 0, rank[o[1]], o[3])):
+        for f in files or []:
+            if (doc, f) in known and (doc, f) not in seen:
+                seen.add((doc, f))
+                relationship, name, content = known[doc, f]
+                walked.append((doc, f, kind, page, relationship or "Unspecified", name or "", content))
+    told = spark.createDataFrame(owners, "doc long, kind string, page long, position long, files array<long>")
+    specs = spark.createDataFrame(specs, "doc long, spec long, relationship string, name string, content string")
+    got = objects.associated_files(told.repartition(5), specs, "doc", "spec")
+    assert got.columns == ["doc", "spec", "kind", "page", "relationship", "name", "content"]
+    assert rows(got, *got.columns) == sorted(walked, key=str) and {w[2] for w in walked} == set(rank)
+    assert objects.associated_files(told.limit(0), specs, "doc", "spec").count() == 0
