@@ -123,26 +123,29 @@ def edited_order(rows: DataFrame, edits: DataFrame, by: str, most_depth: int = 6
 def flowing_sets(own: DataFrame, parts: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """node, bucket and bits: the numbers (own: node, value) of each node and of all that its parts (node, part) lead to.
 
-    Sets are bitmaps of 32,768 numbers, as many buckets a node as its numbers need. Each round passes on only the sets that
-    the last one changed, with one union of bitmaps a round; shared parts are passed once, and cycles end when nothing changes.
+    Sets are words of 64 numbers, as many a node as its numbers need, so a row is never longer than a number and unions
+    combine before the shuffle. Each round passes on only the words that the last one changed; shared parts are
+    passed once, and cycles end when nothing changes. The parts are written once, for all rounds.
     """
-    sets = written(own.groupBy("node", F.bitmap_bucket_number("value").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("value")).alias("bits")).withColumn("changed", F.lit(True)), "sets")
+    union, one = F.bit_or("bits").alias("bits"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("value").bitwiseAND(63)).cast("int"))
+    numbers = own.where("value is not null").select("node", F.shiftright(F.col("value").cast("long"), 6).alias("bucket"), one.alias("bits"))
+    sets = written(numbers.groupBy("node", "bucket").agg(union).withColumn("changed", F.lit(True)), "sets")
+    parts = written(parts.select("node", "part"), "parts")
     for _ in range(most_rounds):
         fresh = sets.where("changed").select(F.col("node").alias("part"), "bucket", "bits")
-        passed = parts.join(fresh, "part").select("node", "bucket", "bits", F.lit(None).cast("long").alias("_had"))
-        both = sets.select("node", "bucket", "bits", F.bitmap_count("bits").alias("_had")).unionByName(passed)
-        merged = both.groupBy("node", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.max("_had").alias("_had"))
-        now = written(merged.select("node", "bucket", "bits", (F.bitmap_count("bits") > F.coalesce("_had", F.lit(0))).alias("changed")), "sets")
+        passed = parts.join(fresh, "part").select("node", "bucket", "bits", F.lit(0).cast("long").alias("_had"))
+        both = sets.select("node", "bucket", "bits", F.col("bits").alias("_had")).unionByName(passed)
+        merged = both.groupBy("node", "bucket").agg(union, F.bit_or("_had").alias("_had"))
+        now = written(merged.select("node", "bucket", "bits", (F.col("bits") != F.col("_had")).alias("changed")), "sets")
         removed(sets)
         sets = now
         if not sets.where("changed").limit(1).count():
+            removed(parts)
             return sets.drop("changed")
     raise ValueError(f"sets still change after {most_rounds} rounds")
 
 
 def set_values(sets: DataFrame) -> DataFrame:
-    """node and value: the numbers in the bitmaps, from the bytes that aren't zero."""
-    bytes_of = F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.struct(i.alias("at"), F.conv(F.hex(F.substring("bits", i + 1, F.lit(1))), 16, 10).cast("int").alias("byte")))
-    some = sets.select("node", "bucket", F.explode(F.filter(bytes_of, lambda b: b["byte"] != 0)).alias("b"))
-    bit = some.select("node", "bucket", "b.at", "b.byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where("(shiftright(byte, bit) & 1) = 1")
-    return bit.select("node", ((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit") + 1).alias("value"))
+    """node and value: the numbers in the words."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
+    return sets.select("node", "bucket", F.explode(bits).alias("bit")).select("node", (F.shiftleft("bucket", 6) + F.col("bit")).alias("value"))

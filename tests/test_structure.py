@@ -103,6 +103,15 @@ def test_sets_flow_through_a_diamond_and_a_cycle(spark):
     assert got == want
 
 
+def test_a_set_is_as_long_as_its_numbers(spark):
+    # A bitmap of 32,768 numbers a node took 4 kB, whatever it held.
+    values = [0, 1, 62, 63, 64, -1, -64, -65, 2**40, 2**63 - 1, -(2**63)]
+    own = spark.createDataFrame([("a", v) for v in values] + [("c", None)], "node string, value long")
+    sets = trees.flowing_sets(own, spark.createDataFrame([("b", "a"), ("b", "c"), ("b", None)], "node string, part string"))
+    assert {t for _, t in sets.dtypes} <= {"string", "bigint"}
+    assert rows(trees.set_values(sets), "node", "value") == sorted(((n, v) for n in "ab" for v in values), key=str)
+
+
 def test_as_of_ranges(spark):
     rng = random.Random(9)
     left = [(i, rng.choice([None, 50, 50, 50, rng.randint(0, 100)])) for i in range(500)]
