@@ -50,13 +50,13 @@ def mask(text: Column, kind: str) -> Column:
     return F.when(F.length(digits) == size, F.regexp_replace(digits, pattern, shape)).otherwise(text)
 
 
-def roman(number: Column) -> Column:
-    """Small Roman numerals from 1 to 100000, decimals beyond."""
+def roman(number: Column, most: int | None = 100_000) -> Column:
+    """Small Roman numerals from 1 to ``most`` (None: without end), decimals beyond."""
     out, rest = F.lit(""), number
     for value, letters in ROMAN:
         out = F.concat(out, F.repeat(F.lit(letters), (rest / value).cast("int")))
         rest = rest % value
-    return F.when(number.between(1, 100_000), out).otherwise(number.cast("string"))
+    return F.when((number >= 1) & (F.lit(True) if most is None else number <= most), out).otherwise(number.cast("string"))
 
 
 def letters(number: Column) -> Column:
@@ -66,9 +66,9 @@ def letters(number: Column) -> Column:
     return F.when((number >= 1) & (rounds <= 100), F.repeat(letter, rounds)).otherwise(number.cast("string"))
 
 
-def label(number: Column, style: str | None, prefix: str = "") -> Column:
-    """A page label: D decimal, R/r Roman, A/a letters, none: the prefix alone."""
-    body = {"D": number.cast("string"), "r": roman(number), "R": F.upper(roman(number)), "a": letters(number), "A": F.upper(letters(number)), None: F.lit("")}[style]
+def label(number: Column, style: str | None, prefix: str = "", most_roman: int | None = 100_000) -> Column:
+    """A page label: D decimal, R/r Roman up to ``most_roman``, A/a letters, none: the prefix alone."""
+    body = {"D": number.cast("string"), "r": roman(number, most_roman), "R": F.upper(roman(number, most_roman)), "a": letters(number), "A": F.upper(letters(number)), None: F.lit("")}[style]
     return F.concat(F.lit(prefix), body)
 
 

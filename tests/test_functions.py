@@ -53,6 +53,10 @@ def test_labels(spark):
     assert one(spark, N.label(F.lit(3), None, "cover")) == "cover"
 
 
+def test_roman_labels_beyond_the_usual_bound(spark):
+    assert [one(spark, N.label(F.lit(n), "r", most_roman=None)) for n in (100_001, 0)] == ["m" * 100 + "i", "0"]
+
+
 def test_document_dates(spark):
     utc = lambda *a: datetime.datetime(*a)
     for text, expected in (("D:2026", utc(2026, 1, 1)), ("D:20260307", utc(2026, 3, 7)), ("D:20260307120000+02'00'", utc(2026, 3, 7, 10)), ("D:20260307120000Z", utc(2026, 3, 7, 12)), ("D:20261307", None), ("x", None)):
