@@ -100,7 +100,7 @@ def join_lines(text: Column) -> Column:
 
 def word_at(text: Column, index: Column) -> Column:
     """start and length (from 0) of the word that a place touches; the place itself with length 0 where it touches none."""
-    left = F.length(F.regexp_extract(F.substring(text, F.lit(1), index), f"([{WORD}]*)$", 1))
+    left = F.length(F.regexp_extract(F.substring(text, F.lit(1), index), rf"([{WORD}]*)\z", 1))
     right = F.length(F.regexp_extract(F.substring(text, index + 1, F.lit(2**31 - 1)), f"^([{WORD}]*)", 1))
     return F.when((index >= 0) & (index <= F.length(text)), F.struct((index - left).alias("start"), (left + right).alias("length")))
 

@@ -57,6 +57,12 @@ def test_roman_labels_beyond_the_usual_bound(spark):
     assert [one(spark, N.label(F.lit(n), "r", most_roman=None)) for n in (100_001, 0)] == ["m" * 100 + "i", "0"]
 
 
+def test_a_word_does_not_reach_over_a_line_end(spark):
+    got = spark.createDataFrame([("ab\ncd",), ("ab cd",)], "t string").select(facets.word_at(F.col("t"), F.lit(3)).alias("w")).collect()
+    assert [tuple(r["w"]) for r in got] == [(3, 2), (3, 2)]
+    assert tuple(spark.createDataFrame([("ab\n-",)], "t string").select(facets.word_at(F.col("t"), F.lit(3)).alias("w")).first()["w"]) == (3, 0)
+
+
 def test_document_dates(spark):
     utc = lambda *a: datetime.datetime(*a)
     for text, expected in (("D:2026", utc(2026, 1, 1)), ("D:20260307", utc(2026, 3, 7)), ("D:20260307120000+02'00'", utc(2026, 3, 7, 10)), ("D:20260307120000Z", utc(2026, 3, 7, 12)), ("D:20261307", None), ("x", None)):
