@@ -19,7 +19,8 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 class InOrder(StatefulProcessor):
     """Rows (at: event time in microseconds, id: breaks ties, what) of a key, taken in order ``wait`` microseconds after their time.
 
-    What is held for a key is bounded by what comes within the watermark's delay and ``wait``.
+    What is held for a key is bounded by what comes within the watermark's delay and ``wait``. There is always a timer at or
+    before the time at which the first held row becomes due, and one timer takes all that are due.
     """
 
     def __init__(self, wait: int = 0):
@@ -40,25 +41,29 @@ class InOrder(StatefulProcessor):
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
         raise NotImplementedError
 
+    def due(self, at: int) -> int:
+        """The millisecond, rounded up, at which a row becomes due."""
+        return -(-(at + self.wait) // 1000)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [r for frame in rows for r in zip(frame["at"], frame["id"], frame["what"], strict=True)]
         if new:
             self.held.appendList([(int(a), int(i), w) for a, i, w in new])
-            # One timer for each time at which rows become due; the time is rounded up to milliseconds.
-            for ms in {-(-(int(a) + self.wait) // 1000) for a, _, _ in new}:
-                self.handle.registerTimer(ms)
+            # A timer for the first that becomes due; those behind it get theirs when it expires.
+            self.handle.registerTimer(self.due(min(int(a) for a, _, _ in new)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        passed = timerValues.getCurrentWatermarkInMs()
         rows = sorted(self.held.get()) if self.held.exists() else []
-        due = [r for r in rows if -(-(r[0] + self.wait) // 1000) * 1000 <= passed]
+        due = [r for r in rows if self.due(r[0]) <= passed]
         if not due:
             return iter([])
         later = rows[len(due) :]
         out = self.take(key, due, later)
         if later:
             self.held.put(later)
+            self.handle.registerTimer(self.due(later[0][0]))
         else:
             self.held.clear()
         return iter([self.frame(out)] if out else [])

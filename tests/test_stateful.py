@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,25 @@ def test_fold_map(spark):
     assert [r["start"] for r in plain.orderBy("start").collect()] == [1, 2, 3]
     assert search.match_starts(docs, "  ", "doc_id").collect() == []
     assert "Exchange" not in docs.select(places)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_timer_for_the_first_row_that_becomes_due():
+    # Each row had a timer of its own, and each timer read the state again.
+    class Held(list):
+        exists, get, appendList, clear = (lambda self: bool(self)), (lambda self: iter(list(self))), list.extend, list.clear
+        put = lambda self, rows: self.__setitem__(slice(None), rows)
+
+    class Handle:
+        timers = []
+        getListState = lambda self, *_: Held()
+        registerTimer = lambda self, ms: self.timers.append(ms)
+
+    class Passed:
+        getCurrentWatermarkInMs = lambda self: 3
+
+    log = stateful.UndoLog(3)
+    log.init(Handle())
+    list(log.handleInputRows((1,), iter([pd.DataFrame({"at": [5001, 2500, 1000, 9000], "id": [4, 3, 2, 5], "what": "edit"})]), None))
+    assert Handle.timers == [1]
+    out = list(log.handleExpiredTimer((1,), Passed(), None))
+    assert [f["action"].tolist() for f in out] == [[2, 3]] and Handle.timers == [1, 6] and list(log.held) == [(5001, 4, "edit"), (9000, 5, "edit")]
