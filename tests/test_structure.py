@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.operators import assembly, layout, objects, records, trees
 
@@ -204,3 +205,12 @@ def test_associated_files_against_a_walk(spark):
     assert got.columns == ["doc", "spec", "kind", "page", "relationship", "name", "content"]
     assert rows(got, *got.columns) == sorted(walked, key=str) and {w[2] for w in walked} == set(rank)
     assert objects.associated_files(told.limit(0), specs, "doc", "spec").count() == 0
+
+
+def test_owners_of_files_combine_without_sorting(spark):
+    owners = spark.createDataFrame([(1, "Page", None, 5, [7]), (1, "XObject", -3, 0, [7, 8]), (1, "Annotation", -3, 9, [8]), (1, "StructureElement", 0, 0, [9]), (1, "Page", 2, 0, [9])], "doc long, kind string, page long, position long, files array<long>")
+    specs = spark.createDataFrame([(1, n, None, None, None) for n in (7, 8, 9)], "doc long, spec long, relationship string, name string, content string")
+    got = objects.associated_files(owners, specs, "doc", "spec")
+    assert rows(got, "spec", "kind", "page") == [(7, "Page", None), (8, "Annotation", -3), (9, "Page", 2)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
