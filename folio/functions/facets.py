@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,12 +49,22 @@ def packet_properties(packet: Column) -> Column:
     Comments don't count, and attributes may hold any character. Elements within a nested description aren't read.
     """
     body = F.regexp_replace(F.regexp_extract(packet, f"(?s)<rdf:RDF{ATTRIBUTES}>(.*)</rdf:RDF>", 1), "(?s)<!--.*?-->", "")
+    return F.when(packet.isNotNull(), _let(body, lambda b: _let(_entries(b), _last_of_each)))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once: within lambdas an expression is worked out wherever it stands."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _entries(body: Column) -> Column:
+    """Names and values of the properties, attributes first."""
     tags = F.regexp_extract_all(body, F.lit(f"<rdf:Description({ATTRIBUTES})/?>"), F.lit(1))
     attributes = F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(f"({ATTRIBUTE})"), F.lit(1))))
     attributes = F.filter(attributes, lambda a: ~a.rlike("^(xmlns|rdf|xml):"))
     elements = F.regexp_extract_all(body, F.lit(rf"(?s)(<(?!rdf:)([\w.-]+:[\w.-]+){ATTRIBUTES}(?:/>|>.*?</\2\s*>))"), F.lit(1))
     own = lambda a: F.struct(F.regexp_extract(a, r"^([^=\s]+)", 1).alias("k"), F.array(plain(F.regexp_extract(a, r"(?s)=\s*.(.*).$", 1))).alias("v"))
-    return F.when(packet.isNotNull(), _last_of_each(F.concat(F.transform(attributes, own), F.filter(F.transform(elements, _held), lambda e: F.size(e["v"]) > 0))))
+    return F.concat(F.transform(attributes, own), F.filter(F.transform(elements, _held), lambda e: F.size(e["v"]) > 0))
 
 
 def _held(element: Column) -> Column:
@@ -60,13 +72,15 @@ def _held(element: Column) -> Column:
     items = F.regexp_extract_all(element, F.lit(f"(?s)<rdf:li{ATTRIBUTES}>(.*?)</rdf:li>"), F.lit(1))
     text = F.regexp_extract(element, rf"(?s)^<[\w.:-]+{ATTRIBUTES}>(.*)</[^>]*>$", 1)
     address = F.regexp_extract(element, r"""^<[^>]*?\srdf:resource\s*=\s*["']([^"']*)""", 1)
-    values = F.when(F.size(items) > 0, items).when(F.trim(text) != "", F.array(text)).when(address != "", F.array(address)).otherwise(F.array().cast("array<string>"))
+    some = lambda x: F.when(x != "", F.array(x)).otherwise(F.array().cast("array<string>"))
+    told = _let(text, lambda t: F.when(F.trim(t) != "", F.array(t)).otherwise(_let(address, some)))
+    values = _let(items, lambda i: F.when(F.size(i) > 0, i).otherwise(told))
     return F.struct(F.regexp_extract(element, r"^<([\w.:-]+)", 1).alias("k"), F.transform(values, plain).alias("v"))
 
 
 def _last_of_each(entries: Column) -> Column:
-    names = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["k"] == n), -1)["v"]))
+    last = lambda n: F.element_at(F.filter(entries, lambda e: e["k"] == n), -1)["v"]
+    return _let(F.array_distinct(F.transform(entries, lambda e: e["k"])), lambda names: F.map_from_arrays(names, F.transform(names, last)))
 
 
 def plain(text: Column) -> Column:

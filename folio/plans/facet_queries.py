@@ -36,7 +36,9 @@ def packet_properties(read, spark):
         F.lit("</rdf:li></rdf:Alt></dc:title><xmp:CreatorTool>"), F.col("p_brand"), F.lit(" &amp; co</xmp:CreatorTool><dc:subject><rdf:Bag><rdf:li>a</rdf:li><rdf:li>b</rdf:li></rdf:Bag></dc:subject></rdf:Description></rdf:RDF></x:xmpmeta>"),
     )
     first = lambda name: F.element_at(F.try_element_at("p", F.lit(name)), 1)
-    found = read("part").select("p_partkey", A.packet_properties(packet).alias("p"))
+    # Packets are long to parse and their rows short, so a file that is one split is dealt over tasks first.
+    parts = read("part").select("p_partkey", "p_name", "p_brand").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    found = parts.select("p_partkey", A.packet_properties(packet).alias("p"))
     return found.select("p_partkey", first("dc:title").alias("title"), first("xmp:CreatorTool").alias("tool"), A.claimed_level(F.col("p")).alias("level"), F.size(F.try_element_at("p", F.lit("dc:subject"))).alias("subjects"))
 
 

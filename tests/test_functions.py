@@ -188,6 +188,13 @@ def test_packet_properties(spark):
     assert [r["m"] for r in rows] == [want, {}, None]
 
 
+def test_packets_are_parsed_once(spark):
+    # Each name and each use had the whole packet parsed again.
+    df = spark.createDataFrame([("x",)], "p string").select(facets.packet_properties(F.col("p")).alias("m"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(p#") == 1
+
+
 def test_times_of_forms(spark):
     cases = [("14:05", "HH:MM", 50700), ("2:05 pm", "HH:MM", 50700), ("2:05PM", "HH:MM", 50700), (" 9:07:03 ", "h:MM tt", 32823), ("12:00 am", "h:MM tt", 0), ("25:00", "HH:MM", None), ("noon", "HH:MM", None), ("", "HH:MM", None), (None, "HH:MM", None), ("3/4/21 5:06 am", "m/d/yy h:MM tt", 18360)]
     for text, form, want in cases:
