@@ -173,6 +173,16 @@ def test_objects_merge_with_their_references(spark):
     assert objects.merge_identical(o.limit(0), r.limit(0)).collect() == []
 
 
+def test_references_are_read_once_for_all_passes(spark):
+    own = spark.range(6).selectExpr("id", "'x' AS content", "true AS mergeable")
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda i: read.add(1) or i - 2, "long").asNondeterministic()
+    refs = spark.range(2, 6).select("id", F.lit(0).alias("place"), counted("id").alias("target"))
+    got = {r["id"]: (r["representative"], r["merged_in"]) for r in objects.merge_identical(own, refs).collect()}
+    assert got == {0: (0, 0), 1: (0, 1), 2: (2, 0), 3: (2, 2), 4: (4, 0), 5: (4, 3)}
+    assert read.value == 4
+
+
 def test_labels_and_outlines_of_an_assembly(spark):
     picked = spark.createDataFrame([(0, "a", 3), (1, "a", 4), (2, "a", 5), (3, "b", 0), (4, "a", 4), (5, "a", 5), (6, "b", 1)], "place long, source string, page long")
     ranges = spark.createDataFrame([("a", 0, "r", 1), ("a", 4, "D", 1)], "source string, start long, style string, first long")
