@@ -41,13 +41,13 @@ def flate(data: pd.Series) -> pd.Series:
     def one(x):
         if x is None:
             return None
-        inflater, out = zlib.decompressobj(), b""
+        inflater, out = zlib.decompressobj(), bytearray()
         try:
             for i in range(0, len(x), 1024):
-                out += inflater.decompress(bytes(x[i : i + 1024]))
-            return out + inflater.flush()
+                out += inflater.decompress(x[i : i + 1024])
+            return bytes(out + inflater.flush())
         except zlib.error:
-            return out or None
+            return bytes(out) or None
 
     return data.map(one)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import facets as A
@@ -132,8 +133,11 @@ def merged_labels(read, spark):
 
 @query("flate_round_trip", None)
 def flate_round_trip(read, spark):
-    """Bytes of a text after compression and decompression."""
+    """Bytes of a text after compression and decompression, both in one Python process of a task."""
     import zlib
 
-    packed = F.udf(lambda t: zlib.compress((t or "").encode()), "binary", useArrow=True)
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: zlib.compress((t or "").encode()))
+
     return read("documents").select("doc_id", F.decode(filters.flate(packed("text")), "UTF-8").alias("text"))

@@ -46,3 +46,8 @@ def test_scans_read_only_what_they_need(spark, data):
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)" in plan.replace("IsNotNull(text), ", "")
     plan = catalog.QUERIES["portfolio_pivot"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "value" not in plan.partition("ReadSchema")[2].partition("\n")[0]
+
+
+def test_both_ways_of_a_round_trip_share_a_process(spark, data):
+    plan = catalog.QUERIES["flate_round_trip"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
