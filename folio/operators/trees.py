@@ -4,31 +4,47 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import removed, written
-from .relational import as_of, numbered
+from .relational import numbered
+
+
+def followed(level: DataFrame, rest: DataFrame, links: dict[str, str], grown: dict[str, Column], most_depth: int, depth: str) -> DataFrame:
+    """``level`` and the rows of ``rest`` that it leads to, level by level, with the columns of ``level``.
+
+    ``links`` names columns of ``rest`` and what they equal in the row above. ``grown`` gives what a row has from the row
+    above, whose columns have a ``_`` before their names. A level is joined with the rows that none before it led to, so a
+    row is written until it is reached and no longer; what is never reached is left out.
+    """
+    levels = [level]
+    while True:
+        above = level.select(F.lit(True).alias("_met"), *[F.col(c).alias(f"_{c}") for c in level.columns])
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{a}")) for c, a in links.items()])
+        met = written(rest.join(above, same, "left").select(*rest.columns, "_met", *[c.alias(n) for n, c in grown.items()]), "tree-level")
+        level, rest = met.where("_met").select(*level.columns), met.where("_met is null").select(*rest.columns)
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        if len(levels) >= most_depth:
+            raise ValueError(depth)
+        levels.append(level)
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
 
 
 def tree_paths(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
     """id, depth, path and lineage of the nodes (id, parent, ord) that a root (without parent) leads to.
 
     ``path`` holds (ord, id) from the root down, so it sorts depth first, and ``lineage`` the ids from the root to the node
-    itself. One join a level, of the level found last with its children; deeper trees than ``most_depth`` raise, and nodes
-    of a cycle, which no root leads to, are left out.
+    itself. One join a level, of the level found last with the nodes that are left; deeper trees than ``most_depth`` raise,
+    and nodes of a cycle, which no root leads to, are left out.
     """
-    step = lambda: F.array(F.struct("ord", "id"))
-    level = written(nodes.where("parent is null").select("id", F.lit(0).alias("depth"), step().alias("path"), F.array("id").alias("lineage")), "tree-level")
-    levels = [level]
-    while level.limit(1).count():
-        if len(levels) > most_depth:
-            raise ValueError(f"the tree is deeper than {most_depth} levels")
-        above = level.select(F.col("id").alias("parent"), "depth", "path", "lineage")
-        children = nodes.join(above, "parent")
-        level = written(children.select("id", (F.col("depth") + 1).alias("depth"), F.concat("path", step()).alias("path"), F.concat("lineage", F.array("id")).alias("lineage")), "tree-level")
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    step = F.array(F.struct("ord", "id"))
+    roots = written(nodes.where("parent is null").select("id", F.lit(0).alias("depth"), step.alias("path")), "tree-level")
+    rest = nodes.where("parent is not null").select("id", "parent", "ord")
+    found = followed(roots, rest, {"parent": "id"}, {"depth": F.col("_depth") + 1, "path": F.concat("_path", step)}, most_depth, f"the tree is deeper than {most_depth} levels")
+    return found.withColumn("lineage", F.transform("path", lambda s: s["id"]))
 
 
 def interval_labels(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
@@ -94,30 +110,62 @@ def edited_order(rows: DataFrame, edits: DataFrame, by: str, most_depth: int = 6
     an edit writes one key, no others change, and there is always room between neighbours. Parts follow anchors level by
     level: chains of rows each inserted behind the last are as deep as they are long, and raise beyond ``most_depth``.
     """
-    # What stands at its time: the latest placement or removal of an id before an edit.
-    placements = rows.select(by, "id", F.lit(0).cast("long").alias("version"), F.lit(True).alias("there"))
+    kind, seq = F.col("kind"), F.col("seq")
+    before = lambda c: F.max(c).over(Window.partitionBy(by, "item").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1))
+    code = F.when(F.col("op") == "insert", 1).when(F.col("op") == "move", 2).when(F.col("op") == "remove", 3)
+    able = (kind == 3) | ((kind == 1) & ~F.col("id").eqNullSafe(F.col("anchor"))) | ((kind == 2) & (F.col("id") != F.col("anchor")))
+    edits = edits.select(by, seq.cast("long").alias("seq"), code.cast("byte").alias("kind"), "id", "anchor").where(able)
+    # An edit stands in the history of its id, and asks for its anchor in that one's.
+    asks = F.explode(F.when(kind == 3, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("asks")
+    item = F.when(F.col("asks"), F.col("anchor")).otherwise(F.col("id")).alias("item")
+    own = lambda c: F.when(~F.col("asks"), F.col(c)).alias(c)
+    base = rows.select(by, F.col("id").alias("item"), F.lit(0).cast("long").alias("seq"), F.lit(False).alias("asks"), F.lit(0).cast("byte").alias("kind"), F.col("place").cast("long").alias("place"))
+    history = base.drop("place").unionByName(edits.select("*", asks).select(by, item, "seq", "asks", own("kind"), own("id"), own("anchor")), allowMissingColumns=True)
+    # -1 if it is there for sure. Else the removal after which (0: none) an insert may have put it there, null if none may.
+    removed_at, inserted_at = F.coalesce(before(F.when(kind == 3, seq)), F.lit(0)), before(F.when(kind == 1, seq))
+    state = F.when(before(F.when(kind == 0, 1)).isNotNull() & (removed_at == 0), -1).when(~F.col("asks") | (inserted_at > removed_at), removed_at).cast("long")
+    told = history.select("*", state.alias("state")).where("asks or kind > 0")
+    own, asked = F.when(~F.col("asks"), F.col("state")), F.when(F.col("asks"), F.col("state"))
+    told = written(told.groupBy(by, "seq").agg(*[F.max(c).alias(c) for c in ("kind", "id", "anchor")], F.max(own).alias("own"), F.max(asked).alias("asked")), "edits")
+    # An item absent at a removal is there from the first insert behind a present anchor on, until the next removal. Inserts
+    # whose anchor was itself inserted wait for it, and only these go through rounds.
+    inserts = told.where("kind = 1 and own >= 0")
+    fresh, waiting = inserts.where("asked = -1").select(by, "id", "own", "seq", "anchor"), inserts.where("asked >= 0").select(by, "id", "own", "seq", "anchor", "asked")
+    founds, rounds = [fresh], []
     for _ in range(most_depth + 1):
-        known = placements.select(by, F.struct(F.col(by), F.col("id")).alias("_who"), F.col("version").alias("_version"), "there")
-        timed = edits.select(by, F.col("seq").cast("long").alias("seq"), "op", "id", "anchor", F.struct(F.col(by), F.col("id")).alias("_who"))
-        own = as_of(timed.withColumn("_before", F.col("seq") - 1), "_before", known.drop(by), "_version", by="_who").withColumnRenamed("there", "_own").drop("_version", "_before", "_who")
-        met = own.withColumn("_who", F.struct(F.col(by), F.col("anchor").alias("id"))).withColumn("_before", F.col("seq") - 1)
-        met = as_of(met, "_before", known.drop(by), "_version", by="_who").withColumnRenamed("there", "_anchored").withColumnRenamed("_version", "anchor_version")
-        present, anchored = F.coalesce("_own", F.lit(False)), F.coalesce("_anchored", F.lit(False))
-        valid = F.when(F.col("op") == "remove", present).when(F.col("op") == "insert", ~present & anchored).when(F.col("op") == "move", present & anchored & (F.col("id") != F.col("anchor")))
-        done = written(met.where(valid).select(by, "id", F.col("seq").alias("version"), (F.col("op") != "remove").alias("there"), "anchor", "anchor_version"), "edits")
-        found = rows.select(by, "id", F.lit(0).cast("long").alias("version"), F.lit(True).alias("there")).unionByName(done.select(by, "id", "version", "there"))
-        mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(by, "id", "version", "there"))).first())
-        if mark(found) == mark(placements):
+        first = fresh.groupBy(F.col(by).alias("_by"), F.col("id").alias("_id"), F.col("own").alias("_own")).agg(F.min("seq").alias("_since"))
+        same = F.col(by).eqNullSafe(F.col("_by")) & F.col("anchor").eqNullSafe(F.col("_id")) & (F.col("asked") == F.col("_own"))
+        rounds.append(written(waiting.join(first, same, "left").select(*waiting.columns, F.coalesce(F.col("_since") < seq, F.lit(False)).alias("_met")), "waiting"))
+        fresh, waiting = rounds[-1].where("_met").drop("_met", "asked"), rounds[-1].where("not _met").drop("_met")
+        if fresh.isEmpty():
             break
-        placements = found
+        founds.append(fresh)
     else:
         raise ValueError(f"edits depend on each other over more than {most_depth} steps")
-    name = lambda i, v: F.to_json(F.struct(F.col(by).alias("b"), F.col(i).alias("i"), F.col(v).alias("v")))
-    base = rows.withColumn("version", F.lit(0).cast("long")).select(name("id", "version").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("place").cast("long").alias("ord"))
-    added = done.where("there").select(name("id", "version").alias("id"), name("anchor", "anchor_version").alias("parent"), (-F.col("version")).alias("ord"))
-    paths = tree_paths(base.unionByName(added), most_depth).select(F.col("id").alias("_name"), F.transform("path", lambda s: s["ord"]).alias("key"))
-    newest = placements.groupBy(by, "id").agg(F.max("version").alias("version"), F.max_by("there", "version").alias("there")).where("there")
-    return newest.withColumn("_name", name("id", "version")).join(paths, "_name").select(by, "id", "key")
+    since = written(reduce(DataFrame.unionByName, founds).groupBy(by, "id", "own").agg(F.min("seq").alias("seq"), F.min_by("anchor", "seq").alias("anchor")), "inserts")
+    removed(*rounds)
+    moves, there = told.where("kind = 2 and asked is not null"), (F.col("own") == -1) & (F.col("asked") == -1)
+    unsure = moves.where(~there)
+    for i, at, known in (("id", "own", "_own_since"), ("anchor", "asked", "_asked_since")):
+        put = since.select(F.col(by).alias("_by"), F.col("id").alias("_id"), F.col("own").alias("_own"), F.col("seq").alias(known))
+        same = F.col(by).eqNullSafe(F.col("_by")) & F.col(i).eqNullSafe(F.col("_id")) & (F.col(at) == F.col("_own"))
+        unsure = unsure.join(put, same, "left").where((F.col(at) == -1) | (F.col(known) < seq)).drop("_by", "_id", "_own")
+    names = [by, "seq", "kind", "id", "anchor"]
+    done = reduce(DataFrame.unionByName, [since.withColumn("kind", F.lit(1).cast("byte")).select(*names), moves.where(there).select(*names), unsure.select(*names), told.where("kind = 3").select(*names)])
+    # Which placement of its anchor a placement stands behind, and which of an item's is the last.
+    history = base.unionByName(done.select("*", asks).select(by, item, "seq", "asks", "kind"), allowMissingColumns=True)
+    version, last = before(F.when(~F.col("asks"), seq)).alias("version"), F.max(F.when(~F.col("asks"), seq)).over(Window.partitionBy(by, "item")).alias("last")
+    spots = history.select(by, "item", "seq", "asks", "kind", F.when(F.col("asks"), before("place")).otherwise(F.col("place")).alias("place"), version, last)
+    spots = written(spots.where("asks or (seq = last and kind < 3)").select(by, "item", "seq", "asks", "place", "version"), "spots")
+    removed(told, since)
+    nodes = spots.where("asks").select(by, "seq", "place", "version")
+    level = nodes.where("version = 0").select(by, "seq", F.array("place", -seq).alias("key"))
+    deep = f"edits stand behind each other over more than {most_depth} steps"
+    keys = followed(level, nodes.where("version > 0").select(by, "seq", "version"), {by: by, "version": "seq"}, {"key": F.concat("_key", F.array(-seq))}, most_depth - 1, deep)
+    still = spots.where("not asks and seq = 0").select(by, F.col("item").alias("id"), F.array("place").alias("key"))
+    newest = spots.where("not asks and seq > 0").select(by, "seq", F.col("item").alias("id"))
+    keys = keys.select(F.col(by).alias("_by"), F.col("seq").alias("_seq"), "key")
+    return still.unionByName(newest.join(keys, F.col(by).eqNullSafe(F.col("_by")) & (F.col("seq") == F.col("_seq"))).select(by, "id", "key"))
 
 
 def flowing_sets(own: DataFrame, parts: DataFrame, most_rounds: int = 1000) -> DataFrame:

@@ -94,6 +94,29 @@ def test_edits_equal_a_list_that_is_edited(spark, seed):
     assert sorted(got, key=str) == edited_brute(base, edits)
 
 
+def test_edits_are_read_once_however_they_depend_on_each_other(spark):
+    base = spark.createDataFrame([(1, 1, 0), (None, 1, 5)], "doc long, id long, place long")
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda i: read.add(1) or i, "long").asNondeterministic()
+    edits = [(doc, n, "insert", n + 10, n + 9 if n > 1 else 1) for doc in (1, None) for n in range(1, 9)]
+    # Inserts without effect don't make a chain, whether their anchor is missing or they are there.
+    edits += [(1, n, "insert", 50 if n % 2 else 12, 99 if n % 2 else 1) for n in range(9, 49)] + [(1, 49, "insert", 60, 12), (1, 50, "insert", 61, 50), (1, 51, "remove", 60, None), (1, 52, "move", 60, 1)]
+    found = trees.edited_order(base, spark.createDataFrame(edits, "doc long, seq long, op string, id long, anchor long").withColumn("id", counted("id")), "doc", 12)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["key"]):
+        got.setdefault(r["doc"], []).append(r["id"])
+    assert got == {1: [1, *range(11, 19)], None: [1, *range(11, 19)]}
+    assert read.value == len(edits)
+
+
+def test_a_node_is_written_until_it_is_reached(spark, monkeypatch):
+    kept, real = [], trees.written
+    monkeypatch.setattr(trees, "written", lambda df, name: kept.append(real(df, name)) or kept[-1])
+    nodes = spark.createDataFrame([(i, i - 1 if i % 5 else None, i) for i in range(20)] + [(30, 31, 0), (31, 30, 0)], "id long, parent long, ord long")
+    assert sorted((r["id"], r["depth"], r["lineage"][0]) for r in trees.tree_paths(nodes).collect()) == [(i, i % 5, i - i % 5) for i in range(20)]
+    assert [k.count() for k in kept] == [4, 18, 14, 10, 6, 2]
+
+
 def test_sets_flow_through_a_diamond_and_a_cycle(spark):
     own = spark.createDataFrame([("d", 5), ("d", 40_000), ("e", 7), ("x", 1), ("y", 2)], "node string, value long")
     parts = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("c", "e"), ("x", "y"), ("y", "x"), ("z", "nothing")], "node string, part string")
