@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 from .relational import as_of
-from .trees import tree_paths
+from .trees import followed
 
 
 def effective_labels(pages: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -43,11 +43,12 @@ def splice_outlines(outlines: DataFrame, picked: DataFrame, most_depth: int = 64
     entry stays if its page is picked, and leads to the first place of that page; it hangs below its nearest ancestor that
     stays. Sources follow each other by the first place of any of their pages.
     """
-    paths = tree_paths(outlines.select("id", "parent", "ord"), most_depth)
-    targets = picked.groupBy("source", "page").agg(F.min("place").alias("target"))
-    order = picked.groupBy("source").agg(F.min("place").alias("_source"))
-    kept = written(outlines.select("id", "source", "page").join(targets, ["source", "page"]).join(order, "source").join(paths, "id").select("id", "_source", "path", "lineage", "depth", "target"), "outlines")
-    above = kept.select("id", F.posexplode(F.slice("lineage", 1, F.size("lineage") - 1)).alias("_depth", "_ancestor"))
-    stays = kept.select(F.col("id").alias("_ancestor"))
-    hung = above.join(stays, "_ancestor").groupBy("id").agg(F.max_by("_ancestor", "_depth").alias("parent"), F.count(F.lit(1)).alias("depth"))
-    return kept.drop("depth").join(hung, "id", "left").select("id", "parent", F.coalesce("depth", F.lit(0)).alias("depth"), F.concat(F.array("_source"), F.transform("path", lambda s: s["ord"])).alias("ord"), "target")
+    targets = written(picked.groupBy("source", "page").agg(F.min("place").alias("target")), "targets")
+    order = targets.groupBy("source").agg(F.min("target").alias("first"))
+    picks = targets.join(order, "source").withColumn("stays", F.lit(True))
+    nodes = written(outlines.join(picks, ["source", "page"], "left").select("id", "parent", "ord", "target", "first", F.coalesce("stays", F.lit(False)).alias("stays")), "outlines")
+    # An entry that stays counts for those below it, and is nearest to them until another does.
+    roots = nodes.where("parent is null").select("id", "target", "first", "stays", F.lit(None).cast(nodes.schema["id"].dataType).alias("above"), F.lit(0).cast("long").alias("depth"), F.array("ord").alias("path"))
+    grown = {"above": F.when(F.col("_stays"), F.col("_id")).otherwise(F.col("_above")), "depth": F.col("_depth") + F.col("_stays").cast("long"), "path": F.concat("_path", F.array("ord"))}
+    found = followed(roots, nodes.where("parent is not null"), {"parent": "id"}, grown, most_depth, f"the tree is deeper than {most_depth} levels")
+    return found.where("stays").select("id", F.col("above").alias("parent"), "depth", F.concat(F.array("first"), F.col("path")).alias("ord"), "target")

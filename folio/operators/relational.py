@@ -59,14 +59,15 @@ def split_parts(starts: DataFrame, position: str, total: int | Column) -> DataFr
 def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """Add ``name``, each row's place (from 0) in an order of all rows.
 
-    Rows are dealt into ranges of the order; each range numbers its own and goes on from the rows before it, of which
-    there is a count for each range. The ranges are written once, as another sample would cut them elsewhere.
+    Rows are dealt into ranges of the order; each range is sorted and numbers its own, and goes on from the rows before it,
+    of which there is a count for each range. The numbered ranges are written once, as another sample would cut them
+    elsewhere, so rows are shuffled once.
     """
-    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = written(dealt.select(*df.columns, F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_at")), "ranges")
     counted = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counted.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_range", "_place", "_before")
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
 def interleave(sources: list[DataFrame], key: str, group: int) -> DataFrame:

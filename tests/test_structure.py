@@ -215,6 +215,17 @@ def test_labels_and_outlines_of_an_assembly(spark):
     assert got == sorted([(2, None, 0, 0), (4, 2, 1, 2), (5, None, 0, 6)], key=str)
 
 
+def test_outlines_are_read_once_for_all_levels(spark):
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda i: read.add(1) or i, "long").asNondeterministic()
+    outlines = [("a", i, i - 1 if i % 4 else None, i % 4, i) for i in range(12)] + [("a", 20, 21, 0, 1), ("a", 21, 20, 0, 1), (None, 30, None, 0, 1), ("b", 31, 8, 5, 7)]
+    picked = spark.createDataFrame([(4, "a", 1), (2, "a", 3), (9, "a", 3), (5, "a", 6), (1, "b", 7), (0, None, 1)], "place long, source string, page long")
+    df = spark.createDataFrame(outlines, "source string, id long, parent long, ord long, page long").withColumn("ord", counted("ord"))
+    got = rows(assembly.splice_outlines(df, picked), "id", "parent", "depth", "ord", "target")
+    assert got == sorted([(1, None, 0, [2, 0, 1], 4), (3, 1, 1, [2, 0, 1, 2, 3], 2), (6, None, 0, [2, 0, 1, 2], 5), (31, None, 0, [1, 0, 5], 1)], key=str)
+    assert read.value == len(outlines)
+
+
 def test_associated_files_against_a_walk(spark):
     rng = random.Random(11)
     owners = []
